@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, sentencepiece_codec
+from . import exact_dedup, ngram_join, packing, sentencepiece_codec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -51,3 +51,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest(documents(spark, sf_dir), model_path=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_components(documents(spark, sf_dir), k=3, num=90, den=100)
