@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, ngram_join, packing, sentencepiece_codec
+from . import exact_dedup, ngram_join, packing, sentencepiece_codec, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,3 +56,9 @@ def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_components(documents(spark, sf_dir), k=3, num=90, den=100)
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
