@@ -32,20 +32,22 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, text_batches, write_table
 
-#: Most parts of texts whose ids one Python worker remembers.
-CACHE_PARTS = 500_000
+#: Most parts of texts, and most words, whose ids one Python worker remembers.
+CACHE_PARTS, CACHE_WORDS = 1_500_000, 1_000_000
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Ids of whole texts, as little-endian 32-bit bytes, by a cache of space-separated parts.
 
     The cache holds only for tokenizers that normalise by NFC, white space and
     lower case, and split by a pattern that drops white space: no composition,
     split or merge then crosses a space, so the ids of a text are those of its
-    parts in order. Others encode whole texts.
+    parts in order, and those of a part are those of its words. Others encode
+    whole texts. Caches stop growing when full; later parts are worked out anew.
     """
 
     def __init__(self, path: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -53,6 +55,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", ())
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", ())]
+        self.special = [t["content"] for t in spec["added_tokens"]]
         self.by_part = (
             kinds == ["NFC", "Replace", "Lowercase"]
             and [s["type"] for s in steps] == ["Split", "ByteLevel"]
@@ -63,25 +66,35 @@ class WordEncoder:
             and not steps[1]["add_prefix_space"]
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec["added_tokens"])
         )
-        self.parts: dict[str, bytes] = {}
+        self.split = regex.compile(steps[0]["pattern"]["Regex"]).findall if self.by_part else None
+        self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, part: str) -> bytes:
+        # Below U+0100 nothing composes, and lower case is the same everywhere.
+        if part.isascii() or max(part) < "\u0100":
+            found = b"".join(map(self.word, self.split(part.lower())))
+        else:
+            found = self.whole(part)
+        if len(self) < CACHE_PARTS:
+            self[part] = found
+        return found
+
+    def word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            found = self.whole(word)
+            if len(self.words) < CACHE_WORDS:
+                self.words[word] = found
+        return found
 
     def __call__(self, text: str) -> bytes:
-        if not self.by_part:
+        if not self.by_part or any(s in text for s in self.special):
             return self.whole(text)
-        parts, known = text.replace("\n", " ").split(" "), self.parts
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            if len(known) > CACHE_PARTS:
-                known.clear()
-            new = list({p for p in parts if p not in known})
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                ids = e.ids
-                known[p] = struct.pack(f"<{len(ids)}I", *ids)
-            return b"".join([known[p] for p in parts])
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @functools.lru_cache(maxsize=2)
