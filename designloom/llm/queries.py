@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, ngram_join, packing, secrets_crf, sentencepiece_codec, warc
+from . import embedding_lsh, exact_dedup, language_id, ngram_join, packing, secrets_crf, sentencepiece_codec, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -68,3 +69,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return secrets_crf.digest(secrets_crf.scan(docs, secrets_crf.train(docs)))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Ordinal | None:
+    return toxicity.train(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), toxicity_model(spark, sf_dir))
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = F.coalesce(language_id.fold() == 2, F.lit(False)).alias("held_out")
+    model = language_id.train(docs.where(~held))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", held, "lang_pred", "score", "cross_entropy", "rejected")
+
+
+@query
+def op4_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_lsh.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
