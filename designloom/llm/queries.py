@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_lsh, exact_dedup, language_id, ngram_join, packing, secrets_crf, sentencepiece_codec, toxicity, warc
+from . import embedding_lsh, exact_dedup, language_id, lm_scoring, ngram_join, packing, secrets_crf, sentencepiece_codec, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -92,3 +93,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_lsh.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.cross_entropy_difference(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
