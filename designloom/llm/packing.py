@@ -55,6 +55,7 @@ class WordEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", ())
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", ())]
+        self.model = self.tokenizer.model
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.by_part = (
             kinds == ["NFC", "Replace", "Lowercase"]
@@ -76,7 +77,8 @@ class WordEncoder(dict):
     def __missing__(self, part: str) -> bytes:
         # Below U+0100 nothing composes, and lower case is the same everywhere.
         if part.isascii() or max(part) < "\u0100":
-            found = b"".join(map(self.word, self.split(part.lower())))
+            low = part.lower()
+            found = self.word(low) if low.isalpha() else b"".join(map(self.word, self.split(low)))
         else:
             found = self.whole(part)
         if len(self) < CACHE_PARTS:
@@ -86,7 +88,12 @@ class WordEncoder(dict):
     def word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            found = self.whole(word)
+            if word.isascii() and word.isprintable():
+                # The model alone: its alphabet maps these bytes to themselves.
+                ids = [t.id for t in self.model.tokenize(word)]
+                found = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                found = self.whole(word)
             if len(self.words) < CACHE_WORDS:
                 self.words[word] = found
         return found
