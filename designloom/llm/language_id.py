@@ -60,8 +60,9 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _rolling(codes: np.ndarray, seed: np.ndarray | np.uint64) -> list[np.ndarray]:
     """Hashes of the last n characters at each position, n = 0 .. ORDER; those of n-1 one place before are the contexts."""
     out = [np.full(len(codes), 0, np.uint64) + seed]
-    for _ in range(ORDER):
-        before = np.concatenate([out[0][:1], out[-1][:-1]])
+    for n in range(ORDER):
+        # The first of n characters starts from its own position's seed.
+        before = np.concatenate([out[0][:1], out[-1][:-1]]) if n else out[0]
         out.append(_mix(before ^ (codes * np.uint64(0x9E3779B97F4A7C15))))
     return out
 
