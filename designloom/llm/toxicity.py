@@ -8,8 +8,8 @@ by both thresholds: ``P(grade > k) = sigmoid(w.x - t_k)`` with ``t_0 < t_1``.
 The output is the expected severity, the sum of these probabilities.
 
 Features are those whose association with the toxic class chance does not
-explain: a signed likelihood ratio above what about one of all candidates would
-reach by chance. Fitting reads a bounded sample of
+explain (a signed likelihood ratio above what about one of all candidates would
+reach by chance), and of whose documents nearly all are toxic. Fitting reads a bounded sample of
 labelled rows (``train_docs``, chosen by a hash of the id); scoring reads every
 word of every text. Word forms are remembered per worker.
 
@@ -103,12 +103,12 @@ def density(hits: int, parts: int) -> float:
     return math.log1p(100 * hits / parts) if parts else 0.0
 
 
-def fit(rows: list[tuple[list[int], list[float], int]], features: int, *, steps: int = 400, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by Adam on the ordinal likelihood; ``rows`` are (ids, values, grade)."""
+def fit(rows: list[tuple[list[int], list[float], int, int]], features: int, *, steps: int = 1500, rate: float = 0.05, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by Adam on the ordinal likelihood; ``rows`` are (ids, values, grade, number of such rows)."""
     ids = np.array([i for r in rows for i in r[0]], np.int64)
     values = np.array([v for r in rows for v in r[1]])
     owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    grades = np.array([r[2] for r in rows])
+    grades, many = np.array([r[2] for r in rows]), np.array([r[3] for r in rows], float)
     levels = max(1, int(grades.max()))
     # Thresholds are a first one and positive steps, so they stay in order.
     theta = np.concatenate([np.zeros(features), [1.0], np.zeros(levels - 1)])
@@ -123,18 +123,18 @@ def fit(rows: list[tuple[list[int], list[float], int]], features: int, *, steps:
         at = np.arange(len(rows))
         chance = np.maximum(padded[at, grades] - padded[at, grades + 1], 1e-12)
         slope = padded * (1 - padded)
-        by_score = (slope[at, grades] - slope[at, grades + 1]) / chance
+        by_score = many * (slope[at, grades] - slope[at, grades + 1]) / chance
         by_cut = np.zeros((len(rows), levels))
         lower, upper = grades > 0, grades < levels
-        by_cut[at[lower], grades[lower] - 1] -= slope[at[lower], grades[lower]] / chance[lower]
-        by_cut[at[upper], grades[upper]] += slope[at[upper], grades[upper] + 1] / chance[upper]
+        by_cut[at[lower], grades[lower] - 1] -= many[lower] * slope[at[lower], grades[lower]] / chance[lower]
+        by_cut[at[upper], grades[upper]] += many[upper] * slope[at[upper], grades[upper] + 1] / chance[upper]
         by_cut = by_cut.sum(axis=0)
         grad = np.empty_like(theta)
-        grad[:features] = np.bincount(ids, by_score[owner] * values, minlength=features) - ridge * len(rows) * weights
+        grad[:features] = np.bincount(ids, by_score[owner] * values, minlength=features) - ridge * many.sum() * weights
         grad[features] = by_cut.sum()
         for k in range(1, levels):
             grad[features + k] = by_cut[k:].sum() * gaps[k - 1]
-        grad /= len(rows)
+        grad /= many.sum()
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -150,6 +150,7 @@ def train(
     label_col: str = "toxic",
     train_docs: int = 20_000,
     max_features: int = 4096,
+    least_share: float = 0.9,
 ) -> Ordinal | None:
     """Fit on at most about ``train_docs`` labelled rows; None without both classes."""
     text_batches(docs.sparkSession)
@@ -180,7 +181,7 @@ def train(
     # Fewer toxic documents than this cannot reach the bar.
     frequent = cut(counted.where(F.col("toxic") >= 3))
     least_g2 = 2 * math.log(max(frequent.count(), 1)) + 2
-    candidates = frequent.where(F.col("toxic") * per_class[0] > 4 * F.col("clean") * per_class[1]).collect()
+    candidates = frequent.where(F.col("toxic") >= least_share * (F.col("toxic") + F.col("clean"))).collect()
     scored = sorted(((signed_g2(r.toxic, r.clean, per_class[1], per_class[0]), r.feature) for r in candidates), key=lambda x: (-x[0], x[1]))
     index = {f: i for i, f in enumerate(sorted(f for g, f in scored[:max_features] if g >= least_g2))}
     empty = Ordinal(index, np.zeros(len(index) + 1), np.array([0.0]))
@@ -195,7 +196,8 @@ def train(
     found = sample.mapInArrow(vectors, "ids array<long>, values array<double>, toxic int").groupBy("ids", "values", "toxic").count().collect()
     dense = sorted(r["values"][-1] for r in found if r.toxic for _ in range(r["count"]))
     middle = dense[len(dense) // 2]
-    rows = [(list(r.ids), list(r["values"]), (1 + (r["values"][-1] > middle)) if r.toxic else 0) for r in sorted(found, key=lambda r: (r.toxic, r.ids, r["values"])) for _ in range(r["count"])]
+    found.sort(key=lambda r: (r.toxic, r.ids, r["values"]))
+    rows = [(list(r.ids), list(r["values"]), (1 + (r["values"][-1] > middle)) if r.toxic else 0, r["count"]) for r in found]
     weights, thresholds = fit(rows, len(index) + 1)
     return Ordinal(index, weights, thresholds)
 

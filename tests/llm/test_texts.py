@@ -265,8 +265,8 @@ def test_toxicity(spark, docs):
 
 def test_ordinal_gradient():
     rng = np.random.default_rng(3)
-    rows = [([0, 1], [float(x), float(y)], int(np.digitize(1.5 * x - y + rng.logistic() * 0.3, [-0.5, 0.8]))) for x, y in rng.normal(size=(3000, 2))]
-    weights, cuts = toxicity.fit(rows, 2, steps=800)
+    rows = [([0, 1], [float(x), float(y)], int(np.digitize(1.5 * x - y + rng.logistic() * 0.3, [-0.5, 0.8])), 1) for x, y in rng.normal(size=(3000, 2))]
+    weights, cuts = toxicity.fit(rows, 2)
     np.testing.assert_allclose(weights / weights[0], [1, -1 / 1.5], atol=0.05)
     np.testing.assert_allclose(cuts / weights[0] * 1.5, [-0.5, 0.8], atol=0.1)
 
