@@ -6,17 +6,18 @@ Exact: no link at or above the threshold is lost, none below it is made.
    folder. Equal sets collapse to the smallest id before anything is compared,
    so groups of copies, however large, cost one row each in what follows.
 2. Sets meet where they share a token of their *prefix*, the few tokens that any
-   partner of sufficient overlap must touch. Tokens are ordered by rising
-   frequency, taken from a fixed-size count sketch of the whole corpus, so
-   prefixes avoid passages that many documents share. The order only steers
-   cost: any order gives the same links.
-3. Sets that meet, directly or through others, form a block (connected
-   components of the meetings); each block travels once to one task.
+   partner of sufficient overlap must touch, in one order of all tokens. The
+   order puts a fixed share of hash space first, and there rare tokens before
+   frequent ones, by their exact frequency: these tokens alone are counted, in
+   one shuffle. A token of one set can't be met, so most sets send nothing on.
+3. Where sets meet at a token, their bitmaps and sizes (a signature tree, where
+   they are many) tell which pairs can link at all. Sets that can, directly or
+   through others, form a block; each block travels once to one task.
 4. A block becomes a signature tree: leaves hold documents close in size and
    content, inner nodes hold the OR of the token bitmaps below and the range of
    sizes. A traversal of pairs of nodes drops each pair whose largest possible
    overlap is below what its smallest sizes ask for, or whose documents are all
-   joined already; pairs of leaves are decided on exact bitmaps.
+   joined already; pairs of documents that remain are decided on their sets.
    A block beyond ``block_tokens`` is cut into slices, and each pair of slices
    that can hold a link becomes a task of its own.
 
@@ -29,25 +30,30 @@ are ignored.
 from __future__ import annotations
 
 import itertools
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, drop_table, join_counted, text_batches, write_table
 
 #: Words whose hashes one Python worker remembers.
 CACHE_WORDS = 1_000_000
-#: Counters of the frequency sketch: fixed, whatever the corpus.
-SKETCH = 1 << 18
+#: The counted share of hash space, as a multiple of the prefix's share of a set.
+REGION = 1.5
 #: Documents of one leaf, and children of one inner node.
 LEAF, FANOUT = 32, 8
+#: Sets that meet at one token and are compared in pairs, and by a tree; beyond, they are one block unseen.
+PAIRED, TREED = 48, 8192
+#: Bits of the bitmaps that travel with meetings, at least and at most.
+LEAST_SKETCH_BITS, MOST_SKETCH_BITS = 256, 2048
 #: Tokens of the sets that one task holds at once.
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 6_000_000
+#: Bits of the widest bitmap.
+MAX_BITS = 1 << 15
 
 
 class _Words(dict):
@@ -80,7 +86,32 @@ def shingles(text: str | None, k: int) -> np.ndarray:
         out ^= out >> np.uint64(29)
     out *= np.uint64(0x165667B19E3779F9)
     out ^= out >> np.uint64(32)
-    return np.unique(out)
+    # Distinct by all 64 bits; in the order of the 48 that are stored.
+    return np.unique((out << np.uint64(16)) | (out >> np.uint64(48)))
+
+
+def pack(tokens: np.ndarray) -> bytes:
+    """The low 48 bits of sorted hashes, as six byte planes: the high ones compress well."""
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, 2:].T).tobytes()
+
+
+def unpack(data: pa.Buffer) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(6, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :6] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+def sketch_bits(size: int) -> int:
+    """A bit per token: a power of two."""
+    return min(MOST_SKETCH_BITS, max(LEAST_SKETCH_BITS, 1 << max(size - 1, 0).bit_length()))
+
+
+def bitmap(tokens: np.ndarray, width: int) -> np.ndarray:
+    """Bits of the hashes' low ends, in 64-bit words; ``fold`` halves the width."""
+    bits = np.zeros(width, np.uint8)
+    bits[((tokens >> np.uint64(16)) & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
 def prefix_length(size: int, num: int, den: int) -> int:
@@ -92,138 +123,242 @@ def linked(size_a: int, size_b: int, shared: int, num: int, den: int) -> bool:
     return den * shared >= num * (size_a + size_b - shared)
 
 
-# Stage 1: sets and the frequency sketch, in one pass over the texts.
+# Stage 1: sets, in one pass over the texts.
 
 
-def _sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, n, sig, tokens`` per row, and one row per task that has only its ``sketch``."""
-    names = ["id", "n", "sig", "tokens", "sketch"]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+def region(tokens: np.ndarray, num: int, den: int) -> int:
+    """How many of the sorted tokens, by their 48 stored bits, are in the counted share of hash space."""
+    share = min(1.0, REGION * (den - num) / den)
+    return int(np.searchsorted(tokens >> np.uint64(16), np.uint64(int(share * ((1 << 48) - 1)))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, pending, held = np.zeros(SKETCH, np.uint32), [], 0
 
-        def count() -> None:
-            nonlocal held
-            if pending:
-                cells = (np.concatenate(pending) & np.uint64(SKETCH - 1)).astype(np.int64)
-                np.add(sketch, np.bincount(cells, minlength=SKETCH).astype(np.uint32), out=sketch)
-                pending.clear()
-                held = 0
+def _sets(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, n, sig, tokens, bits, region`` per row."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [shingles(t, k) for t in batch.column(1).to_pylist()]
-            for r in rows:
-                pending.append(r)
-                held += len(r)
-            if held > 2 * SKETCH:
-                count()
-            bodies = [r.tobytes() for r in rows]
-            columns = [batch.column(0), [len(r) for r in rows], [xxhash.xxh3_128_digest(b) for b in bodies], bodies, [None] * len(rows)]
-            yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-        count()
-        if sketch.any():
-            packed = zlib.compress(sketch.astype(np.uint64).tobytes(), 1)
-            yield pa.record_batch([pa.array([c], t) for c, t in zip((None, None, None, None, packed), types, strict=True)], names=names)
+            yield pa.record_batch(
+                [
+                    batch.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array([xxhash.xxh3_128_digest(r) for r in rows], pa.binary()),
+                    pa.array([pack(r) for r in rows], pa.binary()), pa.array([bitmap(r, sketch_bits(len(r))).tobytes() for r in rows], pa.binary()),
+                    pa.array([region(r, num, den) for r in rows], pa.int64()),
+                ],
+                names=["id", "n", "sig", "tokens", "bits", "region"],
+            )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, sig binary, tokens binary, sketch binary")
+    return rows.mapInArrow(run, "id long, n long, sig binary, tokens binary, bits binary, region long")
 
 
-def _levels(sketches: DataFrame) -> np.ndarray:
-    """Half-octave frequency level of each sketch cell; tasks sum sketches of fixed size in two rounds."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.uint64)
-        for batch in batches:
-            for cells in batch.column(0):
-                total += np.frombuffer(zlib.decompress(cells.as_buffer()), np.uint64)
-        yield pa.record_batch([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["sketch"])
-
-    sums = sketches.repartition(32).mapInArrow(add, "sketch binary").repartition(1).mapInArrow(add, "sketch binary").collect()
-    total = np.frombuffer(zlib.decompress(bytes(sums[0][0])), np.uint64) if sums else np.zeros(SKETCH, np.uint64)
-    return np.floor(2 * np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
+# Stage 2: where sets meet.
 
 
-def _meetings(rows: DataFrame, levels: np.ndarray, num: int, den: int) -> DataFrame:
-    """``token, node`` of the prefix tokens of each set; equal sets are one node."""
-    ranks = rows.sparkSession.sparkContext.broadcast(levels)
+def _counted(reps: DataFrame, num: int, den: int) -> DataFrame:
+    """``token, node, forced``: all tokens of the counted region; forced ones fill up a prefix that the region leaves short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = ranks.value
         for batch in batches:
-            nodes, picked = batch.column(0).to_numpy(), []
-            for cells in batch.column(1):
-                tokens = np.frombuffer(cells.as_buffer(), np.uint64)
-                p = prefix_length(len(tokens), num, den)
-                # Rank: the level, then the hash itself without its last byte.
-                rank = (level[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (tokens >> np.uint64(8))
-                picked.append(tokens[np.argpartition(rank, p - 1)[:p]] if p < len(tokens) else tokens)
-            if picked:
+            picked, forced, n = [], [], []
+            for cells, inside in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                # Sorted, so the region comes first, and what fills it up next.
+                tokens = unpack(cells.as_buffer())
+                size = max(inside, prefix_length(len(tokens), num, den))
+                picked.append(tokens[:size])
+                forced.append(np.arange(size) >= inside)
+                n.append(size)
+            if sum(n):
                 yield pa.record_batch(
-                    [pa.array(np.concatenate(picked).view(np.int64)), pa.array(np.repeat(nodes, [len(p) for p in picked]))], names=["token", "node"]
+                    [pa.array(np.concatenate(picked).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.concatenate(forced))], names=["token", "node", "forced"]
                 )
 
-    return rows.select("node", "tokens").mapInArrow(run, "token long, node long")
+    return reps.select("id", "tokens", "region").mapInArrow(run, "token long, node long, forced boolean")
+
+
+def _complete(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of at least about ``rows`` sorted rows, cut between tokens."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            tokens = table.column("token").to_numpy()
+            # The last token's rows may go on in the next batch.
+            end = int(np.searchsorted(tokens, tokens[-1], side="left"))
+            held, size = table.slice(end).to_batches(), len(tokens) - end
+            if end:
+                yield table.slice(0, end).combine_chunks()
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _shared(counted: DataFrame) -> DataFrame:
+    """``token, node, forced, many`` of the tokens that two or more sets hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _complete(batches, 100_000):
+            tokens = table.column("token").to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            many = np.diff(np.concatenate([starts, [len(tokens)]]))
+            many = np.repeat(many, many)
+            kept = table.append_column("many", pa.array(many)).filter(pa.array(many > 1))
+            yield from kept.to_batches()
+
+    spark = counted.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return counted.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(run, "token long, node long, forced boolean, many long")
+
+
+def _meetings(reps: DataFrame, shared: DataFrame, num: int, den: int) -> DataFrame:
+    """``token, node, n, bits``: the shared tokens that are in their set's prefix."""
+    # Of the prefix, tokens that no other set holds come first; shared ones of the region follow by frequency.
+    own = Window.partitionBy("node")
+    ranked = shared.select(
+        "*", F.row_number().over(own.orderBy("forced", "many", "token")).alias("rank"), F.sum(F.when(F.col("forced"), 0).otherwise(1)).over(own).alias("common")
+    )
+    faces = reps.select(F.col("id").alias("node"), "n", "bits", "region")
+    met = ranked.join(faces, "node")
+    prefix = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1
+    met = met.where(F.col("forced") | (F.col("rank") <= prefix - (F.col("region") - F.col("common"))))
+    return met.select("token", "node", "n", "bits")
+
+
+# Stage 3: which sets that meet can link.
+
+
+def _folded(bits: list[pa.Scalar], rows: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps of ``rows`` at ``width`` bits; wider ones are folded by OR."""
+    out = np.empty((len(rows), width // 64), np.uint64)
+    for k, r in enumerate(rows.tolist()):
+        words = np.frombuffer(bits[r].as_buffer(), np.uint64)
+        out[k] = words if len(words) == out.shape[1] else np.bitwise_or.reduce(words.reshape(-1, out.shape[1]), axis=0)
+    return out
+
+
+def _may_meet(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, bits: list[pa.Scalar], num: int, den: int) -> np.ndarray:
+    """Which pairs of rows can link, by sizes and bitmaps."""
+    ok = np.flatnonzero(den * np.minimum(sizes[i], sizes[j]) >= num * np.maximum(sizes[i], sizes[j]))
+    widths = np.array([len(b.as_buffer()) * 8 for b in bits])
+    least = np.minimum(widths[i[ok]], widths[j[ok]])
+    found = np.zeros(len(i), bool)
+    for width in np.unique(least).tolist():
+        pairs = ok[least == width]
+        rows, back = np.unique(np.concatenate([i[pairs], j[pairs]]), return_inverse=True)
+        folded = _folded(bits, rows, width)
+        count = np.bitwise_count(folded).sum(axis=1, dtype=np.int64)
+        for at in range(0, len(pairs), 1 << 15):
+            part = pairs[at : at + (1 << 15)]
+            x, y = back[at : at + len(part)], back[len(pairs) + at : len(pairs) + at + len(part)]
+            common = np.bitwise_count(folded[x] & folded[y]).sum(axis=1, dtype=np.int64)
+            n, m = sizes[i[part]], sizes[j[part]]
+            found[part] = may_link(n, n, count[x], m, m, count[y], common, num, den)
+    return found
+
+
+def _group_edges(tokens: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, bits: list[pa.Scalar], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges between sets that meet at a token and can link; rows are sorted by token, groups complete."""
+    starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    many = np.diff(np.concatenate([starts, [len(tokens)]]))
+    small = np.repeat(many <= PAIRED, many)
+    for d in range(1, int(min(PAIRED, many.max()))):
+        i = np.flatnonzero((tokens[d:] == tokens[:-d]) & small[d:])
+        if len(i):
+            ok = _may_meet(i, i + d, sizes, bits, num, den)
+            yield nodes[i[ok]], nodes[i[ok] + d]
+    for g in np.flatnonzero(many > PAIRED).tolist():
+        rows = np.arange(starts[g], starts[g] + many[g])
+        if many[g] > TREED:
+            yield np.full(len(rows) - 1, nodes[rows[0]]), nodes[rows[1:]]
+            continue
+        for width in sorted({len(bits[r].as_buffer()) * 8 for r in rows}):
+            # Sets that link have equal or neighbouring widths.
+            mine = rows[[len(bits[r].as_buffer()) * 8 in (width, 2 * width) for r in rows]]
+            links = tree_links(nodes[mine], None, num, den, sizes=sizes[mine], bits=_folded(bits, mine, width))
+            yield np.array([x[0] for x in links], np.int64), np.array([x[1] for x in links], np.int64)
+
+
+def _edges(met: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b`` edges of ``token, node, n, bits`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _complete(batches, 20_000):
+            bits = list(table.column("bits").combine_chunks())
+            for a, b in _group_edges(*(table.column(c).to_numpy() for c in ("token", "node", "n")), bits, num, den):
+                if len(a):
+                    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                    yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    spark = met.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 # Stage 4: trees.
 
 
 class Block:
-    """Sets of one block, as exact bitmaps over the tokens that two or more of them hold."""
-
-    def __init__(self, ids: np.ndarray, sets: list[np.ndarray]) -> None:
+    """Sets of one block with token bitmaps; a bitmap has about four bits per token of the largest set."""
+
+    def __init__(self, ids: np.ndarray, sets: list[np.ndarray] | None, sizes: np.ndarray | None = None, bits: np.ndarray | None = None) -> None:
+        if sets is None:
+            order = np.argsort(sizes, kind="stable")
+            self.ids, self.sizes, self.order, self.sets, self.bits = ids[order], sizes[order], order, None, bits[order]
+            self.count = np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
+            return
         sizes = np.array([len(s) for s in sets])
-        flat = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        tokens, column, held = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = held > 1
-        place = np.cumsum(shared) - 1
-        keep = shared[column]
         # Documents of like size, and then of like least token, share a leaf.
         order = np.lexsort((np.array([int(s[0]) for s in sets], np.uint64), np.floor(np.log(sizes) * 20)))
-        position = np.empty(len(order), np.int64)
-        position[order] = np.arange(len(order))
         self.ids, self.sizes, self.order = ids[order], sizes[order], order
-        width = max(1, -(-int(shared.sum()) // 64))
+        self.sets = [sets[i] for i in order]
+        width = min(MAX_BITS, 1 << int(4 * int(sizes.max()) - 1).bit_length()) // 64 or 1
         self.bits = np.zeros((len(sets), width), np.uint64)
-        rows, columns = position[owner[keep]], place[column[keep]]
-        np.bitwise_or.at(self.bits, (rows, columns >> 6), np.uint64(1) << (columns & 63).astype(np.uint64))
+        for row, tokens in zip(self.bits, self.sets, strict=True):
+            row[:] = bitmap(tokens << np.uint64(16), 64 * width)
+        self.count = np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
 
 
 class Tree:
-    """Levels of nodes over a block; node ``i`` of a level spans children ``FANOUT*i`` and on."""
+    """Levels of nodes over a block; node ``i`` of a level spans children ``FANOUT*i`` and on.
+
+    A node holds the OR of the bitmaps below, the range of sizes, and the least
+    number of bits.
+    """
 
     def __init__(self, block: Block) -> None:
-        self.block = block
-        cuts = np.arange(0, len(block.ids), LEAF)
-        level = np.bitwise_or.reduceat(block.bits, cuts, axis=0), np.minimum.reduceat(block.sizes, cuts), np.maximum.reduceat(block.sizes, cuts)
-        self.levels = [level]
-        while len(level[1]) > 1:
-            cuts = np.arange(0, len(level[1]), FANOUT)
-            level = np.bitwise_or.reduceat(level[0], cuts, axis=0), np.minimum.reduceat(level[1], cuts), np.maximum.reduceat(level[2], cuts)
+        level, step = (block.bits, block.sizes, block.sizes, block.count), LEAF
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        while not self.levels or len(level[1]) > 1:
+            cuts = np.arange(0, len(level[1]), step)
+            level = tuple(f.reduceat(x, cuts, axis=0) for f, x in zip((np.bitwise_or, np.minimum, np.maximum, np.minimum), level, strict=True))
             self.levels.append(level)
+            step = FANOUT
 
     def possible(self, depth: int, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
-        """Whether node pairs can hold a link: the largest overlap against what the sizes ask for.
-
-        A document shares at most the bits common to both nodes, and at most
-        the larger size; a link of sizes x >= y needs ``num*(x+y)/(num+den)``.
-        """
-        bits, low, high = self.levels[depth]
-        ok = (den * np.minimum(high[a], high[b]) >= num * np.maximum(low[a], low[b]))
-        a, b = a[ok], b[ok]
-        common = np.zeros(len(a), np.int64)
-        step = max(1, (1 << 22) // bits.shape[1])
-        for i in range(0, len(a), step):
-            common[i : i + step] = np.bitwise_count(bits[a[i : i + step]] & bits[b[i : i + step]]).sum(axis=1, dtype=np.int64)
-        most = np.minimum(common, np.minimum(high[a], high[b]))
-        found = np.zeros(len(ok), bool)
-        found[np.flatnonzero(ok)[(num + den) * most >= num * (low[a] + low[b])]] = True
+        """Whether node pairs can hold a link."""
+        bits, low, high, count = self.levels[depth]
+        found = np.zeros(len(a), bool)
+        ok = np.flatnonzero(den * np.minimum(high[a], high[b]) >= num * np.maximum(low[a], low[b]))
+        step = max(1, (1 << 21) // bits.shape[1])
+        for i in range(0, len(ok), step):
+            part = ok[i : i + step]
+            x, y = a[part], b[part]
+            common = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
+            found[part] = may_link(low[x], high[x], count[x], low[y], high[y], count[y], common, num, den)
         return found
 
 
+def may_link(low_a, high_a, count_a, low_b, high_b, count_b, common, num: int, den: int):  # noqa: ANN001, ANN201
+    """Largest possible overlap against what the smallest sizes ask for.
+
+    Every bit that a set has and the other side has not stands for a token that
+    is not shared; a link of sizes x and y shares ``num*(x+y)/(num+den)``.
+    """
+    most = np.minimum(high_a - np.maximum(count_a - common, 0), high_b - np.maximum(count_b - common, 0))
+    return (num + den) * most >= num * (low_a + low_b)
+
+
 class Union:
     def __init__(self, n: int) -> None:
         self.root = np.arange(n)
@@ -247,14 +382,17 @@ class Union:
         return self.root
 
 
-def tree_links(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def tree_links(
+    ids: np.ndarray, sets: list[np.ndarray] | None, num: int, den: int, side: np.ndarray | None = None, *, sizes: np.ndarray | None = None, bits: np.ndarray | None = None
+) -> list[tuple[int, int]]:
     """Links that span the components of a block, by a dual traversal of its tree.
 
     With ``side`` (0 or 1 per set) only links between different sides count.
+    Without ``sets``, ``sizes`` and ``bits`` tell which pairs can link, and those count.
     """
     if len(ids) < 2:
         return []
-    block = Block(ids, sets)
+    block = Block(ids, sets, sizes, bits)
     sides = None if side is None else side[block.order]
     tree, union, out = Tree(block), Union(len(ids)), []
     depth = len(tree.levels) - 1
@@ -272,6 +410,7 @@ def tree_links(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, side
         ok = (x <= y) & (x < many) & (y < many)
         a, b = x[ok], y[ok]
     # Near pairs of leaves first: they join most documents, and later pairs can be skipped.
+    size, count, bits = block.sizes, block.count, block.bits
     for p in np.argsort(b - a, kind="stable"):
         rows = np.arange(a[p] * LEAF, min((a[p] + 1) * LEAF, len(ids)))
         cols = np.arange(b[p] * LEAF, min((b[p] + 1) * LEAF, len(ids)))
@@ -279,17 +418,24 @@ def tree_links(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, side
         open_ = (root[rows][:, None] != root[cols][None, :]) & (rows[:, None] < cols[None, :])
         if sides is not None:
             open_ &= sides[rows][:, None] != sides[cols][None, :]
+        open_ &= den * np.minimum(size[rows][:, None], size[cols][None, :]) >= num * np.maximum(size[rows][:, None], size[cols][None, :])
         i, j = np.nonzero(open_)
-        if not len(i):
-            continue
         i, j = rows[i], cols[j]
-        si, sj = block.sizes[i], block.sizes[j]
-        ok = den * np.minimum(si, sj) >= num * np.maximum(si, sj)
-        i, j, need = i[ok], j[ok], (si + sj)[ok]
-        shared = np.bitwise_count(block.bits[i] & block.bits[j]).sum(axis=1, dtype=np.int64)
-        for x, y in zip(i[hit := den * shared >= num * (need - shared)].tolist(), j[hit].tolist(), strict=True):
-            if union.join(x, y):
-                out.append((int(block.ids[x]), int(block.ids[y])))
+        for at in range(0, len(i), 128):
+            x, y = i[at : at + 128], j[at : at + 128]
+            common = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
+            ok = may_link(size[x], size[x], count[x], size[y], size[y], count[y], common, num, den)
+            for u, v in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+                if union.find(u) == union.find(v):
+                    continue
+                if block.sets is None:
+                    union.join(u, v)
+                    out.append((int(block.ids[u]), int(block.ids[v])))
+                    continue
+                shared = len(np.intersect1d(block.sets[u], block.sets[v], assume_unique=True))
+                if linked(len(block.sets[u]), len(block.sets[v]), shared, num, den):
+                    union.join(u, v)
+                    out.append((int(block.ids[u]), int(block.ids[v])))
     return out
 
 
@@ -298,7 +444,7 @@ def _block_links(rows: DataFrame, num: int, den: int) -> DataFrame:
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
-        sets = [np.frombuffer(c.as_buffer(), np.uint64) for c in table.column("tokens")]
+        sets = [unpack(c.as_buffer()) for c in table.column("tokens")]
         sides = table.column("side").to_numpy()
         both = set(sides.tolist()) - {-1}
         links = tree_links(ids, sets, num, den, sides if len(both) == 2 else None)
@@ -366,21 +512,22 @@ def near_components(
     """
     spark = docs.sparkSession
     text_batches(spark)
-    stored, path = write_table(_sets(docs, k, id_col, text_col), "shingles", compression="none")
-    rows = stored.where("sig IS NOT NULL").select("id", "n", "sig", "tokens")
-    able = rows.where("n > 0 AND id IS NOT NULL").withColumn("node", F.conv(F.hex(F.substring("sig", 1, 7)), 16, 10).cast("long"))
+    stored, path = write_table(_sets(docs, k, num, den, id_col, text_col), "shingles")
+    able = stored.where("n > 0 AND id IS NOT NULL")
     classes = able.groupBy("sig").agg(F.min("id").alias("class_id"))
-    member = rows.select("id", "n", "sig").join(classes, "sig", "left")
+    member = stored.select("id", "n", "sig").join(classes, "sig", "left")
     member = cut(member.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("class_id")).otherwise(F.col("id")).alias("class_id")))
-    meet = _meetings(able, _levels(stored.select("sketch").where("sketch IS NOT NULL")), num, den)
-    hubs = meet.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("token", "a")
-    edges = cut(meet.join(hubs, "token").where("a <> node").select("a", F.col("node").alias("b")).distinct())
-    blocks = connected_components(edges).withColumnRenamed("component", "block")
-    sets = join_counted(able, blocks, "node", "inner").groupBy("block", "sig")
-    sets = sets.agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    # Copies go; rows that repeat an id are harmless below.
+    reps = join_counted(able, member.where("id <> class_id").select("id").distinct(), "id", "left_anti")
+    shared, shared_path = write_table(_shared(_counted(reps, num, den)), "shared")
+    met = _meetings(reps, shared, num, den).distinct()
+    edges = cut(_edges(met, num, den))
+    blocks = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("block"))
+    sets = join_counted(reps, blocks, "id", "inner").groupBy("block", "id").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     links = _block_links(_tasks(sets, num, den, block_tokens), num, den)
     found = connected_components(links)
     out = member.join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     out = cut(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id")))
     drop_table(spark, path)
+    drop_table(spark, shared_path)
     return out
