@@ -239,7 +239,9 @@ class Compiler:
             return Value("num", (vector_to_array(c),), multi=True)
         if isinstance(kind, (T.ArrayType, T.MapType)):
             raise FormulaError(f"column '{name}' of type {kind.simpleString()} is neither numerical nor categorical")
-        return Value("text", (c,))
+        # Levels that column metadata declare (as pandas categories do) are authoritative.
+        declared = self.fields[name].metadata.get("ml_attr", {}).get("vals")
+        return Value("text", (c,), categorical=declared is not None, levels=tuple(declared) if declared is not None else None)
 
     def factor(self, factor: object) -> Value:
         try:

@@ -183,6 +183,33 @@ def test_generators(spark):
         dl.demo_data(spark, "o")
 
 
+def test_declared_levels_and_custom_factors(spark, small):
+    from pyspark.sql import functions as F
+
+    declared = small.withColumn("a", F.col("a").alias("a", metadata={"ml_attr": {"type": "nominal", "vals": ["a2", "a1", "a0"]}}))
+    assert dl.dmatrix("0 + a", declared).design_info.column_names == ["a[a2]", "a[a1]", "a[a0]"]
+
+    class Twice:
+        def name(self):
+            return "twice"
+
+        def compile(self, compiler):
+            from dataclasses import replace
+
+            x = compiler.column("x")
+            return replace(x, columns=(x.one * 2,))
+
+    (info,) = dl.design_matrix_builders([[dl.Term([Twice()])]], small)
+    assert [r[0] for r in dl.build_design_matrices([info], small).collect()] == [2.0, 4.0, 6.0, 10.0]
+
+
+def test_passed_through_frames(small):
+    assert dl.dmatrix(small.select("x")).design_info.column_names == ["x"]
+    assert dl.DesignInfo.from_columns(["a", 1], "column").column_names == ["a", "column1"]
+    assert "1 + a" in dl.incr_dbuilder("~ a", [small, small]).describe()
+    assert dl.dmatrix("0 + x", small, return_type="dataframe").shape == (4, 1)
+
+
 def test_subset_and_constraints(small):
     info = dl.incr_dbuilder("~ a + b + x", small)
     assert info.subset("0 + x").column_names == ["x"]
