@@ -33,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original stays, then the smallest id; repeated rows of it once."""
+    """Of equal texts the longest original stays, then the smallest id; repeated rows of it once. Rows without an id stay."""
     groups = exact_dedup.exact_groups(docs)
     left = join_counted(docs, groups.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti")
     twice = groups.where("kept").groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")

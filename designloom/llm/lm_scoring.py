@@ -31,10 +31,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import cut, join_counted, text_batches
+from .common import cut, drop_table, join_counted, text_batches, write_table
 
 VOCABULARY, MAX_BIGRAMS, STRENGTH = 1 << 17, 1 << 20, 50.0
 #: Hash values of the start of a text and of an unknown word; words have others.
@@ -173,8 +173,14 @@ class Models:
 
 def train(docs: DataFrame, *, vocabulary: int = VOCABULARY, max_bigrams: int = MAX_BIGRAMS, strength: float = STRENGTH) -> Models:
     """Both models from rows ``text, target``."""
-    table = cut(counts(docs))
-    unigrams = table.where("key BETWEEN 0 AND 4294967295")
+    counted, seen = counts(docs), Observation()
+    single = "key BETWEEN 0 AND 4294967295"
+    # Bigrams seen once are counted, not stored: they are kept only if all bigrams are.
+    once = f"NOT ({single}) AND target + background = 1"
+    table, path = write_table(counted.observe(seen, F.count_if(F.expr(once)).alias("once")).where(f"NOT ({once})"), "ngrams")
+    unigrams, bigrams = table.where(single), table.where(f"NOT ({single})")
+    if bigrams.count() + seen.get["once"] <= max_bigrams:
+        bigrams = cut(counted.where(f"NOT ({single})"))
     sums = unigrams.agg(F.sum("target"), F.sum("background")).first()
     words = _most_frequent(unigrams, vocabulary).toArrow()
 
@@ -185,8 +191,8 @@ def train(docs: DataFrame, *, vocabulary: int = VOCABULARY, max_bigrams: int = M
 
     keys, word_counts = columns(words)
     # A bigram of kept words only; frequent bigrams have frequent words, so few are dropped after the cut.
-    bigrams = _most_frequent(table.where("key NOT BETWEEN 0 AND 4294967295"), max_bigrams)
-    grams, gram_counts = columns(bigrams.toArrow())
+    grams, gram_counts = columns(_most_frequent(bigrams, max_bigrams).toArrow())
+    drop_table(docs.sparkSession, path)
     if len(keys):
         inside = [keys[np.minimum(np.searchsorted(keys, part), len(keys) - 1)] == part for part in (grams >> np.uint64(32), grams & np.uint64(0xFFFFFFFF))]
         grams, gram_counts = grams[inside[0] & inside[1]], gram_counts[inside[0] & inside[1]]
