@@ -30,13 +30,14 @@ def components(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("small", [0, common.SMALL_EDGES])
+def test_connected_components(spark, small):
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)] + [(2000, i) for i in range(2001, 2100)]
-    got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()}
     nodes = {n for e in edges for n in e if e[0] != e[1]}
     assert got == components(nodes, [e for e in edges if e[0] != e[1]])
-    assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert common.connected_components(spark.createDataFrame([], "a long, b long"), small=small).count() == 0
 
 
 # Exact deduplication.
@@ -274,4 +275,4 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "x " * 3000, None, "s", 5), (3, "token = abcdef123456\n", "en", None, 3)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 2, 3}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {None, 1, 2, 3}
