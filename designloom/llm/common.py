@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +25,17 @@ BROADCAST_ROWS = 1_000_000
 SMALL_EDGES = 500_000
 
 
+_claimed: tuple[str, Callable[[], None]] | None = None
+
+
+def claim_memory(owner: str, clear: Callable[[], None]) -> None:
+    """Python workers outlive stages: whoever starts to remember things lets the one before forget."""
+    global _claimed
+    if _claimed is not None and _claimed[0] != owner:
+        _claimed[1]()
+    _claimed = owner, clear
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a fresh local one only where none is set (tests)."""
     context = spark.sparkContext

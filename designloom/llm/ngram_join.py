@@ -38,10 +38,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, drop_table, join_counted, text_batches, write_table
+from .common import claim_memory, connected_components, cut, drop_table, join_counted, text_batches, write_table
 
 #: Words whose hashes one Python worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 #: The counted share of hash space, as a multiple of the prefix's share of a set.
 REGION = 1.5
 #: Documents of one leaf, and children of one inner node.
@@ -136,6 +136,7 @@ def _sets(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: st
     """``id, n, sig, tokens, bits, region`` per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory("ngram_join", _WORDS.clear)
         for batch in batches:
             rows = [shingles(t, k) for t in batch.column(1).to_pylist()]
             yield pa.record_batch(
@@ -198,6 +199,7 @@ def _shared(counted: DataFrame) -> DataFrame:
     """``token, node, forced, many`` of the tokens that two or more sets hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory("blocks", lambda: None)
         for table in _complete(batches, 100_000):
             tokens = table.column("token").to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
@@ -443,6 +445,7 @@ def _block_links(rows: DataFrame, num: int, den: int) -> DataFrame:
     """``a, b`` links of the rows ``key, side, id, tokens``; a key is a block or a pair of slices."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        claim_memory("blocks", lambda: None)
         ids = table.column("id").to_numpy()
         sets = [unpack(c.as_buffer()) for c in table.column("tokens")]
         sides = table.column("side").to_numpy()

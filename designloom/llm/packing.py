@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, text_batches, write_table
+from .common import BROADCAST_ROWS, claim_memory, text_batches, write_table
 
 #: Most parts of texts, and most words, whose ids one Python worker remembers.
 CACHE_PARTS, CACHE_WORDS = 1_500_000, 1_000_000
@@ -85,6 +85,10 @@ class WordEncoder(dict):
             self[part] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.words.clear()
+
     def word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
@@ -119,6 +123,7 @@ def encode_table(docs: DataFrame, tokenizer_path: str, end_id: int, *, id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, start = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
+        claim_memory("packing", encode.forget)
         for batch in batches:
             ids = [encode(t or "") + end for t in batch.column(1).to_pylist()]
             n = np.array([len(x) // 4 for x in ids], dtype=np.int64)

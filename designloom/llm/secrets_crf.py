@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import claim_memory, text_batches
 
 # The base patterns, and the least length of what they match.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -326,6 +326,7 @@ def redacted(docs: DataFrame, model: Crf | None, *, text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            claim_memory("secrets", lambda: None)
             texts = [None if t is None else redact(t, spans) if (spans := spans_of(t, shared.value)) else t for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at).name, pa.array(texts, pa.string()))
 

@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_counted, text_batches
+from .common import claim_memory, cut, join_counted, text_batches
 
 #: Prefix lengths that are features beside the whole word.
 PREFIXES = (4, 5, 6)
 #: Word forms that one Python worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -188,6 +188,7 @@ def train(
     shared = docs.sparkSession.sparkContext.broadcast(empty)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory("toxicity features", shared.value.forms.clear)
         for batch in batches:
             got = [shared.value.vector(*shared.value.counts(t or "")) for t in batch.column(0).to_pylist()]
             yield pa.record_batch([pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.float64())), batch.column(1)], names=["ids", "values", "toxic"])
@@ -210,6 +211,8 @@ def score(docs: DataFrame, model: Ordinal | None, *, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        if model is not None:
+            claim_memory("toxicity", model.forms.clear)
         for batch in batches:
             exceed = [np.zeros(1) if model is None else model.exceed(t or "") for t in batch.column(1).to_pylist()]
             first = np.array([round(float(e[0]), 9) for e in exceed])
@@ -234,6 +237,8 @@ def kept(docs: DataFrame, model: Ordinal | None, *, text_col: str = "text", cuto
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        if model is not None:
+            claim_memory("toxicity", model.forms.clear)
         for batch in batches:
             yield batch if model is None else batch.filter(pa.array([model.exceed(t or "")[0] < cutoff for t in batch.column(at).to_pylist()], pa.bool_()))
 
