@@ -6,16 +6,21 @@ they differ in their counts only. Each token's loss difference,
 ``log P_background - log P_target``, is averaged over a document: low scores look
 like the target.
 
-Counting covers every token of the corpus: tasks count unigrams and bigrams
-under 64-bit keys (two 32-bit word hashes), combine them by sorting, and the
-counts are added up by key over all tasks, so what is gathered grows with the
-corpus. The models then keep the ``vocabulary`` most frequent words (others are
-one unknown word) and the ``max_bigrams`` most frequent bigrams of them; these
-bounds are what is broadcast, as sorted arrays.
-
-``P(w) = (c(w) + 1) / (N + V)`` with V the vocabulary and the unknown word;
-``P(w | v) = (c(v w) + (r(v) + M) P(w)) / (c(v) + M)``, where c(v) counts v as a
-left neighbour, r(v) = c(v) less the kept bigrams of v, and M is ``strength``.
+The models are whole: every word and every bigram of the corpus counts, at any
+size, and no table of them is ever in one place. Texts become chunks of word
+hashes in the shared folder. A chunk sends the counts of its n-grams (64-bit keys
+of two 32-bit word hashes) to buckets by key; a bucket adds them up, and answers
+each chunk with what the other chunks hold of the chunk's own n-grams, in their
+order. So a frequent n-gram is one entry a chunk, and a chunk has the full counts
+of all that its texts need. Buckets grow in number with the corpus.
+
+``P(w) = (c(w) + 1) / (N + V + 1)`` with V the distinct words, and one more for an
+unknown word; ``P(w | v) = (c(v w) + (r(v) + M) P(w)) / (c(v) + M)``, where c(v)
+counts v, r(v) = c(v) less the bigrams that start with v, and M is ``strength``.
+
+With explicit bounds (``vocabulary`` words, ``max_bigrams`` bigrams) the models are
+cut to whole levels of the most frequent and broadcast, as sorted arrays; other
+words are one unknown word. No query asks for that.
 
 Defined cases: a null or empty text has no tokens, and null scores; labels that
 are null, repeated (the largest counts) or of unknown documents do no harm; a
@@ -31,16 +36,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import cut, drop_table, join_counted, text_batches, write_table
 
-VOCABULARY, MAX_BIGRAMS, STRENGTH = 1 << 17, 1 << 20, 50.0
+STRENGTH = 50.0
 #: Hash values of the start of a text and of an unknown word; words have others.
 START, UNKNOWN = 1, 2
 #: Tokens counted at once in one task, and word hashes remembered by one worker.
 CHUNK, CACHE_WORDS = 2_000_000, 1_000_000
+#: Tokens of one row of a chunk, and tokens of the corpus for each bucket.
+PIECE, BUCKET_TOKENS = 200_000, 1_500_000
+#: Rows of one Arrow batch of pieces or answers, which are large.
+PIECE_ROWS = 16
+#: An odd factor that spreads keys over buckets.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Words(dict):
@@ -171,8 +183,8 @@ class Models:
         return np.log((seen + (spare + self.strength) * single) / (context + self.strength))
 
 
-def train(docs: DataFrame, *, vocabulary: int = VOCABULARY, max_bigrams: int = MAX_BIGRAMS, strength: float = STRENGTH) -> Models:
-    """Both models from rows ``text, target``."""
+def train(docs: DataFrame, *, vocabulary: int, max_bigrams: int, strength: float = STRENGTH) -> Models:
+    """Both models from rows ``text, target``, cut to the bounds."""
     counted, seen = counts(docs), Observation()
     single = "key BETWEEN 0 AND 4294967295"
     # Bigrams seen once are counted, not stored: they are kept only if all bigrams are.
@@ -222,10 +234,181 @@ def score(docs: DataFrame, models: Models, *, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, "id long, n_tokens long, target_ce double, background_ce double, score double").withColumnRenamed("id", id_col)
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options: float) -> DataFrame:
-    """Train on all ``docs``, target those whose label is 1, and score all of them."""
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, bytes of one weight together, compressed."""
+    return pa.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, *types: type) -> list[np.ndarray]:
+    widths = [np.dtype(t).itemsize for t in types]
+    flat, out, at = np.frombuffer(pa.decompress(data, n * sum(widths), codec="zstd", asbytes=True), np.uint8), [], 0
+    for kind, width in zip(types, widths, strict=True):
+        out.append(np.ascontiguousarray(flat[at : at + n * width].reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    return out
+
+
+PIECES = "chunk long, part int, ids array<long>, lengths array<int>, targets array<boolean>, n long, n_target long, data binary"
+
+
+def _pieces(docs: DataFrame) -> DataFrame:
+    """Chunks of ``id, text, target`` rows, in pieces of whole texts that follow one another."""
+    text_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, part, size = TaskContext.get().partitionId() << 32, 0, 0
+        held: list[tuple[int | None, np.ndarray, bool]] = []
+
+        def flush() -> pa.RecordBatch:
+            words = np.concatenate([w for _, w, _ in held]).astype(np.uint32)
+            columns = [
+                pa.array([chunk], pa.int64()), pa.array([part], pa.int32()), pa.array([[i for i, _, _ in held]], pa.list_(pa.int64())),
+                pa.array([[len(w) for _, w, _ in held]], pa.list_(pa.int32())), pa.array([[t for _, _, t in held]], pa.list_(pa.bool_())),
+                pa.array([len(words)], pa.int64()), pa.array([sum(len(w) for _, w, t in held if t)], pa.int64()), pa.array([_packed(words)], pa.binary()),
+            ]
+            held.clear()
+            return pa.record_batch(columns, names=[c.split()[0] for c in PIECES.split(", ")])
+
+        tokens_held = 0
+        for batch in batches:
+            for i, text, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = tokens(text)
+                held.append((i, words, bool(target)))
+                # An empty text has a weight too.
+                tokens_held += len(words) + 1
+                size += len(words) + 1
+                if tokens_held >= PIECE or size >= CHUNK:
+                    yield flush()
+                    part, tokens_held = part + 1, 0
+                    if size >= CHUNK:
+                        chunk, part, size = chunk + 1, 0, 0
+        if held:
+            yield flush()
+
+    return cut(docs.mapInArrow(run, PIECES))
+
+
+class _Chunk:
+    """N-grams of a chunk: words under high half 0, last words of texts under low half 0, bigrams."""
+
+    def __init__(self, pieces: list[dict], buckets: int) -> None:
+        self.ids = [i for p in pieces for i in p["ids"]]
+        self.lengths = np.array([n for p in pieces for n in p["lengths"]], np.int64)
+        words = np.concatenate([_unpacked(p["data"], p["n"], np.uint32)[0] for p in pieces]).astype(np.uint64)
+        self.owners = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        flags = np.repeat(np.array([t for p in pieces for t in p["targets"]], bool), self.lengths)
+        #: Tokens that have a left neighbour.
+        self.later = np.flatnonzero(self.owners[1:] == self.owners[:-1]) + 1 if len(words) else np.zeros(0, np.int64)
+        last = np.cumsum(self.lengths)[self.lengths > 0] - 1
+        shift = np.uint64(32)
+        # Each word has a key of the texts it ends, here or elsewhere.
+        keys = np.concatenate([words, words[self.later - 1] << shift | words[self.later], np.unique(words) << shift])
+        self.keys, place = np.unique(keys, return_inverse=True)
+        self.words, self.grams = np.split(place[: len(words) + len(self.later)], [len(words)])
+        # Words are the first keys, in the order of their ends.
+        self.ends = place[len(words) + len(self.later) :]
+        classes = np.concatenate([flags, flags[self.later], flags[last]])
+        counted = np.concatenate([self.words, self.grams, self.ends[self.words[last]]])
+        target = np.bincount(counted[classes], minlength=len(self.keys))
+        self.counts = np.stack([target, np.bincount(counted, minlength=len(self.keys)) - target], axis=1)
+        bucket = ((self.keys * SPREAD) >> shift) * np.uint64(buckets) >> shift
+        #: Places of the n-grams by bucket and then key, and where buckets begin.
+        self.order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))])
+
+    def scores(self, others: np.ndarray, n_words: int, totals: np.ndarray, strength: float) -> np.ndarray:
+        """Mean loss of each text by (target, background); ``others`` by bucket and then key."""
+        counts = self.counts.astype(np.float64)
+        counts[self.order] += others
+        count, rest = counts[self.words], counts[self.ends[self.words]]
+        chance = (count + 1) / (totals + n_words + 1)
+        left = self.later - 1
+        given = chance.copy()
+        given[self.later] = (counts[self.grams] + (rest[left] + strength) * chance[self.later]) / (count[left] + strength)
+        losses = -np.log(given)
+        sums = np.stack([np.bincount(self.owners, losses[:, k], minlength=len(self.lengths)) for k in range(2)], axis=1)
+        return sums / np.maximum(self.lengths, 1)[:, None]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[int, _Chunk]]:
+    """Chunks of a partition of pieces."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row["chunk"] != held[0]["chunk"]:
+                yield held[0]["chunk"], _Chunk(held, buckets)
+                held = []
+            held.append(row)
+    if held:
+        yield held[0]["chunk"], _Chunk(held, buckets)
+
+
+SCORES = "id long, n_tokens long, target_ce double, background_ce double, score double"
+
+
+def _scored(ids: pa.Array, n: np.ndarray, means: np.ndarray) -> list[pa.Array]:
+    means = np.where(n[:, None] > 0, means, np.nan)
+    values = [np.round(means[:, 0], 6), np.round(means[:, 1], 6), np.round(means[:, 0] - means[:, 1], 6)]
+    return [ids, pa.array(n, pa.int64()), *(pa.array(v, from_pandas=True) for v in values)]
+
+
+def score_whole(docs: DataFrame, *, strength: float = STRENGTH) -> DataFrame:
+    """Scores of ``id, text, target`` rows by models of all their n-grams."""
+    spark = docs.sparkSession
+    pieces = _pieces(docs)
+    all_tokens, target_tokens = (int(n or 0) for n in pieces.agg(F.sum("n"), F.sum("n_target")).first())
+    totals = np.array([target_tokens, all_tokens - target_tokens], np.float64)
+    buckets = max(1, -(-all_tokens // BUCKET_TOKENS))
+    text_batches(spark, PIECE_ROWS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, chunk in _chunks(batches, buckets):
+            for k in range(buckets if len(chunk.keys) else 0):
+                mine = chunk.order[chunk.starts[k] : chunk.starts[k + 1]]
+                # A bucket answers each chunk, even one that holds nothing of it: the words are counted so.
+                data = _packed(np.diff(chunk.keys[mine], prepend=np.uint64(0)), *chunk.counts[mine].astype(np.uint32).T)
+                yield pa.record_batch([pa.array([v], t) for v, t in ((name, pa.int64()), (k, pa.int32()), (len(mine), pa.int64()), (data, pa.binary()))], names=["chunk", "bucket", "n", "data"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        sizes = table.column("n").to_pylist()
+        held = [_unpacked(d, n, np.uint64, np.uint32, np.uint32) for d, n in zip(table.column("data").to_pylist(), sizes, strict=True)]
+        keys, place = np.unique(np.concatenate([np.cumsum(h[0]) for h in held]), return_inverse=True)
+        place = np.split(place, np.cumsum(sizes)[:-1])
+        sums = np.zeros((2, len(keys)), np.int64)
+        for spot, (_, *mine) in zip(place, held, strict=True):
+            # Keys of one chunk are distinct.
+            for k in range(2):
+                sums[k, spot] += mine[k]
+        words = int(np.searchsorted(keys, np.uint64(1 << 32)))
+        data = [_packed(*(sums[k, spot] - mine[k] for k in range(2))) for spot, (_, *mine) in zip(place, held, strict=True)]
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "n": table.column("n"), "words": pa.array([words] * len(data), pa.int64()), "data": pa.array(data, pa.binary())})
+
+    def finish(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        chunk = _Chunk(sorted((r for r in rows if r["bucket"] is None), key=lambda r: r["part"]), buckets)
+        answers = sorted((r for r in rows if r["bucket"] is not None), key=lambda r: r["bucket"])
+        means = np.zeros((len(chunk.ids), 2))
+        if answers:
+            others = np.concatenate([np.stack(_unpacked(r["data"], r["n"], np.int64, np.int64), axis=1) for r in answers])
+            means = chunk.scores(others, sum(r["words"] for r in answers), totals, strength)
+        return pa.table(_scored(pa.array(chunk.ids, pa.int64()), chunk.lengths, means), names=[c.split()[0] for c in SCORES.split(", ")])
+
+    counted = pieces.mapInArrow(count, "chunk long, bucket int, n long, data binary")
+    answers = counted.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, n long, words long, data binary")
+    return pieces.unionByName(answers, allowMissingColumns=True).groupBy("chunk").applyInArrow(finish, SCORES)
+
+
+def cross_entropy_difference(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    strength: float = STRENGTH, vocabulary: int | None = None, max_bigrams: int | None = None,
+) -> DataFrame:
+    """Train on all ``docs``, target those whose label is 1, and score all of them; bounds cut the models."""
     text_batches(docs.sparkSession)
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct().withColumn("__target", F.lit(True))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    rows = join_counted(rows, good, "__id", "left").select("text", F.coalesce("__target", F.lit(False)).alias("target"))
-    return score(docs, train(rows, **options), id_col=id_col, text_col=text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
+    rows = join_counted(rows, good, "__id", "left").select("__id", "text", F.coalesce("__target", F.lit(False)).alias("target"))
+    if vocabulary is None and max_bigrams is None:
+        return score_whole(rows, strength=strength).withColumnRenamed("id", id_col)
+    if vocabulary is None or max_bigrams is None:
+        raise ValueError("bounds come together: vocabulary and max_bigrams")
+    return score(docs, train(rows.select("text", "target"), vocabulary=vocabulary, max_bigrams=max_bigrams, strength=strength), id_col=id_col, text_col=text_col)

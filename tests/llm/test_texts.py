@@ -323,3 +323,38 @@ def test_scoring_equals_brute_force(spark):
         assert (r.target_ce, r.background_ce) == pytest.approx(ce, abs=2e-6)
     assert lm_scoring.cross_entropy_difference(docs.limit(0), labels).count() == 0
     assert lm_scoring.cross_entropy_difference(docs, labels.limit(0)).count() == len(data)
+
+
+def test_whole_models_equal_brute_force(spark):
+    """More words and bigrams than the bounds that models once had (131,072 and 1,048,576)."""
+    rng = np.random.default_rng(3)
+    data = [(i, " ".join(f"w{k}" for k in rng.integers(0, 150_000, 6000) * (rng.random(6000) < 0.95))) for i in range(200)]
+    data += [(200, "w1 w2 w1"), (201, ""), (202, None), (None, "W3 w0 w0"), (3, data[3][1])]
+    good = {i for i in range(0, 200, 3)} | {200}
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, 1) for i in good] + [(1, 0), (200, 1)], "doc_id long, quality int")
+    single, pair, last = ({g: Counter() for g in (True, False)} for _ in range(3))
+    for i, t in data:
+        words, g = (t or "").lower().split(), i in good
+        single[g].update(words)
+        pair[g].update(zip(words, words[1:]))
+        last[g].update(words[-1:])
+    vocab = set(single[True]) | set(single[False])
+    assert len(vocab) > 1 << 17 and len(set(pair[True]) | set(pair[False])) > 1 << 20
+
+    def loss(v, w, g):
+        one = (single[g][w] + 1) / (sum_of[g] + len(vocab) + 1)
+        return -math.log(one if v is None else (pair[g][v, w] + (last[g][v] + 50) * one) / (single[g][v] + 50))
+
+    sum_of = {g: sum(single[g].values()) for g in (True, False)}
+    got = lm_scoring.cross_entropy_difference(docs, labels).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got if r.doc_id is not None) == sorted((i, len((t or "").split())) for i, t in data if i is not None)
+    text = dict(data)
+    for r in got:
+        words = (text[r.doc_id] or "").lower().split()
+        if not words:
+            assert r.score is None
+        else:
+            ce = [sum(loss(v, w, g) for v, w in zip([None, *words], words)) / len(words) for g in (True, False)]
+            # 32-bit hashes of two words may be equal.
+            assert (r.target_ce, r.background_ce) == pytest.approx(ce, abs=2e-4), r.doc_id
