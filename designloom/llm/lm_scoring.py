@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop_table, join_counted, text_batches, write_table
@@ -185,14 +185,9 @@ class Models:
 
 def train(docs: DataFrame, *, vocabulary: int, max_bigrams: int, strength: float = STRENGTH) -> Models:
     """Both models from rows ``text, target``, cut to the bounds."""
-    counted, seen = counts(docs), Observation()
     single = "key BETWEEN 0 AND 4294967295"
-    # Bigrams seen once are counted, not stored: they are kept only if all bigrams are.
-    once = f"NOT ({single}) AND target + background = 1"
-    table, path = write_table(counted.observe(seen, F.count_if(F.expr(once)).alias("once")).where(f"NOT ({once})"), "ngrams")
+    table, path = write_table(counts(docs), "ngrams")
     unigrams, bigrams = table.where(single), table.where(f"NOT ({single})")
-    if bigrams.count() + seen.get["once"] <= max_bigrams:
-        bigrams = cut(counted.where(f"NOT ({single})"))
     sums = unigrams.agg(F.sum("target"), F.sum("background")).first()
     words = _most_frequent(unigrams, vocabulary).toArrow()
 

@@ -358,3 +358,18 @@ def test_whole_models_equal_brute_force(spark):
             ce = [sum(loss(v, w, g) for v, w in zip([None, *words], words)) / len(words) for g in (True, False)]
             # 32-bit hashes of two words may be equal.
             assert (r.target_ce, r.background_ce) == pytest.approx(ce, abs=2e-4), r.doc_id
+
+
+def test_one_rule_beside_a_corpus_of_any_size(spark):
+    """Bigrams seen once count for a text, however many other bigrams there are."""
+    words = "p q r s p q t".split()
+    single, pair = Counter(words), Counter(zip(words, words[1:]))
+    for filler in (0, 1_100_000):
+        rows = [(1 + i // 5000, " ".join(f"f{k}" for k in range(i, min(i + 5000, filler)))) for i in range(0, filler, 5000)]
+        docs = spark.createDataFrame([(0, " ".join(words)), *rows], "doc_id long, text string")
+        labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+        size = len(np.unique(np.concatenate([lm_scoring.tokens(t) for _, t in rows + [(0, " ".join(words))]])))
+        one = {w: (n + 1) / (len(words) + size + 1) for w, n in single.items()}
+        chances = [one["p"], *((pair[v, w] + 50 * one[w]) / (single[v] + 50) for v, w in zip(words, words[1:]))]
+        got = lm_scoring.cross_entropy_difference(docs, labels).where("doc_id = 0").first()
+        assert got.target_ce == pytest.approx(-sum(map(math.log, chances)) / len(words), abs=2e-6), filler
