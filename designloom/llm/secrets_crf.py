@@ -4,12 +4,16 @@ Patterns find the *base* spans. A CRF tags tokens as secret begin, inside or
 outside by their shape, neighbouring words and file features, and is decoded by
 Viterbi; its spans that touch no base span are added as kind ``crf``.
 
-Only a token that holds a run of 16 or more value characters with a digit and a
-letter may begin a secret, so decoding a window around such tokens equals
-decoding the whole text: every other token is outside. Whole texts are scanned.
+Any token may begin a secret, of any length and any characters: the weights alone
+decide. Whole texts are tokenised and scored, with the five tokens before across
+line ends. Viterbi runs where it can matter: where no span inside a stretch without
+white space can gain on leaving it outside, by a bound on scores and moves, all of
+it is outside in the best path, which so falls into parts decoded one by one.
 
 The CRF is trained here, on what the patterns label in a bounded sample of
-documents (``sample_docs``, chosen by a hash of the id).
+documents (``sample_docs``, chosen by a hash of the id): on stretches around
+labelled tokens and around long tokens of digits and letters, and on about
+``ORDINARY`` stretches of any text.
 
 Defined cases: a null text counts as empty, and has no spans; repeated rows are
 scanned alike; without any labelled token (an empty table too) the CRF adds
@@ -22,8 +26,10 @@ import hashlib
 import json
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +45,15 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+|[^\sA-Za-z0-9+/_=-]")
+#: White space, and a token.
+TOKEN = re.compile(r"(\s*)([A-Za-z0-9+/_=-]+|[^\sA-Za-z0-9+/_=-])")
+SPACED = re.compile(r"\s*(?:[A-Za-z0-9+/_=-]+|[^\sA-Za-z0-9+/_=-])")
 KEYWORDS = re.compile(r"(?ai)pass|pwd|secret|token|key|auth|cred|bearer|private|access")
-#: Characters of context to the left and right of a candidate.
-LEFT, RIGHT = 80, 40
+#: Tokens before one that its features look at, and tokens around a marked one that are trained on.
+BEFORE, AROUND = 5, 12
+#: Stretches of any text in training, at most about; tokens scored at once; tokens remembered by one worker.
+ORDINARY, BLOCK, CACHE = 2_000, 1 << 16, 1 << 17
+HEXES = frozenset("0123456789abcdefABCDEF")
 O, B, I = 0, 1, 2  # noqa: E741
 
 Span = tuple[str, int, int]
@@ -77,58 +87,74 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def _is_candidate(token: str) -> bool:
-    return len(token) >= 16 and any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
+def tokenise(text: str) -> list[tuple[str, int]]:
+    """Tokens of a text, and their offsets."""
+    return [(m[2], m.start(2)) for m in TOKEN.finditer(text)]
 
 
-def windows(text: str) -> list[tuple[int, list[tuple[str, int]]]]:
-    """Stretches around candidates, inside their lines: offset, and tokens with their offsets."""
-    ranges: list[list[int]] = []
-    for part, at in _long_parts(text, 16):
-        if not any(_is_candidate(m[0]) for m in RUN.finditer(part)):
-            continue
-        low = max(text.rfind("\n", 0, at) + 1, at - LEFT)
-        end = text.find("\n", at + len(part), at + len(part) + RIGHT)
-        high = end if end >= 0 else min(len(text), at + len(part) + RIGHT)
-        if ranges and low <= ranges[-1][1]:
-            ranges[-1][1] = high
-        else:
-            ranges.append([low, high])
-    return [(low, [(m[0], low + m.start()) for m in TOKEN.finditer(text[low:high])]) for low, high in ranges]
+_ASCII_KINDS = {c: "d" if chr(c).isdigit() else "A" if chr(c).isupper() else "a" if chr(c).isalpha() else "-" for c in range(128)}
 
 
-def _shape(token: str) -> str:
-    kinds = "".join("d" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else "-" for c in token)
+def _kinds(token: str) -> str:
+    if token.isascii():
+        return token.translate(_ASCII_KINDS)
+    return "".join("d" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else "-" for c in token)
+
+
+@lru_cache(1 << 14)
+def _shape(kinds: str) -> str:
     return re.sub(r"(.)\1+", r"\1+", kinds)[:12]
 
 
+@lru_cache(1 << 14)
+def _entropy(counts: tuple[int, ...]) -> float:
+    return -sum(c / sum(counts) * math.log2(c / sum(counts)) for c in counts)
+
+
 def file_features(text: str) -> list[str]:
     lines = text.count("\n") + 1
     marks = text.count("=") + text.count(":") + text.count("{")
     return [f"file:len{min(6, int(math.log10(len(text) + 1)))}", f"file:marks{min(4, 4 * marks // lines)}"]
 
 
-def features(tokens: list[tuple[str, int]], of_file: list[str]) -> list[list[str]]:
-    """Feature names of each token."""
-    low = [t.lower() if len(t) < 16 else "<long>" for t, _ in tokens]
+def _own(token: str) -> list[str]:
+    """Feature names that depend on the token alone."""
+    names, n, kinds = ["bias"], len(token), _kinds(token)
+    if n >= 6:
+        # Tokens of more than one character are ASCII.
+        counts = sorted(map(token.count, set(token)))
+        digits, upper, lower = kinds.count("d"), kinds.count("A"), kinds.count("a")
+        marks, lines = "+" in token or "/" in token or "=" in token, "_" in token or "-" in token
+        names += [
+            f"mixed{0 < digits and 0 < upper + lower:d}{n >= 16:d}", f"len{min(12, n // 4)}", f"entropy{int(2 * _entropy(tuple(counts)))}", f"digits{8 * digits // n}",
+            f"kinds{upper > 0:d}{lower > 0:d}{marks:d}{lines:d}", f"hex{HEXES.issuperset(token):d}",
+            f"start{token[:4]}" if token[:4].isupper() else "startlow", f"distinct{len(counts) // 4}",
+        ]
+        if "=" in token and KEYWORDS.search(token):
+            names.append("assigned")
+    names.append(f"shape{_shape(kinds)}" if n < 16 else "shapelong")
+    return names
+
+
+def _low(token: str) -> str:
+    return token.lower() if len(token) < 16 else "<long>"
+
+
+def _as_left(token: str) -> str:
+    return f"prev{'<word>' if token.isalnum() else _low(token)}"
+
+
+def _as_right(token: str) -> str:
+    return "next" if token.isalnum() else f"next{_low(token)}"
+
+
+def features(tokens: list[tuple[str, int]], of_file: list[str], low: int = 0, high: int | None = None) -> list[list[str]]:
+    """Feature names of the tokens from ``low`` to ``high``, by all that stand around them."""
     out = []
-    for i, (token, at) in enumerate(tokens):
-        names = ["bias", *of_file]
-        if _is_candidate(token):
-            counts = Counter(token)
-            entropy = -sum(c / len(token) * math.log2(c / len(token)) for c in counts.values())
-            digits = sum(c.isdigit() for c in token) / len(token)
-            names += [
-                "cand", f"len{min(12, len(token) // 4)}", f"entropy{int(2 * entropy)}", f"digits{int(8 * digits)}",
-                f"kinds{any(c.isupper() for c in token):d}{any(c.islower() for c in token):d}{any(c in '+/=' for c in token):d}{any(c in '_-' for c in token):d}",
-                f"hex{all(c in '0123456789abcdef' for c in token.lower()):d}", f"start{token[:4]}" if token[:4].isupper() else "startlow",
-                f"distinct{len(counts) // 4}",
-            ]
-        else:
-            names.append(f"shape{_shape(token)}" if len(token) < 16 else "shapelong")
-        before = [w for w in low[max(0, i - 5) : i]]
-        names += [f"prev{before[-1] if before and not before[-1].isalnum() else '' if not before else '<word>'}", f"next{low[i + 1] if i + 1 < len(low) and not low[i + 1].isalnum() else ''}"]
-        if any(KEYWORDS.search(w) for w in before):
+    for i in range(low, len(tokens) if high is None else high):
+        token, at = tokens[i]
+        names = [*_own(token), *of_file, _as_left(tokens[i - 1][0]) if i else "prev", _as_right(tokens[i + 1][0]) if i + 1 < len(tokens) else "next"]
+        if any(KEYWORDS.search(_low(w)) for w, _ in tokens[max(0, i - BEFORE) : i]):
             names.append("keyword")
         if i and tokens[i - 1][1] + len(tokens[i - 1][0]) == at:
             names.append("glued")
@@ -137,10 +163,19 @@ def features(tokens: list[tuple[str, int]], of_file: list[str]) -> list[list[str
 
 
 class Crf:
-    """Linear-chain CRF over tags O, B, I; I only follows B or I, B only starts on candidates."""
+    """Linear-chain CRF over tags O, B, I; I only follows B or I, without white space before it."""
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, moves: np.ndarray) -> None:
         self.index, self.weights, self.moves = index, weights, moves
+        self._scanner: _Scanner | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_scanner": None}
+
+    def scanner(self) -> _Scanner:
+        if self._scanner is None:
+            self._scanner = _Scanner(self)
+        return self._scanner
 
     @staticmethod
     def _barred() -> np.ndarray:
@@ -148,9 +183,8 @@ class Crf:
         barred[O, I] = -1e9
         return barred
 
-    def scores(self, rows: list[list[int]], candidates: list[bool], glued: list[bool]) -> np.ndarray:
+    def scores(self, rows: list[list[int]], glued: list[bool]) -> np.ndarray:
         out = np.stack([self.weights[r].sum(axis=0) if r else np.zeros(3) for r in rows])
-        out[~np.array(candidates), B] = -1e9
         out[~np.array(glued), I] = -1e9
         return out
 
@@ -197,8 +231,8 @@ class Crf:
         order = np.random.default_rng(0)
         for _ in range(epochs):
             for k in order.permutation(len(coded)):
-                rows, candidates, glued, tags = coded[k]
-                nodes, pairs = model._marginals(model.scores(rows, candidates, glued))
+                rows, glued, tags = coded[k]
+                nodes, pairs = model._marginals(model.scores(rows, glued))
                 nodes[np.arange(len(tags)), tags] -= 1
                 np.add.at(pairs, (tags[:-1], tags[1:]), -1)
                 flat = np.concatenate([np.array(r, np.int64) for r in rows])
@@ -213,34 +247,154 @@ class Crf:
                 model.moves -= rate * pairs / np.sqrt(square_m)
         return model
 
-    def code(self, names: list[list[str]]) -> tuple[list[list[int]], list[bool], list[bool]]:
+    def code(self, names: list[list[str]]) -> tuple[list[list[int]], list[bool]]:
         rows = [[self.index[n] for n in row if n in self.index] for row in names]
-        return rows, ["cand" in row for row in names], ["glued" in row for row in names]
+        return rows, ["glued" in row for row in names]
 
     def tag(self, names: list[list[str]]) -> list[int]:
         return self.decode(self.scores(*self.code(names)))
 
+    def weight(self, names: list[str]) -> np.ndarray:
+        return sum((self.weights[self.index[n]] for n in names if n in self.index), np.zeros(3))
+
+
+class _Scanner(dict):
+    """Spans of whole texts: what a token adds to scores is remembered by token, with the white space before it."""
+
+    def __init__(self, model: Crf) -> None:
+        super().__init__()
+        self.model = model
+        self.first, self.last = model.weight(["prev"]), model.weight(["next"])
+        self.keyword, self.glued = model.weight(["keyword"]), model.weight(["glued"])
+        moves = model.moves
+        #: The most that moves can add to a span: as it begins and ends, and for each token inside.
+        self.ends = max(0.0, *(moves[a, B] - moves[a, O] for a in (O, B, I))) + max(0.0, *(moves[a, c] - moves[O, c] for a in (B, I) for c in (O, B)))
+        self.inner = max(moves[B, I], moves[I, I]) - moves[O, O]
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.weights: dict[tuple[str, ...], np.ndarray] = {}
+        #: Own scores, those of the token after it, those of the token before it; length with white space, white space, keyword.
+        self.known, self.sizes = np.zeros((1024, 3, 3)), np.zeros((1024, 3), np.int64)
+
+    def __missing__(self, spaced: str) -> int:
+        at, token = len(self), spaced.lstrip()
+        if at == len(self.known):
+            self.known, self.sizes = np.concatenate([self.known, np.zeros_like(self.known)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self.known[at] = self._weight(*_own(token)), self._weight(_as_left(token)), self._weight(_as_right(token))
+        self.sizes[at] = len(spaced), len(spaced) - len(token), KEYWORDS.search(_low(token)) is not None
+        self[spaced] = at
+        return at
+
+    def _weight(self, *names: str) -> np.ndarray:
+        found = self.weights.get(names)
+        if found is None:
+            found = self.weights[names] = self.model.weight(list(names))
+        return found
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """Spans of the best path of a whole text."""
+        if len(self) > CACHE:
+            self.forget()
+        ids = np.fromiter((self[m[0]] for m in SPACED.finditer(text)) if len(text) > 1 << 24 else map(self.__getitem__, SPACED.findall(text)), np.int32)
+        n = len(ids)
+        if not n:
+            return []
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes[:, 0])
+        glued = sizes[:, 1] == 0
+        glued[0] = False
+        near = np.concatenate([[0], np.cumsum(sizes[:, 2])])
+        near = near[:-1] > near[np.maximum(np.arange(n) - BEFORE, 0)]
+        of_file = self.model.weight(file_features(text))
+        starts = np.flatnonzero(~glued)
+        borders = [*np.unique(starts[np.searchsorted(starts, np.arange(0, starts[-1] + 1, BLOCK))]).tolist(), n]
+        out: list[tuple[int, int]] = []
+        held: list[np.ndarray] = []
+        begin = 0
+
+        def settle(until: int) -> None:
+            if held:
+                scores = np.concatenate(held)
+                if begin:
+                    scores[0] += self.model.moves[O]
+                if until < n:
+                    scores[-1] += self.model.moves[:, O]
+                start = None
+                for t, tag in zip(range(begin, until + 1), [*self.model.decode(scores), O], strict=True):
+                    if tag != I and start is not None:
+                        out.append((start, int(ends[t - 1])))
+                        start = None
+                    if tag == B:
+                        start = int(ends[t] - sizes[t, 0] + sizes[t, 1])
+                held.clear()
+
+        for low, high in zip(borders, borders[1:]):
+            scores = self.known[ids[low:high], 0] + of_file
+            scores += np.concatenate([self.known[ids[low - 1 : high - 1], 1] if low else np.concatenate([self.first[None], self.known[ids[: high - 1], 1]])])
+            scores += self.known[ids[low + 1 : high + 1], 2] if high < n else np.concatenate([self.known[ids[low + 1 :], 2], self.last[None]])
+            scores += near[low:high, None] * self.keyword + glued[low:high, None] * self.glued
+            scores[~glued[low:high], I] = -1e9
+            groups = np.flatnonzero(~glued[low:high])
+            more = np.maximum(scores[:, I] - scores[:, O] + self.inner, 0.0)
+            sums = np.cumsum(more)
+            stops = np.append(groups[1:], high - low)
+            after = np.repeat(sums[stops - 1], stops - groups) - sums
+            open_ = np.maximum.reduceat(scores[:, B] - scores[:, O] + self.ends + after, groups) > -1e-6
+            last = 0 if held else -1
+            for g in np.flatnonzero(open_).tolist():
+                if last != groups[g] or not held:
+                    settle(low + last)
+                    begin = low + int(groups[g])
+                held.append(scores[groups[g] : stops[g]])
+                last = int(stops[g])
+            # A part that reaches the border goes on behind it.
+            if held and (last != high - low or high == n):
+                settle(low + last)
+        return out
 
-def labelled(text: str) -> list[tuple[list[list[str]], list[int]]]:
-    """Training sequences of a text: windows, with the tags that the base spans give their tokens."""
+
+def labelled(text: str, ordinary: float = 0.0) -> list[tuple[list[list[str]], list[int]]]:
+    """Training sequences of a text, with the tags that the base spans give their tokens; of a share of texts, a stretch of any kind."""
     spans = []
     for kind, start, end in base_spans(text):
         if kind == "assign":
             start = end - len(ASSIGN.match(text[start:end])[2])
         spans.append((start, end))
-    out = []
-    for _, tokens in windows(text):
-        names, tags, inside = features(tokens, file_features(text)), [], None
-        for (token, at), row in zip(tokens, names, strict=True):
-            hit = next((s for s in spans if s[0] < at + len(token) and at < s[1]), None)
-            if hit is None or hit != inside and "cand" not in row or hit == inside and "glued" not in row:
-                tags.append(O)
-                inside = None
-            else:
-                tags.append(I if hit == inside else B)
-                inside = hit
-        out.append((names, tags))
-    return out
+    dice = zlib.crc32(text.encode("utf-8", "replace"))
+    if dice >= ordinary * 2**32 and not spans and not any(_is_long(part) for part, _ in _long_parts(text, 16)):
+        return []
+    tokens, tags, inside, k = tokenise(text), [], None, 0
+    spans.sort()
+    for i, (token, at) in enumerate(tokens):
+        while k < len(spans) and spans[k][1] <= at:
+            k += 1
+        hit = next((s for s in spans[k:] if s[0] < at + len(token) and at < s[1]), None) if k < len(spans) and spans[k][0] < at + len(token) else None
+        follows = i > 0 and tokens[i - 1][1] + len(tokens[i - 1][0]) == at
+        tags.append(O if hit is None else I if hit == inside and follows else B)
+        inside = hit
+    marked = [i for i, (token, _) in enumerate(tokens) if tags[i] != O or _is_long(token)]
+    if tokens and dice < ordinary * 2**32:
+        marked.append(dice % len(tokens))
+        assigns = [i for i, (token, _) in enumerate(tokens) if token in "=:\"'"]
+        marked += [assigns[dice % len(assigns)]] if assigns else []
+    ranges: list[list[int]] = []
+    for i in sorted(marked):
+        low, high = max(0, i - AROUND), min(len(tokens), i + AROUND + 1)
+        if ranges and low <= ranges[-1][1]:
+            ranges[-1][1] = max(high, ranges[-1][1])
+        else:
+            # A span is whole.
+            while low and tags[low] == I:
+                low -= 1
+            ranges.append([low, high])
+    of_file = file_features(text)
+    return [(features(tokens, of_file, low, high), tags[low:high]) for low, high in ranges]
+
+
+def _is_long(token: str) -> bool:
+    return len(token) >= 16 and any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
 
 
 def spans_of(text: str, model: Crf | None) -> list[Span]:
@@ -248,20 +402,7 @@ def spans_of(text: str, model: Crf | None) -> list[Span]:
     base = base_spans(text)
     if model is None:
         return base
-    added: list[Span] = []
-    of_file = None
-    for _, tokens in windows(text):
-        of_file = of_file or file_features(text)
-        start = end = None
-        for tag, (token, at) in zip([*model.tag(features(tokens, of_file)), O], [*tokens, ("", 0)], strict=True):
-            if tag != I and start is not None:
-                if not any(s < end and start < e for _, s, e in base):
-                    added.append(("crf", start, end))
-                start = None
-            if tag == B:
-                start, end = at, at + len(token)
-            elif tag == I and start is not None:
-                end = at + len(token)
+    added = [("crf", start, end) for start, end in model.scanner().spans(text) if not any(s < end and start < e for _, s, e in base)]
     return sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -289,14 +430,16 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
     many = docs.count()
     if not many:
         return None
+    ordinary = min(1.0, ORDINARY / min(many, sample_docs))
     kept = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < max(1, math.ceil((1 << 20) * min(1.0, sample_docs / many))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory("secrets", lambda: None)
         for batch in batches:
-            data = [json.dumps(found) for t in batch.column(0).to_pylist() if t and (found := labelled(t))]
+            data = [json.dumps(found) for t in batch.column(0).to_pylist() if t and (found := labelled(t, ordinary))]
             yield pa.record_batch([pa.array(data, pa.string())], names=["data"])
 
-    # Only the tagged windows travel; sorting them makes the training order fixed.
+    # Only the tagged stretches travel; sorting them makes the training order fixed.
     rows = kept.select(F.col(text_col).alias("text")).mapInArrow(run, "data string").collect()
     return Crf.train([(names, tags) for data in sorted(r[0] for r in rows) for names, tags in json.loads(data)])
 
@@ -310,6 +453,7 @@ def scan(docs: DataFrame, model: Crf | None, *, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            claim_memory("secrets", shared.value.scanner().forget if shared.value else lambda: None)
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in spans_of(t or "", shared.value)] for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(found, kind)], names=["id", "spans"])
 
@@ -326,7 +470,7 @@ def redacted(docs: DataFrame, model: Crf | None, *, text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            claim_memory("secrets", lambda: None)
+            claim_memory("secrets", shared.value.scanner().forget if shared.value else lambda: None)
             texts = [None if t is None else redact(t, spans) if (spans := spans_of(t, shared.value)) else t for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at).name, pa.array(texts, pa.string()))
 

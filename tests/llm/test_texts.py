@@ -373,3 +373,24 @@ def test_one_rule_beside_a_corpus_of_any_size(spark):
         chances = [one["p"], *((pair[v, w] + 50 * one[w]) / (single[v] + 50) for v, w in zip(words, words[1:]))]
         got = lm_scoring.cross_entropy_difference(docs, labels).where("doc_id = 0").first()
         assert got.target_ce == pytest.approx(-sum(map(math.log, chances)) / len(words), abs=2e-6), filler
+
+
+def test_crf_decides_on_tokens_of_any_shape(spark):
+    rng = np.random.default_rng(5)
+    kinds = ["abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"]
+
+    def value(kind):
+        return "".join(rng.choice(list(kinds[kind]), rng.integers(6, 16)))
+
+    def prose():
+        return " ".join("".join(rng.choice(list("aeinorst"), rng.integers(2, 9))) for _ in range(30))
+
+    rows = [(i, f"{prose()}\n{('password', 'token', 'secret')[i % 3]} = \"{value(i // 3 % 3)}\" {prose()}\nsize = \"{i}\" {prose()}") for i in range(600)]
+    tagged = [tags for names, tags in secrets_crf.labelled(rows[0][1])]
+    assert sum(t == secrets_crf.B for tags in tagged for t in tags) == 1
+    model = secrets_crf.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    for secret in ("hunter2xyz9", "aB3dE5fG7h", "qwzkjhgfdmnb", "84021957364", "x7k9q2"):
+        text = f"{prose()}\npwd = \"{secret}\" {prose()}"
+        assert [(k, text[s:e]) for k, s, e in secrets_crf.spans_of(text, model)] == [("crf", secret)]
+    quiet = [prose() for _ in range(100)]
+    assert not any(secrets_crf.spans_of(t, model) for t in quiet)
