@@ -394,3 +394,64 @@ def test_crf_decides_on_tokens_of_any_shape(spark):
         assert [(k, text[s:e]) for k, s, e in secrets_crf.spans_of(text, model)] == [("crf", secret)]
     quiet = [prose() for _ in range(100)]
     assert not any(secrets_crf.spans_of(t, model) for t in quiet)
+
+
+def whole_text_spans(text, model):
+    tokens = secrets_crf.tokenise(text)
+    tags = model.tag(secrets_crf.features(tokens, secrets_crf.file_features(text))) if tokens else []
+    out, start = [], None
+    for tag, (token, at) in zip([*tags, secrets_crf.O], [*tokens, ("", 0)]):
+        if tag != secrets_crf.I and start is not None:
+            out.append((start, end))
+            start = None
+        if tag == secrets_crf.B:
+            start = at
+        end = at + len(token)
+    return out
+
+
+def path_score(text, model, spans):
+    """Score of the path over a whole text that has these spans."""
+    tokens, starts = secrets_crf.tokenise(text), {s for s, _ in spans}
+    tags = [secrets_crf.B if at in starts else secrets_crf.I if any(s < at < e for s, e in spans) else secrets_crf.O for _, at in tokens]
+    scores = model.scores(*model.code(secrets_crf.features(tokens, secrets_crf.file_features(text))))
+    return scores[np.arange(len(tags)), tags].sum() + (model.moves + model._barred())[tags[:-1], tags[1:]].sum()
+
+
+@pytest.mark.parametrize("block", [7, 1 << 16])
+def test_parts_decode_like_whole_texts(texts, monkeypatch, block):
+    monkeypatch.setattr(secrets_crf, "BLOCK", block)
+    far = ["API key:\n 9fK2aa31bC77dd09eF12", f"token https://a.example/{'long-path/' * 12}?x = {HEX}", "secret\n\n  x7k9q2zz\t|a.b.c d", f"\x1c{HEX}\x85é.{HEX[:9]}"]
+    some = [t[:3000] for t in texts[:25]] + ODD + SECRETS + far
+    some = [t for t in some if t]
+    names = sorted({n for t in some for row in secrets_crf.features(secrets_crf.tokenise(t), secrets_crf.file_features(t)) for n in row})
+    found = ties = 0
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        weights = rng.normal(size=(len(names), 3))
+        weights[:, secrets_crf.O] += (0.2, 0.5, 0.8, 1.2)[seed]
+        model = secrets_crf.Crf({n: i for i, n in enumerate(names)}, weights, rng.normal(size=(3, 3)))
+        for text in some:
+            got, want = model.scanner().spans(text), whole_text_spans(text, model)
+            # Two paths may be equally good: tokens of one shape in a row.
+            assert got == want or path_score(text, model, got) == pytest.approx(path_score(text, model, want), abs=1e-6)
+            ties += got != want
+            found += len(want)
+    assert found > 50 and ties < 40
+
+
+def test_keywords_reach_across_lines():
+    rng = np.random.default_rng(6)
+    key = lambda: "".join(rng.choice(list("0123456789abcdef"), 20))
+    filler = "a/b" * 40
+    # Only the words before tell a secret from an ordinary identifier.
+    data = [(f"{word}\n{key()} {filler} end", word == "token") for word in ("token", "page") * 150]
+    sequences = []
+    for text, secret in data:
+        tokens = secrets_crf.tokenise(text)
+        sequences.append((secrets_crf.features(tokens, secrets_crf.file_features(text)), [secrets_crf.B if secret and i == 1 else secrets_crf.O for i in range(len(tokens))]))
+    model = secrets_crf.Crf.train(sequences)
+    for word, many in (("secret", 1), ("plain", 0), (f"key {filler}", 1), (f"plain {filler}", 0)):
+        value = key()
+        text = f"{word}\n{value} {filler} end"
+        assert [text[s:e] for _, s, e in secrets_crf.spans_of(text, model)] == [value] * many
