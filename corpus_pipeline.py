@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from designloom.llm import exact_dedup, ngram_join, packing, secrets_crf, toxicity
@@ -34,13 +34,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the longest original stays, then the smallest id; repeated rows of it once. Rows without an id stay."""
+    key = ["doc_id", "text_sha256"]
     groups = exact_dedup.exact_groups(docs)
-    left = join_counted(docs, groups.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti")
-    twice = groups.where("kept").groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    hashed = docs.withColumn("text_sha256", F.sha2(exact_dedup.normalised(F.col("text")), 256))
+    # An id may stand on several texts: a row is known by both.
+    left = join_counted(hashed, groups.where("NOT kept AND doc_id IS NOT NULL").select(*key).distinct(), key, "left_anti")
+    twice = groups.where("kept AND doc_id IS NOT NULL").groupBy(*key).count().where("count > 1").select(*key)
     if not twice.limit(1).count():
-        return left
-    again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(twice, "doc_id", "left_anti").unionByName(again)
+        return left.select(*docs.columns)
+    first = Window.partitionBy(*key).orderBy(F.char_length("text").desc(), "text")
+    again = left.join(twice, key, "left_semi").withColumn("__at", F.row_number().over(first)).where("__at = 1")
+    return left.join(twice, key, "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,7 +74,7 @@ def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def join_counted(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, on: str | list[str], how: str) -> DataFrame:
     """Join a narrow ``right``: broadcast when its counted rows are few, else by shuffle."""
     if right.count() <= BROADCAST_ROWS:
         right = F.broadcast(right)

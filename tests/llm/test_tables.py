@@ -276,3 +276,12 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {None, 1, 2, 3}
+
+
+def test_repeated_ids_keep_their_own_texts(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, "alpha beta"), (1, "gamma delta"), (2, "alpha  beta"), (3, "gamma delta"), (4, "unique"), (4, "another"), (4, "an other "), (None, "alpha beta"), (5, "unique")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_copies(spark, docs, str(tmp_path)).collect()))
+    assert got == [(0, "alpha beta"), (1, "gamma delta"), (2, "alpha  beta"), (4, "an other "), (4, "unique")]
