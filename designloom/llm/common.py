@@ -1,28 +1,34 @@
 """Shared plumbing of the training-data operators.
 
 * scratch tables live under the folder named by ``spark.checkpoint.dir``;
-* Python stages receive small Arrow batches, so one task never holds many long
-  texts at once;
-* connected components run as alternating large-star / small-star rounds, whose
-  state is edges only and never leaves the executors.
+* Python stages cut the Arrow batches they get into slices of few rows, so one
+  task never holds many long texts at once, whatever the session is set to;
+* what a Python worker remembers is bounded in bytes, and given back to the
+  system when another operator starts in that worker;
+* connected components run as rounds in which every node and its neighbours move
+  to the smallest of them; their state is edges only and never leaves the
+  executors.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to a Python stage that reads texts.
-TEXT_BATCH_ROWS = 256
+#: Rows of one slice of a batch, in stages that read texts.
+TEXT_ROWS = 256
 #: Most rows of a side that is broadcast after counting it.
 BROADCAST_ROWS = 1_000_000
-#: Most edges of a graph that one task settles.
-SMALL_EDGES = 500_000
+#: Edges that one union-find of a task holds at once.
+FOREST_EDGES = 200_000
 
 
 _claimed: tuple[str, Callable[[], None]] | None = None
@@ -33,14 +39,34 @@ def claim_memory(owner: str, clear: Callable[[], None]) -> None:
     global _claimed
     if _claimed is not None and _claimed[0] != owner:
         _claimed[1]()
+        release_memory()
     _claimed = owner, clear
 
 
+def release_memory() -> None:
+    """Free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a fresh local one only where none is set (tests)."""
+    """The shared folder of the cluster; a fresh local one only where one machine runs all and none is set (tests)."""
     context = spark.sparkContext
     path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not path:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="designloom-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(path)
@@ -70,10 +96,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def join_counted(left: DataFrame, right: DataFrame, on: str | list[str], how: str) -> DataFrame:
     """Join a narrow ``right``: broadcast when its counted rows are few, else by shuffle."""
     if right.count() <= BROADCAST_ROWS:
@@ -81,60 +103,48 @@ def join_counted(left: DataFrame, right: DataFrame, on: str | list[str], how: st
     return left.join(right, on, how)
 
 
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Components of edges ``u, v`` that one task holds."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = parent[up]
-            x = up
-        return x
-
-    for batch in batches:
-        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            u, v = find(u), find(v)
-            parent[max(u, v)] = min(u, v)
-    nodes = sorted(parent)
-    yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "component"])
-
-
-def connected_components(edges: DataFrame, *, max_rounds: int = 60, small: int = SMALL_EDGES) -> DataFrame:
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges ``x, m`` (m < x) that join what the given ones join; each piece of the input becomes stars."""
+    for table in slices(batches, FOREST_EDGES):
+        ends = np.stack([table.column(0).to_numpy(), table.column(1).to_numpy()])
+        nodes, place = np.unique(ends, return_inverse=True)
+        x, m = place.reshape(ends.shape)
+        root = np.arange(len(nodes))
+        # Roots hang under the smallest root that an edge ties them to, until no edge ties two.
+        while len(x):
+            np.minimum.at(root, np.maximum(x, m), np.minimum(x, m))
+            while (up := root[root]).tobytes() != root.tobytes():
+                root = up
+            x, m = root[x], root[m]
+            open_ = x != m
+            x, m = x[open_], m[open_]
+        below = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.record_batch([pa.array(nodes[below]), pa.array(nodes[root[below]]), pa.array(np.zeros(len(below), bool))], names=["x", "m", "open"])
+
+
+def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id per node of undirected ``edges`` (columns ``a`` and ``b``).
 
     Returns ``node, component`` for nodes with an edge to another node. Loops,
-    repeated and reversed edges are harmless. Hub nodes only cost partial
-    aggregation and a joinable (splittable) side; every round is checkpointed.
-    At most ``small`` distinct edges, counted first, are settled by one task.
+    repeated and reversed edges are harmless. Tasks first replace their own edges
+    by stars. Then, in each round, every node learns the smallest of itself and
+    its neighbours, and passes it to them; rounds end when all edges are stars
+    around their smallest nodes. Hub nodes only cost partial aggregation and a
+    joinable (splittable) side; every round is checkpointed.
     """
-    spark = edges.sparkSession
-    now = cut(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
-    if now.count() <= small:
-        return cut(now.coalesce(1).mapInArrow(_united, "node long, component long"))
-    seen = None
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("x"), F.least("a", "b").cast("long").alias("m"))
+    now = cut(pairs.mapInArrow(_forest, "x long, m long, open boolean"))
     for _ in range(max_rounds):
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == seen or not mark[0]:
+        both = now.select("x", "m").union(now.select(F.col("m").alias("x"), F.col("x").alias("m")))
+        low = both.groupBy("x").agg(F.least("x", F.min("m")).alias("low"))
+        met = both.join(low, "x")
+        # A star's rows see either end of their edge as the smallest.
+        open_ = (F.col("low") != F.col("x")) & (F.col("low") != F.col("m"))
+        passed = met.select(F.col("m").alias("x"), F.col("low").alias("m"), open_.alias("open"))
+        passed = passed.union(low.select("x", F.col("low").alias("m"), F.lit(False).alias("open")))
+        now = cut(passed.where("x > m").groupBy("x", "m").agg(F.max("open").alias("open")))
+        if not now.agg(F.max("open")).first()[0]:
             break
-        seen = mark
-        # Large star: every larger neighbour of u moves to the smallest node near u.
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low"))
-        large = (
-            both.join(low, "u")
-            .where("v > u")
-            .select(F.col("v").alias("u"), F.least("low", "u").alias("v"))
-            .where("u <> v")
-            .distinct()
-        )
-        # Small star: u and its smaller neighbours move to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "low"), F.struct(F.col("v").alias("u"), "low"))).alias("e"))
-        now = cut(small.select(F.col("e.u").alias("u"), F.col("e.low").alias("v")).where("u <> v").distinct())
     else:
         raise RuntimeError("connected components did not settle")
-    members = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-    roots = members.select(F.col("component").alias("node"), "component").distinct()
-    return cut(members.union(roots)) if mark[0] else spark.createDataFrame([], "node long, component long")
+    return now.select(F.col("x").alias("node"), F.col("m").alias("component")).union(now.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import slices
 
 #: Longest n-gram.
 ORDER = 4
@@ -213,7 +213,6 @@ def _posterior(entropies: np.ndarray, sharpness: float) -> np.ndarray:
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 2000, quantile: float = 0.999) -> KneserNey | None:
     """Fit and calibrate on at most about ``docs_per_language`` rows of each language."""
     spark = docs.sparkSession
-    text_batches(spark)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     many = dict(known.groupBy("lang").count().collect())
     if not many:
@@ -223,7 +222,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, str], int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for word in LETTERS.findall(text.lower()):
                     seen[lang, word] = seen.get((lang, word), 0) + 1
@@ -239,7 +238,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = shared.value.cross_entropies(batch.column(1).to_pylist())
             yield pa.record_batch([batch.column(0), pa.array(list(got), pa.list_(pa.float64()))], names=["lang", "entropies"])
 
@@ -257,12 +256,11 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 def predict(docs: DataFrame, model: KneserNey | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``lang_pred``, ``score`` (0 to 1), ``cross_entropy`` (nats a character) and ``rejected`` (above the calibrated bar)."""
     spark = docs.sparkSession
-    text_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             names, chances = [UND] * len(texts), np.zeros(len(texts))
             best, rejected = np.full(len(texts), np.nan), np.ones(len(texts), bool)

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_table, join_counted, text_batches, write_table
+from .common import cut, drop_table, join_counted, slices, write_table
 
 STRENGTH = 50.0
 #: Hash values of the start of a text and of an unknown word; words have others.
@@ -105,7 +105,7 @@ def counts(docs: DataFrame) -> DataFrame:
                         yield pa.record_batch([pa.array(found[part].view(np.int64)), *map(pa.array, both)], names=["key", "target", "background"])
             held.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = tokens(text)
                 if len(words):
@@ -209,11 +209,10 @@ def train(docs: DataFrame, *, vocabulary: int, max_bigrams: int, strength: float
 def score(docs: DataFrame, models: Models, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``n_tokens``, ``target_ce``, ``background_ce`` (nats a token) and ``score``, their difference."""
     spark = docs.sparkSession
-    text_batches(spark)
     shared = spark.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             words = [tokens(t) for t in batch.column(1).to_pylist()]
             n = np.array([len(w) for w in words])
             owners = np.repeat(np.arange(len(words)), n)
@@ -248,7 +247,6 @@ PIECES = "chunk long, part int, ids array<long>, lengths array<int>, targets arr
 
 def _pieces(docs: DataFrame) -> DataFrame:
     """Chunks of ``id, text, target`` rows, in pieces of whole texts that follow one another."""
-    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, part, size = TaskContext.get().partitionId() << 32, 0, 0
@@ -265,7 +263,7 @@ def _pieces(docs: DataFrame) -> DataFrame:
             return pa.record_batch(columns, names=[c.split()[0] for c in PIECES.split(", ")])
 
         tokens_held = 0
-        for batch in batches:
+        for batch in slices(batches):
             for i, text, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = tokens(text)
                 held.append((i, words, bool(target)))
@@ -328,7 +326,7 @@ class _Chunk:
 def _chunks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[int, _Chunk]]:
     """Chunks of a partition of pieces."""
     held: list[dict] = []
-    for batch in batches:
+    for batch in slices(batches, PIECE_ROWS):
         for row in batch.to_pylist():
             if held and row["chunk"] != held[0]["chunk"]:
                 yield held[0]["chunk"], _Chunk(held, buckets)
@@ -354,7 +352,6 @@ def score_whole(docs: DataFrame, *, strength: float = STRENGTH) -> DataFrame:
     all_tokens, target_tokens = (int(n or 0) for n in pieces.agg(F.sum("n"), F.sum("n_target")).first())
     totals = np.array([target_tokens, all_tokens - target_tokens], np.float64)
     buckets = max(1, -(-all_tokens // BUCKET_TOKENS))
-    text_batches(spark, PIECE_ROWS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, chunk in _chunks(batches, buckets):
@@ -398,7 +395,6 @@ def cross_entropy_difference(
     strength: float = STRENGTH, vocabulary: int | None = None, max_bigrams: int | None = None,
 ) -> DataFrame:
     """Train on all ``docs``, target those whose label is 1, and score all of them; bounds cut the models."""
-    text_batches(docs.sparkSession)
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct().withColumn("__target", F.lit(True))
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
     rows = join_counted(rows, good, "__id", "left").select("__id", "text", F.coalesce("__target", F.lit(False)).alias("target"))

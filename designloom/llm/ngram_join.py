@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim_memory, connected_components, cut, drop_table, join_counted, text_batches, write_table
+from .common import claim_memory, connected_components, cut, drop_table, join_counted, slices, write_table
 
 #: Words whose hashes one Python worker remembers.
 CACHE_WORDS = 600_000
@@ -137,7 +137,7 @@ def _sets(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_memory("ngram_join", _WORDS.clear)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [shingles(t, k) for t in batch.column(1).to_pylist()]
             yield pa.record_batch(
                 [
@@ -159,7 +159,7 @@ def _counted(reps: DataFrame, num: int, den: int) -> DataFrame:
     """``token, node, forced``: all tokens of the counted region; forced ones fill up a prefix that the region leaves short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             picked, forced, n = [], [], []
             for cells, inside in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 # Sorted, so the region comes first, and what fills it up next.
@@ -514,7 +514,6 @@ def near_components(
     ``class_id`` is the smallest id with the same set.
     """
     spark = docs.sparkSession
-    text_batches(spark)
     stored, path = write_table(_sets(docs, k, num, den, id_col, text_col), "shingles")
     able = stored.where("n > 0 AND id IS NOT NULL")
     classes = able.groupBy("sig").agg(F.min("id").alias("class_id"))

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, claim_memory, text_batches, write_table
+from .common import BROADCAST_ROWS, claim_memory, slices, write_table
 
 #: Most parts of texts, and most words, whose ids one Python worker remembers.
 CACHE_PARTS, CACHE_WORDS = 1_500_000, 1_000_000
@@ -117,14 +117,13 @@ def encoder(path: str) -> WordEncoder:
 
 def encode_table(docs: DataFrame, tokenizer_path: str, end_id: int, *, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     """Pass one, written: ``id, ids, n, part, start`` (start of the document inside its partition)."""
-    text_batches(docs.sparkSession)
     schema = "id long, ids binary, n long, part int, start long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, start = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
         claim_memory("packing", encode.forget)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [encode(t or "") + end for t in batch.column(1).to_pylist()]
             n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             at = start + np.cumsum(n) - n
@@ -167,7 +166,7 @@ def pack(
     schema = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n = batch.column(2).to_numpy(zero_copy_only=False)
             at = batch.column(3).to_numpy(zero_copy_only=False)
             # A document touches windows first..last; one piece for each.

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim_memory, text_batches
+from .common import claim_memory, slices
 
 # The base patterns, and the least length of what they match.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -435,7 +435,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_memory("secrets", lambda: None)
-        for batch in batches:
+        for batch in slices(batches):
             data = [json.dumps(found) for t in batch.column(0).to_pylist() if t and (found := labelled(t, ordinary))]
             yield pa.record_batch([pa.array(data, pa.string())], names=["data"])
 
@@ -447,12 +447,11 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
 def scan(docs: DataFrame, model: Crf | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``spans array<struct<kind, start, end>>`` of each row, by start and then kind."""
     spark = docs.sparkSession
-    text_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             claim_memory("secrets", shared.value.scanner().forget if shared.value else lambda: None)
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in spans_of(t or "", shared.value)] for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(found, kind)], names=["id", "spans"])
@@ -464,12 +463,11 @@ def scan(docs: DataFrame, model: Crf | None, *, id_col: str = "doc_id", text_col
 def redacted(docs: DataFrame, model: Crf | None, *, text_col: str = "text") -> DataFrame:
     """``docs`` with secrets replaced in the text; null stays null."""
     spark = docs.sparkSession
-    text_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             claim_memory("secrets", shared.value.scanner().forget if shared.value else lambda: None)
             texts = [None if t is None else redact(t, spans) if (spans := spans_of(t, shared.value)) else t for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at).name, pa.array(texts, pa.string()))

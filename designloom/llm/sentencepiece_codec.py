@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import slices
 
 SPACE = "▁"
 SPACE_BYTES = SPACE.encode()
@@ -264,12 +264,11 @@ def shared_codec(model_path: str) -> Codec:
 
 def encode(docs: DataFrame, *, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``ids``, ``starts``, ``ends`` (UTF-8 byte spans of the pieces) and ``decoded`` of each text."""
-    text_batches(docs.sparkSession)
     schema = "id long, ids array<int>, starts array<long>, ends array<long>, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared_codec(model_path)
-        for batch in batches:
+        for batch in slices(batches):
             got = [codec.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.record_batch(
                 [
@@ -292,12 +291,11 @@ def digest(docs: DataFrame, *, model_path: str, id_col: str = "doc_id", text_col
     ``spans_sha256`` hashes the piece ends as little-endian 64-bit integers;
     ``whole`` tells whether the spans run gaplessly over the whole text.
     """
-    text_batches(docs.sparkSession)
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string, whole boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, sha = shared_codec(model_path), hashlib.sha256
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 e = codec.encode(text or "")

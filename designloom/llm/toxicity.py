@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim_memory, cut, join_counted, text_batches
+from .common import claim_memory, cut, join_counted, slices
 
 #: Prefix lengths that are features beside the whole word.
 PREFIXES = (4, 5, 6)
@@ -153,7 +153,6 @@ def train(
     least_share: float = 0.9,
 ) -> Ordinal | None:
     """Fit on at most about ``train_docs`` labelled rows; None without both classes."""
-    text_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("toxic"))
     many = known.count()
     if not many:
@@ -166,7 +165,7 @@ def train(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = Counter(), Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[toxic].update({f for p in set((text or "").split()) for f in word_features(p)})
         # A feature needs the toxic class: clean ones alone tell nothing.
@@ -189,7 +188,7 @@ def train(
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_memory("toxicity features", shared.value.forms.clear)
-        for batch in batches:
+        for batch in slices(batches):
             got = [shared.value.vector(*shared.value.counts(t or "")) for t in batch.column(0).to_pylist()]
             yield pa.record_batch([pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.float64())), batch.column(1)], names=["ids", "values", "toxic"])
 
@@ -206,14 +205,13 @@ def train(
 def score(docs: DataFrame, model: Ordinal | None, *, id_col: str = "doc_id", text_col: str = "text", cutoff: float = 0.5) -> DataFrame:
     """id, ``p_toxic`` = P(grade > 0), ``severity`` (expected grade), ``grade`` (median), ``rejected`` (p_toxic >= cutoff)."""
     spark = docs.sparkSession
-    text_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         if model is not None:
             claim_memory("toxicity", model.forms.clear)
-        for batch in batches:
+        for batch in slices(batches):
             exceed = [np.zeros(1) if model is None else model.exceed(t or "") for t in batch.column(1).to_pylist()]
             first = np.array([round(float(e[0]), 9) for e in exceed])
             yield pa.record_batch(
@@ -231,7 +229,6 @@ def score(docs: DataFrame, model: Ordinal | None, *, id_col: str = "doc_id", tex
 def kept(docs: DataFrame, model: Ordinal | None, *, text_col: str = "text", cutoff: float = 0.5) -> DataFrame:
     """``docs`` without the rows that ``score`` rejects."""
     spark = docs.sparkSession
-    text_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -239,7 +236,7 @@ def kept(docs: DataFrame, model: Ordinal | None, *, text_col: str = "text", cuto
         model = shared.value
         if model is not None:
             claim_memory("toxicity", model.forms.clear)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch if model is None else batch.filter(pa.array([model.exceed(t or "")[0] < cutoff for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch_path, text_batches
+from .common import cut, scratch_path, slices
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -115,7 +115,7 @@ def shard_starts(sizes: DataFrame, shard_bytes: int) -> list[int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = bases.get(TaskContext.get().partitionId(), 0)
-        for batch in batches:
+        for batch in slices(batches):
             keys = []
             for key, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if at // shard_bytes != (at + size) // shard_bytes and at:
@@ -140,7 +140,6 @@ def write(
 ) -> list[dict]:
     """Write and commit the archive at ``path``; returns its manifest (one entry per file)."""
     spark = pages.sparkSession
-    text_batches(spark)
     decided = cut(plan(pages, key_col=key_col, payload_col=payload_col, min_bytes=min_bytes))
     starts = shard_starts(decided.select("key", (F.col("bytes") + 512).alias("bytes")), shard_bytes)
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
@@ -174,7 +173,7 @@ def write(
                 made.append((name, f"{name}.{attempt}", written, records))
             out = None
 
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 if row["key"] != verdict_key:
                     verdict_key, verdict = row["key"], {}
@@ -276,7 +275,7 @@ def read(spark: SparkSession, path: str, *, key_col: str = "page_id") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _filesystem(path)
-        for batch in batches:
+        for batch in slices(batches):
             for name in batch.column(0).to_pylist():
                 rows: list[tuple] = []
                 with store.open_input_stream(posixpath.join(root, name), compression=None) as stream:

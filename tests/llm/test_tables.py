@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import os
 from collections import Counter
@@ -30,14 +31,17 @@ def components(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("small", [0, common.SMALL_EDGES])
-def test_connected_components(spark, small):
+@pytest.mark.parametrize("held", [7, common.FOREST_EDGES])
+def test_connected_components(spark, held, monkeypatch):
+    monkeypatch.setattr(common, "FOREST_EDGES", held)
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)] + [(2000, i) for i in range(2001, 2100)]
-    got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()}
+    edges += [(int(a), int(b)) for a, b in itertools.pairwise(rng.permutation(np.arange(5000, 5600)))] + [(5, 6), (6, 5)]
+    edges = [edges[i] for i in rng.permutation(len(edges))]
+    got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
     nodes = {n for e in edges for n in e if e[0] != e[1]}
     assert got == components(nodes, [e for e in edges if e[0] != e[1]])
-    assert common.connected_components(spark.createDataFrame([], "a long, b long"), small=small).count() == 0
+    assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 # Exact deduplication.
@@ -186,9 +190,20 @@ def test_recall_at_the_bar():
     side = rng.normal(size=(2000, 64))
     side = embedding_lsh.unit(side - (side * a).sum(axis=1, keepdims=True) * a)
     b = 0.98 * a + math.sqrt(1 - 0.98**2) * side
-    x, y = embedding_lsh.buckets(a), embedding_lsh.buckets(b)
-    met = (x[:, :, :, None] == y[:, :, None, :]).any(axis=(1, 2, 3))
-    assert met.mean() > 0.99
+    for many in (1000, 10**6, 10**9):
+        plan = embedding_lsh.chosen(64, many, 0.98)
+        x, y = embedding_lsh.buckets(a, *plan), embedding_lsh.buckets(b, *plan)
+        assert (x[:, :, :, None] == y[:, :, None, :]).any(axis=(1, 2, 3)).mean() > 0.998
+        # Unrelated vectors seldom meet.
+        assert (x[:-1, :, :, None] == x[1:, :, None, :]).any(axis=(2, 3)).mean() < 0.01
+
+
+def test_vectors_of_any_scale_and_repeated_ids(spark):
+    big = [[1e200, 2e200, 0.0], [1.0, 2.0, 0.0], [1.0, 2.0, 1e-9], [1e-300, 2e-300, 0.0], [0.0, 0.0, 5e-324], [0.0, -0.0, 1.0]]
+    data = [(i, v, 0) for i, v in enumerate(big)] + [(0, [0.0, 1.0, 0.0], 0), (None, [1.0, 2.0, 0.0], 0), (0, [0.0, 1.0, 0.0], 0)]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id if r.vec_id is not None else -1, r.n_links, r.component_id) for r in embedding_lsh.near_vectors(table).collect())
+    assert got == [(-1, 0, None), (0, 1, 0), (0, 1, 0), (0, 3, 0), (1, 3, 0), (2, 3, 0), (3, 3, 0), (4, 1, 4), (5, 1, 4)]
 
 
 # Archives.
