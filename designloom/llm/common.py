@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -60,6 +61,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator
             yield batch.slice(at, rows)
 
 
+_RUNS = re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(text: str) -> list[str]:
+    """Longest runs of letters (Unicode's; digits and other numerals are none)."""
+    runs = _RUNS.findall(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for run in runs for w in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a fresh local one only where one machine runs all and none is set (tests)."""
     context = spark.sparkContext

@@ -6,11 +6,13 @@ interpolated probability is stored under a 64-bit hash in one sorted array per
 order, every context's back-off weight likewise; the language is part of the
 hash. The language with the lowest cross-entropy per character wins. The
 confidence (a softmax over cross-entropies) and the rejection bar (a quantile of
-the winners' cross-entropies) are calibrated on the training sample.
+the winners' cross-entropies) are calibrated on a part of the training sample
+that the models have not counted.
 
-Training reads a bounded sample (``docs_per_language``, by a hash of the id);
-prediction reads every letter of every text. Scores of word forms are
-remembered per worker.
+Training reads a bounded sample (``docs_per_language``, by a hash of the id), one
+row in ``CALIBRATING`` of which calibrates; prediction reads every letter of every
+text. Letters are Unicode's: digits, fractions and circled numbers are none. Scores
+of word forms are remembered per worker.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0;
 without any training document everything is ``und``; languages tie by name;
@@ -20,22 +22,23 @@ repeated rows are predicted alike; other columns are ignored.
 from __future__ import annotations
 
 import math
-import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import claim_memory, letter_runs, slices
 
 #: Longest n-gram.
 ORDER = 4
-#: Word forms that one Python worker remembers.
-CACHE_FORMS = 800_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Word forms that one Python worker remembers, how long they may be, and characters learnt at once.
+CACHE_FORMS, LONG_FORM, LEARNED = 300_000, 64, 500_000
+#: One of so many rows of the sample calibrates.
+CALIBRATING = 8
 START, END = 2, 3
 UND = "und"
 
@@ -71,6 +74,47 @@ def _seed(language: int) -> np.uint64:
     return _mix(np.array([language + 1], np.uint64))[0]
 
 
+def _one_language(seed: np.uint64, words: list[str], many: np.ndarray, alphabet: int) -> tuple[list, list]:
+    """Interpolated probabilities of the n-grams of one language, and back-off weights of their contexts, by order."""
+    codes, place, owner = _codes(words)
+    weight = np.array(many, np.int64)[owner]
+    rolls = _rolling(codes, seed)
+    tables: list[tuple] = []
+    # Which positions of each order are counted: predicted characters with n-1 before them.
+    firsts: dict[int, np.ndarray] = {}
+    for n in range(ORDER, 0, -1):
+        at = np.flatnonzero((place >= n - 1) & (place > 0))
+        keys, first, back = np.unique(rolls[n][at], return_index=True, return_inverse=True)
+        position = at[first]
+        raw = np.bincount(back, weight[at]).astype(np.float64)
+        if n == ORDER:
+            adjusted = raw
+        else:
+            # Distinct longer n-grams that end in this one; those at a word's start have none.
+            longer = np.searchsorted(keys, rolls[n][firsts[n + 1]])
+            adjusted = np.bincount(longer, minlength=len(keys)).astype(np.float64)
+            starts = place[position] == n - 1
+            adjusted[starts] = raw[starts]
+        firsts[n] = position
+        tables.append((n, keys, position, adjusted))
+    grams: list = [None] * (ORDER + 1)
+    contexts: list = [None] * (ORDER + 1)
+    for n, keys, position, adjusted in reversed(tables):
+        ones, twos = np.count_nonzero(adjusted == 1), np.count_nonzero(adjusted == 2)
+        discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+        context = rolls[n - 1][position - 1]
+        spots, back = np.unique(context, return_inverse=True)
+        total = np.bincount(back, adjusted)
+        gamma = discount * np.bincount(back) / total
+        lower = np.full(len(keys), 1 / alphabet)
+        if n > 1:
+            low_keys, low_chance = grams[n - 1]
+            lower = low_chance[np.searchsorted(low_keys, rolls[n - 1][position])]
+        grams[n] = keys, np.maximum(adjusted - discount, 0) / total[back] + gamma[back] * lower
+        contexts[n] = spots, gamma
+    return grams, contexts
+
+
 @dataclass
 class KneserNey:
     """Sorted hash arrays: ``grams[n]`` with interpolated probabilities, ``contexts[n]`` with back-off weights."""
@@ -83,56 +127,28 @@ class KneserNey:
     bar: float = math.inf
     forms: dict[str, int] = field(default_factory=dict)
     scores: np.ndarray | None = None
+    used: int = 0
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"forms": {}, "scores": None}
+        return self.__dict__ | {"forms": {}, "scores": None, "used": 0}
 
     @classmethod
-    def train(cls, counts: list[tuple[str, str, int]]) -> KneserNey | None:
-        """From (language, word, count) rows."""
-        languages = sorted({r[0] for r in counts})
+    def train(cls, counts: Mapping[str, tuple[list[str], np.ndarray]]) -> KneserNey | None:
+        """From the words of each language and their counts; a language is worked out at a time."""
+        languages = sorted(counts)
         if not languages:
             return None
-        words = [r[1] for r in counts]
-        codes, place, owner = _codes(words)
-        language = np.array([languages.index(r[0]) for r in counts], np.uint64)[owner]
-        weight = np.array([r[2] for r in counts], np.int64)[owner]
-        rolls = _rolling(codes, _mix(language + np.uint64(1)))
-        alphabet = len(np.unique(codes)) + 1
-        tables: list[tuple] = []
-        # Which positions of each order are counted: predicted characters with n-1 before them.
-        firsts: dict[int, np.ndarray] = {}
-        for n in range(ORDER, 0, -1):
-            at = np.flatnonzero((place >= n - 1) & (place > 0))
-            keys, first, back = np.unique(rolls[n][at], return_index=True, return_inverse=True)
-            position = at[first]
-            raw = np.bincount(back, weight[at]).astype(np.float64)
-            if n == ORDER:
-                adjusted = raw
-            else:
-                # Distinct longer n-grams that end in this one; those at a word's start have none.
-                longer = np.searchsorted(keys, rolls[n][firsts[n + 1]])
-                adjusted = np.bincount(longer, minlength=len(keys)).astype(np.float64)
-                starts = place[position] == n - 1
-                adjusted[starts] = raw[starts]
-            firsts[n] = position
-            tables.append((n, keys, position, adjusted))
-        grams: list = [None] * (ORDER + 1)
-        contexts: list = [None] * (ORDER + 1)
-        for n, keys, position, adjusted in reversed(tables):
-            ones, twos = np.count_nonzero(adjusted == 1), np.count_nonzero(adjusted == 2)
-            discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-            context = rolls[n - 1][position - 1]
-            spots, back = np.unique(context, return_inverse=True)
-            total = np.bincount(back, adjusted)
-            gamma = discount * np.bincount(back) / total
-            lower = np.full(len(keys), 1 / alphabet)
-            if n > 1:
-                low_keys, low_chance = grams[n - 1]
-                lower = low_chance[np.searchsorted(low_keys, rolls[n - 1][position])]
-            grams[n] = keys, np.maximum(adjusted - discount, 0) / total[back] + gamma[back] * lower
-            contexts[n] = spots, gamma
-        return cls(languages, grams, contexts, 1 / alphabet)
+        alphabet = len({c for words, _ in counts.values() for w in words for c in w}) + 3
+        parts = [_one_language(_seed(k), *counts[language], alphabet) for k, language in enumerate(languages)]
+        tables = []
+        for kind in range(2):
+            merged: list = [None]
+            for n in range(1, ORDER + 1):
+                keys, values = (np.concatenate([p[kind][n][column] for p in parts]) for column in range(2))
+                order = np.argsort(keys, kind="stable")
+                merged.append((keys[order], values[order]))
+            tables.append(merged)
+        return cls(languages, *tables, 1 / alphabet)
 
     def log_chances(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sum of natural log probabilities per word and language, and characters predicted per word."""
@@ -169,38 +185,51 @@ class KneserNey:
             out[:, language] = np.bincount(owner[asked], np.log(chance * scale)[back], minlength=len(words))
         return out, np.bincount(owner[asked], minlength=len(words))
 
+    def forget(self) -> None:
+        self.forms.clear()
+        self.scores, self.used = None, 0
+
     def learn(self, new: list[str]) -> None:
         """Remember the scores of new word forms (parts between white space)."""
-        if self.scores is None or len(self.forms) > CACHE_FORMS:
-            self.forms.clear()
-            self.scores = np.zeros((CACHE_FORMS + 200_000, len(self.languages) + 1), np.float32)
-        runs = [LETTERS.findall(f.lower()) for f in new]
+        if self.scores is None:
+            self.scores = np.zeros((1 << 16, len(self.languages) + 1), np.float32)
+        while self.used + len(new) > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        runs = [letter_runs(f.lower()) for f in new]
         words = [w for r in runs for w in r]
         row = np.repeat(np.arange(len(new)), [len(r) for r in runs])
-        base = len(self.forms)
-        if base + len(new) > len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros((base + len(new), self.scores.shape[1]), np.float32)])
+        mine = self.scores[self.used : self.used + len(new)]
+        mine[:] = 0
         if words:
             sums, sizes = self.log_chances(words)
             for k in range(len(self.languages)):
-                self.scores[base : base + len(new), k] = np.bincount(row, sums[:, k], minlength=len(new))
-            self.scores[base : base + len(new), -1] = np.bincount(row, sizes, minlength=len(new))
-        self.forms.update(zip(new, range(base, base + len(new)), strict=True))
+                mine[:, k] = np.bincount(row, sums[:, k], minlength=len(new))
+            mine[:, -1] = np.bincount(row, sizes, minlength=len(new))
+        self.forms.update(zip(new, range(self.used, self.used + len(new)), strict=True))
+        self.used += len(new)
 
     def cross_entropies(self, texts: list[str | None]) -> np.ndarray:
         """Per text and language in nats a character; NaN without letters."""
-        parts = [(t or "").split() for t in texts]
-        if self.scores is None or len(self.forms) > CACHE_FORMS:
-            self.forms.clear()
-        known = self.forms
-        new = list(dict.fromkeys(p for ps in parts for p in ps if p not in known))
-        if new or self.scores is None:
-            self.learn(new)
+        if self.used > CACHE_FORMS:
+            self.forget()
+        known, parts = self.forms, [(t or "").split() for t in texts]
+        new, size, long_forms = [], 0, []
+        for p in dict.fromkeys(p for ps in parts for p in ps if p not in known):
+            new.append(p)
+            if len(p) > LONG_FORM:
+                long_forms.append(p)
+            size += len(p)
+            if size > LEARNED:
+                self.learn(new)
+                new, size = [], 0
+        self.learn(new)
         out = np.full((len(texts), len(self.languages)), np.nan)
         for i, ps in enumerate(parts):
             sums = self.scores[np.fromiter(map(known.__getitem__, ps), np.int64, len(ps))].sum(axis=0, dtype=np.float64)
             if sums[-1]:
                 out[i] = -sums[:-1] / sums[-1]
+        for p in long_forms:
+            del known[p]
         return out
 
 
@@ -211,38 +240,49 @@ def _posterior(entropies: np.ndarray, sharpness: float) -> np.ndarray:
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 2000, quantile: float = 0.999) -> KneserNey | None:
-    """Fit and calibrate on at most about ``docs_per_language`` rows of each language."""
+    """Fit on at most about ``docs_per_language`` rows of each language, a part of which only calibrates."""
     spark = docs.sparkSession
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     many = dict(known.groupBy("lang").count().collect())
     if not many:
         return None
     bars = F.create_map(*(F.lit(x) for lang, n in sorted(many.items()) for x in (lang, max(1, math.ceil((1 << 20) * min(1.0, docs_per_language / n))))))
-    sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < bars[F.col("lang")]).select("lang", "text")
+    sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < bars[F.col("lang")])
+    # A language of few rows has none to spare.
+    spare = [lang for lang, n in many.items() if n >= 2 * CALIBRATING]
+    held = F.col("lang").isin(spare) & (F.pmod(F.shiftright(F.xxhash64("id"), 20), F.lit(CALIBRATING)) == 0)
+    counted, held = sample.where(~held).select("lang", "text"), sample.where(held).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, str], int] = {}
         for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for word in LETTERS.findall(text.lower()):
+                for word in letter_runs(text.lower()):
                     seen[lang, word] = seen.get((lang, word), 0) + 1
         keys = sorted(seen)
         for i in range(0, len(keys), 10_000):
             part = keys[i : i + 10_000]
             yield pa.record_batch([pa.array([k[0] for k in part]), pa.array([k[1] for k in part]), pa.array([seen[k] for k in part], pa.int64())], names=["lang", "word", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().to_pydict()
-    model = KneserNey.train(sorted(zip(counts["lang"], counts["word"], counts["n"], strict=True)))
+    found = counted.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    counts = {}
+    for lang in pc.unique(found.column("lang")).to_pylist():
+        mine = found.filter(pc.equal(found.column("lang"), lang)).sort_by("word")
+        counts[lang] = mine.column("word").to_pylist(), mine.column("n").to_numpy()
+    del found
+    model = KneserNey.train(counts)
     if model is None:
         return None
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory("language", shared.value.forget)
         for batch in slices(batches):
             got = shared.value.cross_entropies(batch.column(1).to_pylist())
             yield pa.record_batch([batch.column(0), pa.array(list(got), pa.list_(pa.float64()))], names=["lang", "entropies"])
 
-    rows = [r for r in sample.mapInArrow(measure, "lang string, entropies array<double>").collect() if not math.isnan(r.entropies[0])]
+    rows = [r for r in held.mapInArrow(measure, "lang string, entropies array<double>").collect() if not math.isnan(r.entropies[0])]
+    # Without such rows (small tables) nothing is rejected.
     if rows:
         entropies = np.array([r.entropies for r in rows])
         truth = np.array([model.languages.index(r.lang) for r in rows])
@@ -260,6 +300,7 @@ def predict(docs: DataFrame, model: KneserNey | None, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        claim_memory("language", model.forget if model else lambda: None)
         for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             names, chances = [UND] * len(texts), np.zeros(len(texts))

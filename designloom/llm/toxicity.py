@@ -1,64 +1,74 @@
 """Toxicity by cumulative-link ordinal regression (operator 8).
 
-Severity grades are ordered: 0 for a document labelled clean; a document
-labelled toxic has grade 1 or 2, parted at the median density of the words that
-tell the classes apart. One weight vector over sparse text features (words,
-their prefixes, and the density of features that speak for toxicity) is shared
-by both thresholds: ``P(grade > k) = sigmoid(w.x - t_k)`` with ``t_0 < t_1``.
-The output is the expected severity, the sum of these probabilities.
-
-Features are those whose association with the toxic class chance does not
-explain (a signed likelihood ratio above what about one of all candidates would
-reach by chance), and of whose documents nearly all are toxic. Fitting reads a bounded sample of
-labelled rows (``train_docs``, chosen by a hash of the id); scoring reads every
-word of every text. Word forms are remembered per worker.
+Severity grades are ordered. One weight vector over sparse text features (words,
+their prefixes, and the density of words that speak for toxicity) is shared by all
+thresholds: ``P(grade > k) = sigmoid(w.x - t_k)`` with ``t_0 < t_1 < ...``. The
+output is the expected severity, the sum of these probabilities.
+
+Labels may be grades of any number. Where they are only 0 and 1, the tables know
+no more than that: a toxic document then has grade 1 or 2, parted at the median
+density of toxic words among the toxic ones, which is itself a feature. The
+severity then restates, beside the chance of being toxic, how dense such words
+are; no one has graded it.
+
+Features are those whose association with the toxic class (grade above 0) is beyond
+what about one of all candidates (in ``LEAST_DOCS`` toxic documents; in fewer, none
+could be) would reach by chance, by a likelihood ratio, and ``least_share`` of
+whose documents are toxic; however many they are, their weights
+do the rest. The share is a choice: without it, words that only go along with
+toxic texts (those of their subjects, or of their many copies) enter, and held-out
+errors of both kinds rise (see the README). Fitting reads a bounded sample of
+labelled rows (``train_docs``, as many of either class where it has them, chosen by
+a hash of the id), equal texts once, weighted so that classes count as they stand
+in the labels. Scoring reads every word of every text. Word forms are remembered
+per worker.
 
 Defined cases: a null text counts as empty, and an empty text scores as one
-without features; labels that are null or of unknown documents are ignored;
-without labels of both classes nothing is toxic (all scores 0); repeated rows
-score alike; other columns are ignored.
+without features; labels that are null, negative or of unknown documents are
+ignored, and of several the largest holds; without labels of both classes nothing
+is toxic (all scores 0); repeated rows score alike; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim_memory, cut, join_counted, slices
+from .common import claim_memory, cut, join_counted, letter_runs, slices
 
 #: Prefix lengths that are features beside the whole word.
 PREFIXES = (4, 5, 6)
-#: Word forms that one Python worker remembers.
-CACHE_WORDS = 600_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Toxic documents of the sample that a feature must be in to be tested.
+LEAST_DOCS = 3
+#: Word forms that one Python worker remembers, and how long they may be.
+CACHE_WORDS, LONG_FORM = 400_000, 64
 
 
 def word_features(form: str) -> list[str]:
     """Features of a part between white space: its letter runs and their prefixes."""
     out = []
-    for word in LETTERS.findall(form.lower()):
+    for word in letter_runs(form.lower()):
         out.append(word)
         out += [f"{word[:k]}*" for k in PREFIXES if len(word) >= k]
     return out
 
 
-def signed_g2(toxic: int, clean: int, toxic_docs: int, clean_docs: int) -> float:
-    """Likelihood ratio of a feature's presence, negative if it speaks for clean."""
-    docs, present = toxic_docs + clean_docs, toxic + clean
+def likelihood_ratio(toxic: Column, clean: Column, toxic_docs: int, clean_docs: int) -> Column:
+    """Of a feature's presence in so many documents of either class."""
+    docs, present = float(toxic_docs + clean_docs), (toxic + clean).cast("double")
     cells = (
         (toxic, toxic_docs * present), (clean, clean_docs * present),
         (toxic_docs - toxic, toxic_docs * (docs - present)), (clean_docs - clean, clean_docs * (docs - present)),
     )
-    g2 = 2 * sum(seen * math.log(seen * docs / expected) for seen, expected in cells if seen)
-    return g2 if toxic * clean_docs > clean * toxic_docs else -g2
+    return 2 * sum((F.when(seen > 0, seen * F.ln(seen * docs / expected)).otherwise(0.0) for seen, expected in cells), F.lit(0.0))
 
 
 @dataclass
@@ -74,18 +84,16 @@ class Ordinal:
         return self.__dict__ | {"forms": {}}
 
     def ids_of(self, form: str) -> tuple[int, ...]:
-        found = self.forms.get(form)
-        if found is None:
-            found = tuple(self.index[f] for f in word_features(form) if f in self.index)
-            if len(self.forms) < CACHE_WORDS:
-                self.forms[form] = found
+        found = tuple(self.index[f] for f in word_features(form) if f in self.index)
+        if len(self.forms) < CACHE_WORDS and len(form) <= LONG_FORM:
+            self.forms[form] = found
         return found
 
     def counts(self, text: str) -> tuple[Counter, int, int]:
         """Feature counts, parts with features, and parts."""
         parts = text.split()
         known = self.forms
-        hits = [h for p in parts if (h := known.get(p) if p in known else self.ids_of(p))]
+        hits = [h for p in parts if (h := known[p] if p in known else self.ids_of(p))]
         return Counter(i for h in hits for i in h), len(hits), len(parts)
 
     def vector(self, counts: Counter, hits: int, parts: int) -> tuple[list[int], list[float]]:
@@ -103,28 +111,36 @@ def density(hits: int, parts: int) -> float:
     return math.log1p(100 * hits / parts) if parts else 0.0
 
 
-def fit(rows: list[tuple[list[int], list[float], int, int]], features: int, *, steps: int = 1500, rate: float = 0.05, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by Adam on the ordinal likelihood; ``rows`` are (ids, values, grade, number of such rows)."""
-    ids = np.array([i for r in rows for i in r[0]], np.int64)
-    values = np.array([v for r in rows for v in r[1]])
-    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    grades, many = np.array([r[2] for r in rows]), np.array([r[3] for r in rows], float)
+def fit(
+    ids: np.ndarray, values: np.ndarray, lengths: np.ndarray, grades: np.ndarray, many: np.ndarray, features: int, *, steps: int = 1500, rate: float = 0.05, ridge: float = 1e-5, still: float = 1e-7
+) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by Adam on the ordinal likelihood, until a step gains less than ``still``.
+
+    Row ``k`` has the next ``lengths[k]`` of ``ids`` and ``values``, grade ``grades[k]``, and counts ``many[k]`` times.
+    """
+    rows = len(grades)
+    owner = np.repeat(np.arange(rows), lengths)
     levels = max(1, int(grades.max()))
     # Thresholds are a first one and positive steps, so they stay in order.
     theta = np.concatenate([np.zeros(features), [1.0], np.zeros(levels - 1)])
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    m, v, before = np.zeros_like(theta), np.zeros_like(theta), math.inf
     for step in range(1, steps + 1):
         weights, first, gaps = theta[:features], theta[features], np.exp(theta[features + 1 :])
         cuts = first + np.concatenate([[0.0], np.cumsum(gaps)])
-        score = np.bincount(owner, weights[ids] * values, minlength=len(rows))
+        score = np.bincount(owner, weights[ids] * values, minlength=rows)
         exceed = 1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -500, 500)))
         # P(grade = k) = exceed[k-1] - exceed[k]; its log-likelihood gradient by threshold.
-        padded = np.concatenate([np.ones((len(rows), 1)), exceed, np.zeros((len(rows), 1))], axis=1)
-        at = np.arange(len(rows))
+        padded = np.concatenate([np.ones((rows, 1)), exceed, np.zeros((rows, 1))], axis=1)
+        at = np.arange(rows)
         chance = np.maximum(padded[at, grades] - padded[at, grades + 1], 1e-12)
+        loss = -(many * np.log(chance)).sum() / many.sum() + ridge * (weights**2).sum() / 2
+        if step % 20 == 0:
+            if before - loss < 20 * still:
+                break
+            before = loss
         slope = padded * (1 - padded)
         by_score = many * (slope[at, grades] - slope[at, grades + 1]) / chance
-        by_cut = np.zeros((len(rows), levels))
+        by_cut = np.zeros((rows, levels))
         lower, upper = grades > 0, grades < levels
         by_cut[at[lower], grades[lower] - 1] -= many[lower] * slope[at[lower], grades[lower]] / chance[lower]
         by_cut[at[upper], grades[upper]] += many[upper] * slope[at[upper], grades[upper] + 1] / chance[upper]
@@ -141,34 +157,30 @@ def fit(rows: list[tuple[list[int], list[float], int, int]], features: int, *, s
     return theta[:features], theta[features] + np.concatenate([[0.0], np.cumsum(np.exp(theta[features + 1 :]))])
 
 
-def train(
-    docs: DataFrame,
-    labels: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    label_col: str = "toxic",
-    train_docs: int = 20_000,
-    max_features: int = 4096,
-    least_share: float = 0.9,
-) -> Ordinal | None:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = 20_000, least_share: float = 0.9) -> Ordinal | None:
     """Fit on at most about ``train_docs`` labelled rows; None without both classes."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("toxic"))
-    many = known.count()
-    if not many:
+    spark = docs.sparkSession
+    known = labels.where((F.col(label_col) >= 0) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("grade"))
+    known = known.withColumn("toxic", (F.col("grade") > 0).cast("int"))
+    many = dict(known.groupBy("toxic").count().collect())
+    if len(many) < 2:
         return None
-    kept = known.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < max(1, math.ceil((1 << 20) * min(1.0, train_docs / many))))
-    sample = join_counted(docs.select(id_col, F.col(text_col).alias("text")), kept, id_col, "inner").select("text", "toxic")
-    per_class = dict(kept.groupBy("toxic").count().collect())
+    # What one class leaves of its half, the other may use.
+    half = train_docs // 2
+    asked = {t: max(half, train_docs - min(half, many[1 - t])) for t in (0, 1)}
+    bars = F.when(F.col("toxic") == 1, F.lit(_share(asked[1], many[1]))).otherwise(F.lit(_share(asked[0], many[0])))
+    kept = known.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < bars)
+    found = join_counted(docs.select(id_col, F.col(text_col).alias("text")), kept, id_col, "inner")
+    sample = cut(found.groupBy(F.md5(F.coalesce("text", F.lit("")))).agg(F.first("text").alias("text"), F.max("grade").alias("grade")).select("text", "grade"))
+    per_class = {bool(toxic): n for toxic, n in sample.groupBy(F.col("grade") > 0).count().collect()}
     if len(per_class) < 2:
         return None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = Counter(), Counter()
         for batch in slices(batches):
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[toxic].update({f for p in set((text or "").split()) for f in word_features(p)})
-        # A feature needs the toxic class: clean ones alone tell nothing.
+            for text, grade in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen[grade > 0].update({f for p in set((text or "").split()) for f in word_features(p)})
         names = sorted(set(seen[0]) | set(seen[1]))
         for i in range(0, len(names), 10_000):
             part = names[i : i + 10_000]
@@ -176,32 +188,40 @@ def train(
                 [pa.array(part), pa.array([seen[1][n] for n in part], pa.int64()), pa.array([seen[0][n] for n in part], pa.int64())], names=["feature", "toxic", "clean"]
             )
 
-    counted = sample.mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # Fewer toxic documents than this cannot reach the bar.
-    frequent = cut(counted.where(F.col("toxic") >= 3))
-    least_g2 = 2 * math.log(max(frequent.count(), 1)) + 2
-    candidates = frequent.where(F.col("toxic") >= least_share * (F.col("toxic") + F.col("clean"))).collect()
-    scored = sorted(((signed_g2(r.toxic, r.clean, per_class[1], per_class[0]), r.feature) for r in candidates), key=lambda x: (-x[0], x[1]))
-    index = {f: i for i, f in enumerate(sorted(f for g, f in scored[:max_features] if g >= least_g2))}
+    counted = cut(sample.mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") >= LEAST_DOCS))
+    least = 2 * math.log(max(counted.count(), 1)) + 2
+    ratio = likelihood_ratio(F.col("toxic"), F.col("clean"), per_class[True], per_class[False])
+    # Features against toxicity have small shares.
+    telling = counted.where((ratio >= least) & (F.col("toxic") >= least_share * (F.col("toxic") + F.col("clean"))) & (F.col("toxic") * per_class[False] > F.col("clean") * per_class[True]))
+    index = {f: i for i, f in enumerate(sorted(r.feature for r in telling.select("feature").collect()))}
     empty = Ordinal(index, np.zeros(len(index) + 1), np.array([0.0]))
-    shared = docs.sparkSession.sparkContext.broadcast(empty)
+    shared = spark.sparkContext.broadcast(empty)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_memory("toxicity features", shared.value.forms.clear)
         for batch in slices(batches):
             got = [shared.value.vector(*shared.value.counts(t or "")) for t in batch.column(0).to_pylist()]
-            yield pa.record_batch([pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.float64())), batch.column(1)], names=["ids", "values", "toxic"])
-
-    # Most clean rows have no feature: equal vectors travel once, with their number.
-    found = sample.mapInArrow(vectors, "ids array<long>, values array<double>, toxic int").groupBy("ids", "values", "toxic").count().collect()
-    dense = sorted(r["values"][-1] for r in found if r.toxic for _ in range(r["count"]))
-    middle = dense[len(dense) // 2]
-    found.sort(key=lambda r: (r.toxic, r.ids, r["values"]))
-    rows = [(list(r.ids), list(r["values"]), (1 + (r["values"][-1] > middle)) if r.toxic else 0, r["count"]) for r in found]
-    weights, thresholds = fit(rows, len(index) + 1)
+            yield pa.record_batch([pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float64())), batch.column(1)], names=["ids", "values", "grade"])
+
+    # Equal vectors travel once, with their number.
+    found = sample.mapInArrow(vectors, "ids array<int>, values array<double>, grade int").groupBy("ids", "values", "grade").count().orderBy("grade", "ids", "values").toArrow().combine_chunks()
+    lengths, grades, times = pc.list_value_length(found.column("ids")).to_numpy(), found.column("grade").to_numpy().copy(), found.column("count").to_numpy()
+    ids, values = (found.column(c).combine_chunks().flatten().to_numpy() for c in ("ids", "values"))
+    if grades.max() == 1:
+        dense = values[np.cumsum(lengths) - 1]
+        toxic = grades > 0
+        grades[toxic] += dense[toxic] > np.sort(np.repeat(dense[toxic], times[toxic]))[times[toxic].sum() // 2]
+    # Classes count as they stand in the labels.
+    weigh = times * np.where(grades > 0, many[1] / per_class[True], many[0] / per_class[False])
+    weights, thresholds = fit(ids, values, lengths, grades, weigh, len(index) + 1)
     return Ordinal(index, weights, thresholds)
 
 
+def _share(wanted: int, many: int) -> int:
+    """Of 2**20 hash values, so many that about ``wanted`` of ``many`` rows are taken."""
+    return max(1, math.ceil((1 << 20) * min(1.0, wanted / many)))
+
+
 def score(docs: DataFrame, model: Ordinal | None, *, id_col: str = "doc_id", text_col: str = "text", cutoff: float = 0.5) -> DataFrame:
     """id, ``p_toxic`` = P(grade > 0), ``severity`` (expected grade), ``grade`` (median), ``rejected`` (p_toxic >= cutoff)."""
     spark = docs.sparkSession

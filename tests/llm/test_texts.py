@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -10,6 +11,7 @@ import public_tokenizers
 import pytest
 
 from designloom.llm import language_id, lm_scoring, packing, secrets_crf, sentencepiece_codec, toxicity
+from designloom.llm.common import letter_runs
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
@@ -180,45 +182,68 @@ def test_crf_adds_what_looks_like_a_secret(spark):
     assert secrets_crf.train(docs.limit(0)) is None and secrets_crf.scan(docs, None).count() == len(rows)
 
 
-def test_kneser_ney_is_a_distribution_and_equals_brute_force():
-    counts = [("aa", "abab", 3), ("aa", "abc", 2), ("aa", "b", 1), ("bb", "xyz", 4)]
-    model = language_id.KneserNey.train(counts)
-    # Continuations of any seen context sum to one over the alphabet (characters, end, and one unseen).
-    for language in range(2):
-        for prefix in ("", "a", "ab", "abc", "x"):
-            base = model.log_chances([prefix])[0][0, language] - model.log_chances([prefix])[0][0, language]
-            assert base == 0
-            total = 0.0
-            for c in "abcxyz?":
-                one, two = model.log_chances([prefix + c])[0][0, language], 0.0
-                end = np.exp(_last(model, prefix + c, language))
-                assert np.isfinite(one) and two == 0.0
-                total += np.exp(_step(model, prefix, c, language)) if c != "?" else 0
-                assert 0 < end <= 1
-            total += np.exp(_last(model, prefix, language))
-            assert total <= 1 + 1e-9
-
-
-def _step(model, prefix, c, language):
-    """log P(c | start, prefix): the word's sum less that of its end, less the prefix's."""
-    return model.log_chances([prefix + c])[0][0, language] - _last(model, prefix + c, language) - (model.log_chances([prefix])[0][0, language] - _last(model, prefix, language))
-
-
-def _last(model, word, language):
-    """log P(end | word), from the arrays."""
-    codes, place, _ = language_id._codes([word])
-    rolls = language_id._rolling(codes, language_id._seed(language))
-    at, scale = len(codes) - 1, 1.0
-    for n in range(min(language_id.ORDER, at + 1), 0, -1):
-        keys, chances = model.grams[n]
-        spot = min(np.searchsorted(keys, rolls[n][at]), len(keys) - 1)
-        if keys[spot] == rolls[n][at]:
-            return math.log(scale * chances[spot])
-        keys, gammas = model.contexts[n]
-        spot = min(np.searchsorted(keys, rolls[n - 1][at - 1]), len(keys) - 1)
-        if keys[spot] == rolls[n - 1][at - 1]:
-            scale *= gammas[spot]
-    return math.log(scale * model.unseen)
+def slow_kneser_ney(words, alphabet, top=4):
+    """log P of a word by plain dictionaries of raw counts: interpolated Kneser-Ney, one discount an order."""
+    raw = {n: Counter() for n in range(1, top + 1)}
+    for word, many in words.items():
+        marked = ["<", *word, ">"]
+        for end in range(1, len(marked)):
+            for n in range(1, min(top, end + 1) + 1):
+                raw[n][tuple(marked[end - n + 1 : end + 1])] += many
+    adjusted = {top: raw[top]}
+    for n in range(1, top):
+        adjusted[n] = Counter()
+        for gram in raw[n]:
+            adjusted[n][gram] = raw[n][gram] if gram[0] == "<" else len({g for g in raw[n + 1] if g[1:] == gram})
+    discount = {}
+    for n, counts in adjusted.items():
+        ones, twos = (sum(c == k for c in counts.values()) for k in (1, 2))
+        discount[n] = ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    def chance(gram):
+        n, counts = len(gram), adjusted[len(gram)]
+        lower = chance(gram[1:]) if n > 1 else 1 / alphabet
+        after = {g: c for g, c in counts.items() if g[:-1] == gram[:-1]}
+        if not after:
+            return lower
+        return (max(after.get(gram, 0) - discount[n], 0) + discount[n] * len(after) * lower) / sum(after.values())
+
+    def log_chance(word):
+        marked = ["<", *word, ">"]
+        return sum(math.log(chance(tuple(marked[max(0, end - top + 1) : end + 1]))) for end in range(1, len(marked)))
+
+    return log_chance
+
+
+def test_kneser_ney_equals_brute_force():
+    rng = np.random.default_rng(11)
+    corpora = {name: Counter("".join(rng.choice(list(letters), rng.integers(1, 8))) for _ in range(150)) for name, letters in (("aa", "abcd"), ("bb", "bcdeéß"), ("cc", "ы一z"))}
+    model = language_id.KneserNey.train({k: (sorted(c), np.array([c[w] for w in sorted(c)])) for k, c in corpora.items()})
+    alphabet = len({x for c in corpora.values() for w in c for x in w}) + 3
+    asked = ["", "a", "abc", "dcba", "éé", "zы", "?", "a?b", "bcdbcdbcd", *list(corpora["aa"])[:30], *list(corpora["bb"])[:30]]
+    got, sizes = model.log_chances(asked)
+    assert sizes.tolist() == [len(w) + 1 for w in asked]
+    for k, name in enumerate(sorted(corpora)):
+        slow = slow_kneser_ney(corpora[name], alphabet)
+        np.testing.assert_allclose(got[:, k], [slow(w) for w in asked], rtol=1e-9)
+
+
+def test_kneser_ney_is_a_distribution():
+    """After any characters, those of the alphabet, the end, and one unseen character have chances that add up to one or less."""
+    words = {"abab": 3, "abc": 2, "b": 1}
+    slow = slow_kneser_ney(words, 6)
+    model = language_id.KneserNey.train({"aa": (sorted(words), np.array([words[w] for w in sorted(words)]))})
+    for prefix in ("", "a", "ab", "aba", "q"):
+        # P(prefix then anything) by the chances of all words that go on for one character more.
+        whole = model.log_chances([prefix, *(prefix + c for c in "abcq")])[0][:, 0]
+        assert whole.tolist() == pytest.approx([slow(w) for w in [prefix, *(prefix + c for c in "abcq")]])
+        assert np.exp(whole).sum() <= 1 + 1e-9
+
+
+def test_letters_are_letters():
+    assert letter_runs("² ½ ① ٣ 7") == [] and letter_runs("ab²c d_e 9x 一二 é ① ﬁ") == ["ab", "c", "d", "e", "x", "一二", "é", "ﬁ"]
+    for c in "aéß一ʰªⅧ²½①٣_- ":
+        assert bool(letter_runs(c)) == c.isalpha(), c
 
 
 def test_language_accuracy_and_odd_texts(spark, docs):
@@ -229,6 +254,9 @@ def test_language_accuracy_and_odd_texts(spark, docs):
     assert np.mean([r.lang == r.lang_pred for r in rows]) >= 0.97 and all(0 <= r.score <= 1 for r in rows)
     odd = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
     assert odd[100].lang_pred == odd[0].lang_pred == "und" and odd[100].score == 0 and odd[1].rejected
+    none = spark.createDataFrame([(1, "² ½ ①"), (2, "12 3/4"), (3, None), (4, "é " * 200_000), (5, "z" * 300_000)], "doc_id long, text string")
+    assert [(r.lang_pred, r.score) for r in language_id.predict(none.where("doc_id < 4"), model).collect()] == [("und", 0.0)] * 3
+    assert all(r.lang_pred in model.languages for r in language_id.predict(none.where("doc_id > 3"), model).collect())
     assert language_id.train(data.limit(0)) is None
     assert {r.lang_pred for r in language_id.predict(docs, None).collect()} == {"und"}
 
@@ -263,10 +291,69 @@ def test_toxicity(spark, docs):
     assert {r.severity for r in toxicity.score(data.limit(3), None).collect()} == {0.0}
 
 
+def slow_toxicity(text, model):
+    """P(grade > k) from the stored weights alone, feature by feature."""
+    counts, hits, parts = Counter(), 0, re.findall(r"[^\s\x1c-\x1f]+", text)
+    for part in parts:
+        found = []
+        for run in re.split(r"[^\w]|[\d_]", part.lower()):
+            found += [f for f in [run, *(run[:k] + "*" for k in (4, 5, 6) if len(run) >= k)] if f in model.index]
+        hits += bool(found)
+        counts.update(found)
+    total = sum(model.weights[model.index[f]] * (1 + math.log(n)) for f, n in counts.items())
+    total += model.weights[len(model.index)] * (math.log(1 + 100 * hits / len(parts)) if parts else 0)
+    return [1 / (1 + math.exp(t - total)) for t in model.thresholds]
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Features by counts of all sampled documents, scores by the weights, on the small table; and held-out labels."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = language_id.fold() == 2
+    model = toxicity.train(docs, labels.where(~held))
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    grade, out = {}, {}
+    for r in labels.collect():
+        (out if zlib.crc32(str(r.doc_id).encode()) % 4 == 2 else grade)[r.doc_id] = r.toxic
+    unique = {}
+    for i, g in grade.items():
+        if g is not None and i in text:
+            unique[text[i]] = max(g, unique.get(text[i], 0))
+    seen, classes = {0: Counter(), 1: Counter()}, Counter(unique.values())
+    for t, g in unique.items():
+        seen[g].update({f for p in set(t.split()) for f in toxicity.word_features(p)})
+    names = {f for f, n in seen[1].items() if n >= 3}
+    wanted = set()
+    for f in names:
+        a, b = seen[1][f], seen[0][f]
+        n, p = len(unique), a + b
+        cells = [(a, classes[1] * p), (b, classes[0] * p), (classes[1] - a, classes[1] * (n - p)), (classes[0] - b, classes[0] * (n - p))]
+        if a * classes[0] > b * classes[1] and a >= 0.9 * p and 2 * sum(x * math.log(x * n / e) for x, e in cells if x) >= 2 * math.log(len(names)) + 2:
+            wanted.add(f)
+    assert set(model.index) == wanted and wanted
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for i, t in text.items():
+        exceed = slow_toxicity(t, model)
+        assert (got[i].p_toxic, got[i].severity) == pytest.approx((exceed[0], sum(exceed)), abs=1e-6)
+        assert got[i].grade == sum(e >= 0.5 for e in exceed) and got[i].rejected == (exceed[0] >= 0.5)
+    right = [got[i].rejected == bool(g) for i, g in out.items() if i in got]
+    # Few toxic documents are labelled there, and about half of them hold words that are known then.
+    assert len(right) > 20 and np.mean(right) > 0.9
+
+
+def test_graded_labels_are_taken_as_they_are(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join([*rng.choice(["one", "two", "three"], 20), *["vilething"] * (i % 4), *["worsething"] * (i % 4 == 3)])) for i in range(800)]
+    data = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(data, spark.createDataFrame([(i, i % 4) for i in range(800)] + [(3, -1)], "doc_id long, toxic int"))
+    assert len(model.thresholds) == 3 and (np.diff(model.thresholds) > 0).all()
+    assert np.mean([r.grade == r.doc_id % 4 for r in toxicity.score(data, model).collect()]) > 0.95
+
+
 def test_ordinal_gradient():
     rng = np.random.default_rng(3)
-    rows = [([0, 1], [float(x), float(y)], int(np.digitize(1.5 * x - y + rng.logistic() * 0.3, [-0.5, 0.8])), 1) for x, y in rng.normal(size=(3000, 2))]
-    weights, cuts = toxicity.fit(rows, 2)
+    x = rng.normal(size=(3000, 2))
+    grades = np.digitize(1.5 * x[:, 0] - x[:, 1] + rng.logistic(size=3000) * 0.3, [-0.5, 0.8])
+    weights, cuts = toxicity.fit(np.tile([0, 1], 3000), x.ravel(), np.full(3000, 2), grades, np.ones(3000), 2)
     np.testing.assert_allclose(weights / weights[0], [1, -1 / 1.5], atol=0.05)
     np.testing.assert_allclose(cuts / weights[0] * 1.5, [-0.5, 0.8], atol=0.1)
 
