@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_counted
 
 #: Fixed value: the characters deleted before comparing, U+0020 and U+0009 to U+000D.
 IGNORED = " \t\n\x0b\x0c\r"
@@ -56,15 +56,22 @@ def exact_groups(
         .agg(F.count("*").alias("group_size"), best.alias("best"), F.min("body").alias("lo"), F.max("body").alias("hi"))
         .select("h", "group_size", (F.lit(-1) - F.col("best.down")).alias("keep_id"), (F.col("lo") != F.col("hi")).alias("mixed"))
     )
+    # Most texts stand alone; only groups of more are looked up.
+    groups = found.where("group_size > 1")
     narrow = rows.select("id", "h", "text_sha256")
-    out = narrow.join(found.where("not mixed").drop("mixed"), "h")
-    columns = ["id", "keep_id", "group_size", "text_sha256"]
+    mixed = groups.where("mixed").select("h")
+    clashes = mixed.limit(1).count() > 0
+    out = join_counted(narrow, groups.where("NOT mixed").select("h", "group_size", "keep_id"), "h", "left")
+    if clashes:
+        out = join_counted(out, mixed, "h", "left_anti")
+    grouped = F.col("group_size").isNotNull()
+    columns = ["id", F.when(grouped, F.col("keep_id")).otherwise(F.col("id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "text_sha256"]
     out = out.select(*columns)
-    if found.where("mixed").limit(1).count():
-        clash = rows.join(found.where("mixed").select("h"), "h", "left_semi")
-        again = clash.groupBy("body").agg(F.count("*").alias("group_size"), best.alias("best"))
+    if clashes:
+        clash = join_counted(rows, mixed, "h", "left_semi")
+        again = cut(clash.groupBy("body").agg(F.count("*").alias("group_size"), best.alias("best")))
         again = again.select("body", "group_size", (F.lit(-1) - F.col("best.down")).alias("keep_id"))
-        out = out.union(clash.join(again, "body").select(*columns))
+        out = out.union(clash.join(again, "body").select("id", "keep_id", "group_size", "text_sha256"))
     return out.select(
         F.col("id").alias(id_col),
         "keep_id",

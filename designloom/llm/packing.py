@@ -30,10 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, claim_memory, slices, write_table
+from .common import BROADCAST_ROWS, claim_memory, cut, drop_table, slices, write_table
 
-#: Most parts of texts, and most words, whose ids one Python worker remembers.
-CACHE_PARTS, CACHE_WORDS = 1_500_000, 1_000_000
+WINDOW = 4096
+#: Bytes that one Python worker spends on parts of texts, and on words, with their ids; an entry's own bytes, and the longest part kept.
+CACHE_BYTES, ENTRY_BYTES, LONG_PART = 96 << 20, 200, 64
 
 
 class WordEncoder(dict):
@@ -43,7 +44,8 @@ class WordEncoder(dict):
     lower case, and split by a pattern that drops white space: no composition,
     split or merge then crosses a space, so the ids of a text are those of its
     parts in order, and those of a part are those of its words. Others encode
-    whole texts. Caches stop growing when full; later parts are worked out anew.
+    whole texts. Caches are bounded in bytes, and stop growing when full; later
+    parts are worked out anew.
     """
 
     def __init__(self, path: str) -> None:
@@ -69,6 +71,7 @@ class WordEncoder(dict):
         )
         self.split = regex.compile(steps[0]["pattern"]["Regex"]).findall if self.by_part else None
         self.words: dict[str, bytes] = {}
+        self.part_room = self.word_room = CACHE_BYTES
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -81,13 +84,15 @@ class WordEncoder(dict):
             found = self.word(low) if low.isalpha() else b"".join(map(self.word, self.split(low)))
         else:
             found = self.whole(part)
-        if len(self) < CACHE_PARTS:
+        if self.part_room > 0 and len(part) <= LONG_PART:
+            self.part_room -= ENTRY_BYTES + len(part) + len(found)
             self[part] = found
         return found
 
     def forget(self) -> None:
         self.clear()
         self.words.clear()
+        self.part_room = self.word_room = CACHE_BYTES
 
     def word(self, word: str) -> bytes:
         found = self.words.get(word)
@@ -98,7 +103,8 @@ class WordEncoder(dict):
                 found = struct.pack(f"<{len(ids)}I", *ids)
             else:
                 found = self.whole(word)
-            if len(self.words) < CACHE_WORDS:
+            if self.word_room > 0 and len(word) <= LONG_PART:
+                self.word_room -= ENTRY_BYTES + len(word) + len(found)
                 self.words[word] = found
         return found
 
@@ -142,17 +148,23 @@ def pack(
     *,
     tokenizer_path: str,
     end_id: int,
-    window: int = 4096,
+    window: int = WINDOW,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Pieces: id, ``start``, ``length``, ``ids`` (bytes), ``doc_tokens``, ``sequence_id``, ``offset``.
 
     ``start`` counts the document's ids before the piece, ``offset`` those of
-    the sequence before it.
+    the sequence before it. The encoded texts stay under ``spark.checkpoint.dir``
+    as long as the pieces may be read.
     """
-    spark = docs.sparkSession
     stored, _ = encode_table(docs, tokenizer_path, end_id, id_col=id_col, text_col=text_col)
+    return _cut_into_pieces(stored, window, id_col)
+
+
+def _cut_into_pieces(stored: DataFrame, window: int, id_col: str) -> DataFrame:
+    """Pass two."""
+    spark = stored.sparkSession
     # One row per stored partition; their prefix sums are the global offsets.
     totals = sorted(tuple(r) for r in stored.groupBy("part").agg(F.sum("n")).collect())
     bases, base = [], 0
@@ -188,7 +200,7 @@ def pack(
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def sequences(pieces: DataFrame, *, window: int = 4096, pad_id: int = 0) -> DataFrame:
+def sequences(pieces: DataFrame, *, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
     """Padded sequences ``sequence_id, ids array<int>, n`` of packed ``pieces``; a group is one window."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -206,5 +218,13 @@ def digest(pieces: DataFrame) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def packed_digest(docs: DataFrame, **options: object) -> DataFrame:
+    """The digest of ``pack``, worked out at once; the encoded texts are deleted after."""
+    stored, path = encode_table(docs, str(options["tokenizer_path"]), int(options["end_id"]), id_col=str(options.get("id_col", "doc_id")), text_col=str(options.get("text_col", "text")))
+    out = cut(digest(_cut_into_pieces(stored, int(options.get("window", WINDOW)), str(options.get("id_col", "doc_id")))))
+    drop_table(docs.sparkSession, path)
+    return out
+
+
 def crc32_of(ids: list[int]) -> int:
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())

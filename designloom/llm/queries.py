@@ -46,8 +46,8 @@ FROM g
 
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(documents(spark, sf_dir), tokenizer_path=public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return packing.digest(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    pieces = packing.packed_digest(documents(spark, sf_dir), tokenizer_path=public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 @query

@@ -2,13 +2,16 @@
 
 The model file is read directly: its compiled character map (a double-array
 trie over UTF-8 prefixes and a table of replacements) drives a longest-prefix
-normaliser that records, for each normalised byte, the original byte it came
-from. Every piece of the normalised text is then projected to a span of the
-original bytes. Ids are the library's.
+normaliser that records, for each normalised byte, the original bytes it came
+from: stretches that no key of the map begins in stay as they are, and are aligned
+at once. Every text passes through it, and each of its pieces is projected through
+the alignment to a span of the original bytes. A model with an empty map (as the
+query's) leaves all characters but spaces alone. Ids are the library's.
 
 Where the model has no character map and no piece joins a word to a following
-space, text splits at spaces into parts that encode independently; each part is
-encoded once per worker and remembered. Other models encode whole texts.
+space, the library gets texts beyond ``LONG_TEXT`` characters in stretches, cut at
+single spaces, which encode independently: its memory then stays bounded. All
+other texts are encoded whole.
 
 Defined cases: a null text counts as empty; an empty text has no ids; one row
 per input row, repeated ones included; other columns are ignored.
@@ -18,7 +21,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import struct
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +34,10 @@ from .common import slices
 
 SPACE = "▁"
 SPACE_BYTES = SPACE.encode()
-#: Most text parts whose ids one Python worker remembers.
-CACHE_PARTS = 300_000
+#: Characters that the library encodes at once, where a text can be cut.
+LONG_TEXT = 1 << 20
+#: A space that stands alone between other characters.
+SINGLE_SPACE = re.compile(r"(?<=[^ ]) (?=[^ ])")
 
 
 class CharacterMap:
@@ -42,6 +47,9 @@ class CharacterMap:
         size = int.from_bytes(blob[:4], "little")
         self.units = np.frombuffer(blob[4 : 4 + size], dtype="<u4").tolist()
         self.texts = blob[4 + size :]
+        root = self._offset(self.units[0])
+        #: Bytes that begin a key.
+        self.firsts = [b for b in range(1, 256) if (root ^ b) < len(self.units) and self.units[root ^ b] & 0x800000FF == b]
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest key that starts at ``at``, and its replacement."""
@@ -94,49 +102,64 @@ class Codec:
         self.map = CharacterMap(rules.precompiled_charsmap) if rules.precompiled_charsmap else None
         self.suffix = proto.trainer_spec.treat_whitespace_as_suffix
         kinds = type(proto.pieces[0])
-        self.bytes_of = [1 if p.type == kinds.BYTE else len(p.piece.encode()) for p in proto.pieces]
-        self.marks_of = [len(p.piece) - len(p.piece.lstrip(SPACE)) for p in proto.pieces]
+        self.bytes_of = np.array([1 if p.type == kinds.BYTE else len(p.piece.encode()) for p in proto.pieces], np.int64)
+        self.decimals = [str(i) for i in range(len(proto.pieces))]
         self.unknown = proto.trainer_spec.unk_id
         #: User-defined pieces are kept as they are by the normaliser.
         self.kept = sorted((p.piece.encode() for p in proto.pieces if p.type == kinds.USER_DEFINED), key=len, reverse=True)
         crossing = any(SPACE in p.piece.lstrip(SPACE) for p in proto.pieces)
-        self.by_part = (
+        self.divisible = (
             self.map is None and not self.kept and not crossing and not self.suffix
             and rules.add_dummy_prefix and rules.escape_whitespaces and not rules.remove_extra_whitespaces
         )
-        self.parts: dict[str, tuple[bytes, bytes, str, str]] = {}
+        self.firsts = self._first_bytes()
 
     # Normalising with alignment.
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
         """Normalised bytes, and for each of them where its original bytes begin and end."""
         data, rules = text.encode(), self.rules
-        pieces: list[tuple[bytes, int, int]] = []
+        raw = np.frombuffer(data, np.uint8)
+        replaced: list[tuple[int, int, bytes]] = []
         at = 0
-        while at < len(data):
-            length, new = self._step(data, at)
-            pieces.append((new, at, at + length))
-            at += length
-        if rules.remove_extra_whitespaces:
-            pieces = self._squeezed(pieces)
-        if not pieces:
+        for spot in np.flatnonzero(self.firsts[raw]).tolist() if self.firsts is not None else ():
+            # A byte that begins a key begins a character too.
+            if spot >= at:
+                length, new = self._step(data, spot)
+                at = spot + length
+                if new != data[spot:at]:
+                    replaced.append((spot, at, new))
+        out, begins = raw, np.arange(len(raw))
+        ends = begins + 1
+        if replaced:
+            chunks, at = [], 0
+            for begin, end, new in replaced:
+                chunks += [(raw[at:begin], begins[at:begin], ends[at:begin]), (np.frombuffer(new, np.uint8), np.full(len(new), begin), np.full(len(new), end))]
+                at = end
+            chunks.append((raw[at:], begins[at:], ends[at:]))
+            out, begins, ends = (np.concatenate(c) for c in zip(*chunks, strict=True))
+        if rules.remove_extra_whitespaces and len(out):
+            # The first of each run of spaces stays, unless nothing stands before or after it.
+            kept = (out != 32) | np.concatenate([[False], out[:-1] != 32])
+            if out[-1] == 32:
+                kept[np.flatnonzero(kept)[-1:]] &= out[np.flatnonzero(kept)[-1:]] != 32
+            out, begins, ends = out[kept], begins[kept], ends[kept]
+        if not len(out):
             return b"", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        out, begins, ends = bytearray(), [], []
-        space = SPACE_BYTES if rules.escape_whitespaces else b" "
-
-        def put(chunk: bytes, begin: int, end: int) -> None:
-            out.extend(chunk)
-            same = chunk == data[begin:end]
-            begins.extend(range(begin, end) if same else [begin] * len(chunk))
-            ends.extend(range(begin + 1, end + 1) if same else [end] * len(chunk))
-
-        if rules.add_dummy_prefix and not self.suffix:
-            put(space, pieces[0][1], pieces[0][1])
-        for new, begin, end in pieces:
-            put(new.replace(b" ", space), begin, end)
-        if rules.add_dummy_prefix and self.suffix:
-            put(space, pieces[-1][2], pieces[-1][2])
-        return bytes(out), np.array(begins), np.array(ends)
+        if rules.add_dummy_prefix:
+            # One space more, of no original bytes.
+            edge = ends[-1:] if self.suffix else begins[:1]
+            spaced = [(np.full(1, 32, np.uint8), edge, edge), (out, begins, ends)]
+            out, begins, ends = (np.concatenate(c) for c in zip(*(spaced[::-1] if self.suffix else spaced), strict=True))
+        if rules.escape_whitespaces:
+            copies = np.where(out == 32, len(SPACE_BYTES), 1)
+            return out.tobytes().replace(b" ", SPACE_BYTES), np.repeat(begins, copies), np.repeat(ends, copies)
+        return out.tobytes(), begins, ends
+
+    def _first_bytes(self) -> np.ndarray | None:
+        """Which bytes begin what the normaliser must look at; None if there are none."""
+        firsts = {p[0] for p in self.kept} | set(self.map.firsts if self.map else ())
+        return np.isin(np.arange(256), sorted(firsts)) if firsts else None
 
     def _step(self, data: bytes, at: int) -> tuple[int, bytes]:
         for piece in self.kept:
@@ -148,109 +171,36 @@ class Codec:
         length = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
         return length, data[at : at + length]
 
-    @staticmethod
-    def _squeezed(pieces: list[tuple[bytes, int, int]]) -> list[tuple[bytes, int, int]]:
-        """Leading, trailing and repeated spaces removed."""
-        out: list[tuple[bytes, int, int]] = []
-        after_space = True
-        for new, begin, end in pieces:
-            while after_space and new.startswith(b" "):
-                new = new[1:]
-            if new:
-                out.append((new, begin, end))
-                after_space = new.endswith(b" ")
-        while out and out[-1][0].endswith(b" "):
-            new, begin, end = out.pop()
-            if new := new.rstrip(b" "):
-                out.append((new, begin, end))
-        return out
-
     # Encoding.
 
     def encode(self, text: str) -> Encoding:
-        return self._by_part(text) if self.by_part else self._whole(text)
-
-    def _whole(self, text: str) -> Encoding:
-        ids, names = self.processor.encode(text), self.processor.encode(text, out_type=str)
         normal, begins, ends = self.normalise(text)
-        lengths = np.array([len(p.encode()) if i == self.unknown else self.bytes_of[i] for i, p in zip(ids, names, strict=True)], np.int64)
+        ids: list[int] = []
+        decoded = []
+        for stretch in self._stretches(text):
+            mine = self.processor.encode(stretch)
+            ids += mine
+            decoded.append(self.processor.decode(mine))
+        cells = np.array(ids, np.int32)
+        lengths = self.bytes_of[cells]
+        if self.unknown in ids:
+            # An unknown piece is as long as what it stands for.
+            names = [p for stretch in self._stretches(text) for p in self.processor.encode(stretch, out_type=str)]
+            lengths = np.array([len(p.encode()) if i == self.unknown else n for i, p, n in zip(ids, names, lengths.tolist(), strict=True)], np.int64)
         stops = np.cumsum(lengths)
         if (int(stops[-1]) if ids else 0) != len(normal):
             raise ValueError("pieces do not cover the normalised text")
-        return Encoding(np.array(ids, np.int32), begins[stops - lengths], ends[stops - 1], ",".join(map(str, ids)), self.processor.decode(ids))
-
-    def _learn(self, parts: list[str]) -> None:
-        """Remember ids, original bytes of each piece (the space before the part included), decimal ids, decoded.
-
-        All new parts are encoded as one text and cut where each part's
-        normalised bytes end; parts of spaces alone would flow together, so
-        they go alone. A space that ends a text leaves an empty part: its mark.
-        """
-        together = [p for p in parts if p.strip(" ")]
-        if together:
-            text = " ".join(together)
-            ids = self.processor.encode(text)
-            same = self.processor.decode(ids) == text
-            stops = np.cumsum([self.bytes_of[i] for i in ids])
-            sizes = [len(p.encode()) + len(SPACE_BYTES) + (len(SPACE_BYTES) - 1) * p.count(" ") for p in together]
-            cuts = np.searchsorted(stops, np.cumsum(sizes), side="left") + 1
-            begin = 0
-            for part, end in zip(together, cuts.tolist(), strict=True):
-                self._remember(part, ids[begin:end], part if same else None)
-                begin = end
-        for part in parts:
-            if not part.strip(" "):
-                self._remember(part, self.processor.encode(part) if part else [self.processor.piece_to_id(SPACE)], None)
-
-    def _remember(self, part: str, ids: list[int], decoded: str | None) -> None:
-        lengths = [self.bytes_of[i] for i in ids]
-        # Each mark stands for one byte of the original.
-        spaces = 1 + len(part) - len(part.lstrip(" "))
-        for k, i in enumerate(ids):
-            marks = min(spaces, self.marks_of[i])
-            lengths[k] -= (len(SPACE_BYTES) - 1) * marks
-            spaces -= marks
-            if not spaces:
-                break
-        n = len(ids)
-        self.parts[part] = (
-            struct.pack(f"<{n}I", *ids),
-            struct.pack(f"<{n}I", *lengths),
-            ",".join(map(str, ids)),
-            self.processor.decode(ids) if decoded is None else decoded,
-        )
+        decimals = self.decimals
+        return Encoding(cells, begins[stops - lengths], ends[stops - 1], ",".join([decimals[i] for i in ids]), " ".join(decoded))
 
-    def _by_part(self, text: str) -> Encoding:
-        if not text:
-            none = np.zeros(0, np.int64)
-            return Encoding(none.astype(np.int32), none, none, "", "")
-        if SPACE in text or "\0" in text:
-            return self._whole(text)
-        parts = text.split(" ")
-        if "" in parts:
-            # Runs of spaces belong to the part that follows them.
-            joined, run = [], 0
-            for p in parts[:-1]:
-                if p:
-                    joined.append(" " * run + p)
-                    run = 0
-                else:
-                    run += 1
-            joined.append(" " * run + parts[-1])
-            parts = joined
-        known = self.parts
-        try:
-            got = [known[p] for p in parts]
-        except KeyError:
-            if len(known) > CACHE_PARTS:
-                known.clear()
-            self._learn(list({p for p in parts if p not in known}))
-            got = [known[p] for p in parts]
-        ids = np.frombuffer(b"".join([g[0] for g in got]), "<u4").astype(np.int32)
-        lengths = np.frombuffer(b"".join([g[1] for g in got]), "<u4").astype(np.int64)
-        lengths[0] -= 1  # the first mark is the dummy prefix, not a space of the text
-        ends = np.cumsum(lengths)
-        return Encoding(ids, ends - lengths, ends, ",".join([g[2] for g in got]), " ".join([g[3] for g in got]))
+    def _stretches(self, text: str) -> Iterator[str]:
+        """The text, or what stands between some of its single spaces: each space is the mark before what follows."""
+        at = 0
+        if self.divisible and len(text) > LONG_TEXT and SPACE not in text and "\0" not in text:
+            while len(text) - at > LONG_TEXT and (found := SINGLE_SPACE.search(text, at + LONG_TEXT)):
+                yield text[at : found.start()]
+                at = found.end()
+        yield text[at:] if at else text
 
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids)
@@ -258,7 +208,7 @@ class Codec:
 
 @functools.lru_cache(maxsize=2)
 def shared_codec(model_path: str) -> Codec:
-    """One codec and cache per Python worker."""
+    """One codec per Python worker."""
     return Codec(model_path)
 
 

@@ -31,22 +31,72 @@ def texts(spark):
     return [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
 
 
+def slow_normalise(codec, text):
+    """Normalised bytes and their alignment, character by character."""
+    data, rules, pieces, at = text.encode(), codec.rules, [], 0
+    while at < len(data):
+        length, new = codec._step(data, at)
+        pieces.append((new, at, at + length))
+        at += length
+    if rules.remove_extra_whitespaces:
+        squeezed, spaced = [], True
+        for new, begin, end in pieces:
+            new = new.lstrip(b" ") if spaced else new
+            if new:
+                squeezed.append((new, begin, end))
+                spaced = new.endswith(b" ")
+        while squeezed and squeezed[-1][0].endswith(b" "):
+            new, begin, end = squeezed.pop()
+            squeezed += [(new.rstrip(b" "), begin, end)] if new.rstrip(b" ") else []
+        pieces = squeezed
+    if not pieces:
+        return b"", [], []
+    if rules.add_dummy_prefix:
+        edge = pieces[-1][2] if codec.suffix else pieces[0][1]
+        pieces.insert(len(pieces) if codec.suffix else 0, (b" ", edge, edge))
+    out, begins, ends = b"", [], []
+    for new, begin, end in pieces:
+        same = new == data[begin:end]
+        for k, byte in enumerate(new):
+            cell = "▁".encode() if byte == 32 and rules.escape_whitespaces else bytes([byte])
+            out += cell
+            begins += [begin + k if same else begin] * len(cell)
+            ends += [begin + k + 1 if same else end] * len(cell)
+    return out, begins, ends
+
+
 def test_codec_equals_the_library(texts):
     codec = sentencepiece_codec.Codec(PIECES)
-    assert codec.by_part
-    for text in texts + ODD:
+    assert codec.divisible
+    for text in [t[:20_000] for t in texts] + ODD:
         found, ids = codec.encode(text), codec.processor.encode(text)
         assert found.ids.tolist() == ids
         assert found.decoded == codec.processor.decode(ids)
         assert found.id_text == ",".join(map(str, ids))
-        whole = codec._whole(text)
-        assert whole.starts.tolist() == found.starts.tolist() and whole.ends.tolist() == found.ends.tolist()
+        names = codec.processor.encode(text, out_type=str)
+        lengths = np.array([1 if re.fullmatch("<0x[0-9A-F]{2}>", p) and codec.processor.is_byte(i) else len(p.encode()) for i, p in zip(ids, names)], int)
+        normal, begins, ends = slow_normalise(codec, text)
+        assert (*map(np.ndarray.tolist, codec.normalise(text)[1:]),) == (begins, ends) and codec.normalise(text)[0] == normal
+        stops = np.cumsum(lengths)
+        assert [begins[k] for k in stops - lengths] == found.starts.tolist() and [ends[k] for k in stops - 1] == found.ends.tolist()
         data = text.encode()
         if text:
             assert found.starts[0] == 0 and found.ends[-1] == len(data) and (found.starts[1:] == found.ends[:-1]).all()
             assert b"".join(data[s:e] for s, e in zip(found.starts, found.ends)) == data
 
 
+@pytest.mark.parametrize("size", [1, 7, 40])
+def test_long_texts_are_cut_without_a_trace(texts, monkeypatch, size):
+    codec = sentencepiece_codec.Codec(PIECES)
+    some = [t[:1500] for t in texts[:40]] + ODD + ["a  b c   d e", " x y ", "no-spaces-at-all" * 9, "▁ a b c", "a\0 b c d"]
+    whole = [codec.encode(t) for t in some]
+    monkeypatch.setattr(sentencepiece_codec, "LONG_TEXT", size)
+    for text, one in zip(some, whole):
+        cut = codec.encode(text)
+        assert (cut.id_text, cut.decoded, cut.ends.tolist()) == (one.id_text, one.decoded, one.ends.tolist())
+    assert any(len(list(codec._stretches(t))) > 3 for t in some)
+
+
 def test_character_map_equals_the_library():
     import sentencepiece
 
@@ -57,6 +107,13 @@ def test_character_map_equals_the_library():
     proto.ParseFromString(normalizer.serialized_model_proto())
     codec = object.__new__(sentencepiece_codec.Codec)
     codec.rules, codec.map, codec.kept, codec.suffix = proto.normalizer_spec, sentencepiece_codec.CharacterMap(proto.normalizer_spec.precompiled_charsmap), [], False
+    codec.firsts = codec._first_bytes()
+    rng = np.random.default_rng(9)
+    letters = list("aB z  \t\n") + ["é", "ﬁ", "①", "㌔", "ｶ", "ﾞ", "　", "日", "\u0301", "½", "🎉", "\u200b", "Å"]
+    for text in ["", "  ", *("".join(rng.choice(letters, 12)) for _ in range(300))]:
+        normal, begins, ends = codec.normalise(text)
+        assert (normal, begins.tolist(), ends.tolist()) == slow_normalise(codec, text), text
+        assert normal.decode() == normalizer.normalize(text), text
     for text in ["ＡＢＣ　ｄ", "ﬁne ① ㌔ x", "é ä é", "plain text", "１２３\tｶﾞ", "​zero"]:
         normal, begins, ends = codec.normalise(text)
         assert normal.decode() == normalizer.normalize(text), text
