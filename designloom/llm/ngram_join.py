@@ -1,25 +1,29 @@
 """N-gram Jaccard join by signature trees (operator 3).
 
-Exact: no link at or above the threshold is lost, none below it is made.
-
-1. Each text becomes its set of 64-bit shingle hashes, stored in the shared
-   folder. Equal sets collapse to the smallest id before anything is compared,
-   so groups of copies, however large, cost one row each in what follows.
+No link at or above the threshold is lost, none below it is made, up to clashes of
+hashes: shingles are 64-bit hashes, of which 48 bits are stored and compared, so a
+pair of sets of n shingles is misjudged with a probability below n*n / 2**48; equal
+sets are told by a 128-bit digest.
+
+1. Each text becomes its set of shingle hashes, stored in the shared folder. Equal
+   sets collapse to the smallest id before anything is compared, so groups of
+   copies, however large, cost one row each in what follows.
 2. Sets meet where they share a token of their *prefix*, the few tokens that any
    partner of sufficient overlap must touch, in one order of all tokens. The
    order puts a fixed share of hash space first, and there rare tokens before
    frequent ones, by their exact frequency: these tokens alone are counted, in
    one shuffle. A token of one set can't be met, so most sets send nothing on.
-3. Where sets meet at a token, their bitmaps and sizes (a signature tree, where
-   they are many) tell which pairs can link at all. Sets that can, directly or
-   through others, form a block; each block travels once to one task.
-4. A block becomes a signature tree: leaves hold documents close in size and
-   content, inner nodes hold the OR of the token bitmaps below and the range of
-   sizes. A traversal of pairs of nodes drops each pair whose largest possible
-   overlap is below what its smallest sizes ask for, or whose documents are all
-   joined already; pairs of documents that remain are decided on their sets.
-   A block beyond ``block_tokens`` is cut into slices, and each pair of slices
-   that can hold a link becomes a task of its own.
+3. The sets that meet at a token form a signature tree, all trees of a task being
+   traversed together: a node holds the OR of the bitmaps below and the range of
+   sizes, and a pair of nodes is dropped if its largest possible overlap is below
+   what its smallest sizes ask for. Sets that can link, directly or through others,
+   form a block; each block travels once to one task.
+4. A block becomes a signature tree of its whole sets, and pairs of documents that
+   its traversal leaves, and that are not joined already, are decided on their sets.
+   A block beyond ``block_tokens`` is sorted by size and least token and cut into
+   slices, the leaves of a tree of the whole block; a pair of slices that the
+   traversal leaves becomes a task of its own. More than ``TREED`` sets that meet
+   at one token go to one such block together, their trees being those of slices.
 
 Defined cases: null, empty and blank texts have the empty set and no links; a
 text of fewer words than a shingle is one shingle; repeated rows keep one row
@@ -29,24 +33,24 @@ are ignored.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import claim_memory, connected_components, cut, drop_table, join_counted, slices, write_table
 
 #: Words whose hashes one Python worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS, LONG_WORD = 400_000, 64
 #: The counted share of hash space, as a multiple of the prefix's share of a set.
 REGION = 1.5
-#: Documents of one leaf, and children of one inner node.
-LEAF, FANOUT = 32, 8
-#: Sets that meet at one token and are compared in pairs, and by a tree; beyond, they are one block unseen.
+#: Documents of one leaf of a block's tree, and children of one inner node.
+LEAF, FANOUT = 8, 4
+#: Sets that meet at one token of which all pairs that can link are told; of more, links that span them; beyond, they are one block.
 PAIRED, TREED = 48, 8192
 #: Bits of the bitmaps that travel with meetings, at least and at most.
 LEAST_SKETCH_BITS, MOST_SKETCH_BITS = 256, 2048
@@ -58,9 +62,11 @@ MAX_BITS = 1 << 15
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            if len(self) > CACHE_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -239,44 +245,62 @@ def _folded(bits: list[pa.Scalar], rows: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _may_meet(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, bits: list[pa.Scalar], num: int, den: int) -> np.ndarray:
-    """Which pairs of rows can link, by sizes and bitmaps."""
-    ok = np.flatnonzero(den * np.minimum(sizes[i], sizes[j]) >= num * np.maximum(sizes[i], sizes[j]))
-    widths = np.array([len(b.as_buffer()) * 8 for b in bits])
-    least = np.minimum(widths[i[ok]], widths[j[ok]])
-    found = np.zeros(len(i), bool)
-    for width in np.unique(least).tolist():
-        pairs = ok[least == width]
-        rows, back = np.unique(np.concatenate([i[pairs], j[pairs]]), return_inverse=True)
-        folded = _folded(bits, rows, width)
-        count = np.bitwise_count(folded).sum(axis=1, dtype=np.int64)
-        for at in range(0, len(pairs), 1 << 15):
-            part = pairs[at : at + (1 << 15)]
-            x, y = back[at : at + len(part)], back[len(pairs) + at : len(pairs) + at + len(part)]
-            common = np.bitwise_count(folded[x] & folded[y]).sum(axis=1, dtype=np.int64)
-            n, m = sizes[i[part]], sizes[j[part]]
-            found[part] = may_link(n, n, count[x], m, m, count[y], common, num, den)
-    return found
+def forest_pairs(groups: np.ndarray, sizes: np.ndarray, bits: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group that can link: a dual traversal of the signature trees of all groups at once.
+
+    ``groups`` are sorted.
+    """
+    order = np.lexsort((bits[:, 0], sizes, groups))
+    level = bits[order], sizes[order], sizes[order], np.bitwise_count(bits[order]).sum(axis=1, dtype=np.int64)
+    levels, spans, owner = [level], [], groups
+    while True:
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        many = np.diff(np.concatenate([first, [len(owner)]]))
+        if many.max() == 1:
+            break
+        cuts = np.flatnonzero((np.arange(len(owner)) - np.repeat(first, many)) % FANOUT == 0)
+        spans.append((cuts, np.concatenate([cuts[1:], [len(owner)]])))
+        level = tuple(f.reduceat(x, cuts, axis=0) for f, x in zip((np.bitwise_or, np.minimum, np.maximum, np.minimum), level, strict=True))
+        levels.append(level)
+        owner = owner[cuts]
+    a = b = np.arange(len(owner))
+    for depth in range(len(levels) - 1, -1, -1):
+        ok = possible_pairs(levels[depth], a, b, num, den)
+        a, b = a[ok], b[ok]
+        if depth:
+            starts, stops = spans[depth - 1]
+            kids = np.arange(FANOUT)
+            x = (starts[a][:, None, None] + kids[None, :, None]).repeat(FANOUT, axis=2)
+            y = (starts[b][:, None, None] + kids[None, None, :]).repeat(FANOUT, axis=1)
+            ok = (x < stops[a][:, None, None]) & (y < stops[b][:, None, None]) & ((x < y) if depth == 1 else (x <= y))
+            # Children of two nodes are cut by their groups' order, so x is left of y unless the nodes are one.
+            a, b = x[ok], y[ok]
+    return order[a], order[b]
 
 
 def _group_edges(tokens: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, bits: list[pa.Scalar], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Edges between sets that meet at a token and can link; rows are sorted by token, groups complete."""
     starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
     many = np.diff(np.concatenate([starts, [len(tokens)]]))
-    small = np.repeat(many <= PAIRED, many)
-    for d in range(1, int(min(PAIRED, many.max()))):
-        i = np.flatnonzero((tokens[d:] == tokens[:-d]) & small[d:])
-        if len(i):
-            ok = _may_meet(i, i + d, sizes, bits, num, den)
-            yield nodes[i[ok]], nodes[i[ok] + d]
-    for g in np.flatnonzero(many > PAIRED).tolist():
-        rows = np.arange(starts[g], starts[g] + many[g])
-        if many[g] > TREED:
-            yield np.full(len(rows) - 1, nodes[rows[0]]), nodes[rows[1:]]
-            continue
-        for width in sorted({len(bits[r].as_buffer()) * 8 for r in rows}):
-            # Sets that link have equal or neighbouring widths.
-            mine = rows[[len(bits[r].as_buffer()) * 8 in (width, 2 * width) for r in rows]]
+    group, many_of = np.repeat(np.arange(len(many)), many), np.repeat(many, many)
+    widths = np.array([len(b.as_buffer()) * 8 for b in bits])
+    for g in np.flatnonzero(many > TREED).tolist():
+        rows = np.arange(starts[g] + 1, starts[g] + many[g])
+        yield np.full(len(rows), nodes[starts[g]]), nodes[rows]
+    for width in np.unique(widths).tolist():
+        own = widths == width
+        # Sets that link have equal or neighbouring widths, as have those that a wider one may reach.
+        rows = np.flatnonzero((own | (widths == 2 * width) & (num * sizes <= den * width)) & (many_of <= TREED))
+        company = np.bincount(group[rows], minlength=len(many)) > 1
+        company &= np.bincount(group[rows], own[rows], minlength=len(many)) > 0
+        few = rows[(company & (many <= PAIRED))[group[rows]]]
+        if len(few):
+            i, j = forest_pairs(group[few], sizes[few], _folded(bits, few, width), num, den)
+            i, j = few[i], few[j]
+            ok = own[i] | own[j]
+            yield nodes[i[ok]], nodes[j[ok]]
+        for g in np.flatnonzero(company & (many > PAIRED) & (many <= TREED)).tolist():
+            mine = rows[np.searchsorted(rows, starts[g]) : np.searchsorted(rows, starts[g] + many[g])]
             links = tree_links(nodes[mine], None, num, den, sizes=sizes[mine], bits=_folded(bits, mine, width))
             yield np.array([x[0] for x in links], np.int64), np.array([x[1] for x in links], np.int64)
 
@@ -328,8 +352,8 @@ class Tree:
     number of bits.
     """
 
-    def __init__(self, block: Block) -> None:
-        level, step = (block.bits, block.sizes, block.sizes, block.count), LEAF
+    def __init__(self, level: tuple[np.ndarray, ...], step: int = LEAF) -> None:
+        """``level``: the ``bits, low, high, count`` of what leaves of ``step`` hold."""
         self.levels: list[tuple[np.ndarray, ...]] = []
         while not self.levels or len(level[1]) > 1:
             cuts = np.arange(0, len(level[1]), step)
@@ -339,16 +363,38 @@ class Tree:
 
     def possible(self, depth: int, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
         """Whether node pairs can hold a link."""
-        bits, low, high, count = self.levels[depth]
-        found = np.zeros(len(a), bool)
-        ok = np.flatnonzero(den * np.minimum(high[a], high[b]) >= num * np.maximum(low[a], low[b]))
-        step = max(1, (1 << 21) // bits.shape[1])
-        for i in range(0, len(ok), step):
-            part = ok[i : i + step]
-            x, y = a[part], b[part]
-            common = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
-            found[part] = may_link(low[x], high[x], count[x], low[y], high[y], count[y], common, num, den)
-        return found
+        return possible_pairs(self.levels[depth], a, b, num, den)
+
+    def open_pairs(self, num: int, den: int, to: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of nodes of level ``to`` that the traversal leaves, ``a <= b``."""
+        depth = len(self.levels) - 1
+        a = b = np.zeros(1, np.int64)
+        while True:
+            ok = self.possible(depth, a, b, num, den)
+            a, b = a[ok], b[ok]
+            if depth == to:
+                return a, b
+            depth -= 1
+            many = len(self.levels[depth][1])
+            kids = np.arange(FANOUT)
+            x = (a[:, None, None] * FANOUT + kids[None, :, None]).repeat(FANOUT, axis=2).ravel()
+            y = (b[:, None, None] * FANOUT + kids[None, None, :]).repeat(FANOUT, axis=1).ravel()
+            ok = (x <= y) & (x < many) & (y < many)
+            a, b = x[ok], y[ok]
+
+
+def possible_pairs(level: tuple[np.ndarray, ...], a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether pairs of nodes ``bits, low, high, count`` can hold a link."""
+    bits, low, high, count = level
+    found = np.zeros(len(a), bool)
+    ok = np.flatnonzero(den * np.minimum(high[a], high[b]) >= num * np.maximum(low[a], low[b]))
+    step = max(1, (1 << 20) // bits.shape[1])
+    for i in range(0, len(ok), step):
+        part = ok[i : i + step]
+        x, y = a[part], b[part]
+        common = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
+        found[part] = may_link(low[x], high[x], count[x], low[y], high[y], count[y], common, num, den)
+    return found
 
 
 def may_link(low_a, high_a, count_a, low_b, high_b, count_b, common, num: int, den: int):  # noqa: ANN001, ANN201
@@ -396,24 +442,12 @@ def tree_links(
         return []
     block = Block(ids, sets, sizes, bits)
     sides = None if side is None else side[block.order]
-    tree, union, out = Tree(block), Union(len(ids)), []
-    depth = len(tree.levels) - 1
-    a = b = np.zeros(1, np.int64)
-    while True:
-        ok = tree.possible(depth, a, b, num, den)
-        a, b = a[ok], b[ok]
-        if not depth:
-            break
-        depth -= 1
-        many = len(tree.levels[depth][1])
-        kids = np.arange(FANOUT)
-        x = (a[:, None, None] * FANOUT + kids[None, :, None]).repeat(FANOUT, axis=2).ravel()
-        y = (b[:, None, None] * FANOUT + kids[None, None, :]).repeat(FANOUT, axis=1).ravel()
-        ok = (x <= y) & (x < many) & (y < many)
-        a, b = x[ok], y[ok]
+    tree, union, out = Tree((block.bits, block.sizes, block.sizes, block.count)), Union(len(ids)), []
+    a, b = tree.open_pairs(num, den)
+    cuts = np.arange(0, len(ids), LEAF)
     # Near pairs of leaves first: they join most documents, and later pairs can be skipped.
     size, count, bits = block.sizes, block.count, block.bits
-    for p in np.argsort(b - a, kind="stable"):
+    for p in _near_first(a, b, cuts, union):
         rows = np.arange(a[p] * LEAF, min((a[p] + 1) * LEAF, len(ids)))
         cols = np.arange(b[p] * LEAF, min((b[p] + 1) * LEAF, len(ids)))
         root = union.flat()
@@ -441,6 +475,16 @@ def tree_links(
     return out
 
 
+def _near_first(a: np.ndarray, b: np.ndarray, cuts: np.ndarray, union: Union) -> Iterator[int]:
+    """Leaf pairs by distance, without those whose documents are all joined by then."""
+    order = np.argsort(b - a, kind="stable")
+    ends = np.flatnonzero(np.diff((b - a)[order], append=-1)) + 1
+    for begin, end in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
+        mine, root = order[begin:end], union.flat()
+        low, high = np.minimum.reduceat(root, cuts), np.maximum.reduceat(root, cuts)
+        yield from mine[np.minimum(low[a[mine]], low[b[mine]]) != np.maximum(high[a[mine]], high[b[mine]])].tolist()
+
+
 def _block_links(rows: DataFrame, num: int, den: int) -> DataFrame:
     """``a, b`` links of the rows ``key, side, id, tokens``; a key is a block or a pair of slices."""
 
@@ -456,46 +500,78 @@ def _block_links(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.groupBy("key").applyInArrow(run, "a long, b long")
 
 
+def _sliced(members: DataFrame, most: int) -> DataFrame:
+    """``block, slice, id, n, tokens``: blocks by size and least token, cut at about ``most`` tokens."""
+
+    def face(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            least = [int(unpack(c.as_buffer())[0]) for c in batch.column(3)]
+            band = np.floor(np.log(batch.column(2).to_numpy()) * 20).astype(np.int32)
+            yield pa.record_batch([*batch.columns, pa.array(band), pa.array(least, pa.int64())], names=["block", "id", "n", "tokens", "band", "least"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, before = TaskContext.get().partitionId() << 32, 0, None
+        for batch in slices(batches):
+            out = []
+            for block, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if before is not None and (block != before or held + n > most):
+                    number, held = number + 1, 0
+                before, held = block, held + n
+                out.append(number)
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.int64()), *(batch.column(k) for k in (1, 2, 3))], names=["block", "slice", "id", "n", "tokens"])
+
+    faces = members.select("block", "id", "n", "tokens").mapInArrow(face, "block long, id long, n long, tokens binary, band int, least long")
+    dealt = faces.repartitionByRange("block", "band", "least", "id").sortWithinPartitions("block", "band", "least", "id")
+    return dealt.mapInArrow(run, "block long, slice long, id long, n long, tokens binary")
+
+
+def _slice_pairs(sliced: DataFrame, num: int, den: int) -> DataFrame:
+    """``slice, side, key`` of the slices alone, and of pairs that the tree of their block leaves."""
+
+    def faces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            number, first = np.unique(batch.column(1).to_numpy(), return_index=True)
+            rows = {s: ([], []) for s in number.tolist()}
+            for s, n, cells in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                rows[s][0].append(n)
+                rows[s][1].append(bitmap(unpack(cells.as_buffer()) << np.uint64(16), MAX_BITS))
+            count = [min(int(np.bitwise_count(b).sum()) for b in rows[s][1]) for s in number.tolist()]
+            whole = [np.bitwise_or.reduce(rows[s][1]).tobytes() for s in number.tolist()]
+            low, high = ([f(rows[s][0]) for s in number.tolist()] for f in (min, max))
+            yield pa.record_batch([batch.column(0).take(pa.array(first)), pa.array(number), *(pa.array(x, pa.int64()) for x in (low, high, count)), pa.array(whole, pa.binary())], names=["block", "slice", "low", "high", "count", "bits"])
+
+    def pairs(key: tuple, table: pa.Table) -> pa.Table:
+        number, low, high, count = (table.column(c).to_numpy() for c in ("slice", "low", "high", "count"))
+        bits = np.stack([np.frombuffer(c.as_buffer(), np.uint64) for c in table.column("bits")])
+        order = np.argsort(number, kind="stable")
+        names, cuts = np.unique(number[order], return_index=True)
+        level = tuple(f.reduceat(x[order], cuts, axis=0) for f, x in zip((np.bitwise_or, np.minimum, np.maximum, np.minimum), (bits, low, high, count), strict=True))
+        a, b = Tree(level, 1).open_pairs(num, den)
+        apart = a != b
+        a, b = a[apart], b[apart]
+        alone = np.arange(len(names))
+        x, y = names[np.concatenate([alone, a, b])], names[np.concatenate([alone, a, a])]
+        z, side = names[np.concatenate([alone, b, b])], np.concatenate([np.full(len(names), -1), np.zeros(len(a), int), np.ones(len(b), int)])
+        return pa.table({"slice": pa.array(x), "side": pa.array(side, pa.int32()), "key": pa.array([f"s{p}:{q}" for p, q in zip(y.tolist(), z.tolist(), strict=True)])})
+
+    summaries = sliced.mapInArrow(faces, "block long, slice long, low long, high long, count long, bits binary")
+    return cut(summaries.groupBy("block").applyInArrow(pairs, "slice long, side int, key string"))
+
+
 def _tasks(blocks: DataFrame, num: int, den: int, limit: int) -> DataFrame:
     """Rows ``key, side, id, tokens`` of the tasks of ``blocks`` (``block, id, n, tokens``).
 
-    A block within ``limit`` tokens is one task. A larger one is ordered by
-    size and cut into slices of a third of the limit, each alone and in pairs
-    with every slice that holds sizes within the threshold.
+    A block within ``limit`` tokens is one task. A larger one is cut into slices
+    of a third of the limit, each alone and in the pairs that can hold a link.
     """
-    spark = blocks.sparkSession
     sizes = blocks.groupBy("block").agg(F.sum("n").alias("total"))
-    large = cut(sizes.where(F.col("total") > limit))
+    large = cut(sizes.where(F.col("total") > limit).select("block"))
+    alone = (F.concat(F.lit("b"), F.col("block")).alias("key"), F.lit(-1).alias("side"), "id", "tokens")
     if not large.limit(1).count():
-        return blocks.select(F.concat(F.lit("b"), F.col("block")).alias("key"), F.lit(-1).alias("side"), "id", "tokens")
-    small = blocks.join(large, "block", "left_anti").select(F.concat(F.lit("b"), F.col("block")).alias("key"), F.lit(-1).alias("side"), "id", "tokens")
-    # Slices follow sums of tokens per (block, size), a table of few rows.
-    members = blocks.join(large.select("block"), "block", "left_semi")
-    by_size = members.groupBy("block", "n").agg(F.count("*").alias("docs")).collect()
-    slices, per = [], limit // 3
-    for block in sorted({r.block for r in by_size}):
-        number, held = 0, 0
-        for r in sorted((r for r in by_size if r.block == block), key=lambda r: r.n):
-            # A size too frequent for one slice is dealt over several by a hash of the id.
-            parts = -(-r.docs * r.n // per)
-            if held and (held + r.docs * r.n > per or parts > 1):
-                number, held = number + 1, 0
-            slices.append((block, r.n, number, parts))
-            number, held = (number + parts, 0) if parts > 1 else (number, held + r.docs * r.n)
-    ranges: dict[int, dict[int, list[int]]] = {}
-    for block, n, number, parts in slices:
-        for s in range(number, number + parts):
-            ends = ranges.setdefault(block, {}).setdefault(s, [n, n])
-            ends[:] = min(ends[0], n), max(ends[1], n)
-    pairs = []
-    for block, ends in ranges.items():
-        for x in sorted(ends):
-            for y in itertools.takewhile(lambda y: den * ends[x][1] >= num * ends[y][0], range(x, max(ends) + 1)):  # noqa: B023
-                pairs += [(block, s, side, f"s{block}:{x}:{y}") for s, side in ([(x, -1)] if x == y else [(x, 0), (y, 1)])]
-    table = spark.createDataFrame(slices, "block long, n long, number int, parts int")
-    members = members.join(table, ["block", "n"]).withColumn("slice", (F.col("number") + F.pmod(F.xxhash64("id"), "parts")).cast("int"))
-    keyed = members.join(spark.createDataFrame(pairs, "block long, slice int, side int, key string"), ["block", "slice"])
-    return small.union(keyed.select("key", "side", "id", "tokens"))
+        return blocks.select(*alone)
+    small = join_counted(blocks, large, "block", "left_anti").select(*alone)
+    sliced = cut(_sliced(join_counted(blocks, large, "block", "left_semi"), limit // 3))
+    return small.union(sliced.join(_slice_pairs(sliced, num, den), "slice").select("key", "side", "id", "tokens"))
 
 
 def near_components(
@@ -516,19 +592,21 @@ def near_components(
     spark = docs.sparkSession
     stored, path = write_table(_sets(docs, k, num, den, id_col, text_col), "shingles")
     able = stored.where("n > 0 AND id IS NOT NULL")
-    classes = able.groupBy("sig").agg(F.min("id").alias("class_id"))
-    member = stored.select("id", "n", "sig").join(classes, "sig", "left")
-    member = cut(member.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("class_id")).otherwise(F.col("id")).alias("class_id")))
+    # Most sets stand alone; only those held twice are looked up.
+    twice = cut(able.groupBy("sig").agg(F.min("id").alias("class_id"), F.count("*").alias("many")).where("many > 1").select("sig", "class_id"))
+    member = join_counted(stored.select("id", "n", "sig"), twice, "sig", "left")
+    member = cut(member.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("class_id", "id")).otherwise(F.col("id")).alias("class_id")))
     # Copies go; rows that repeat an id are harmless below.
     reps = join_counted(able, member.where("id <> class_id").select("id").distinct(), "id", "left_anti")
     shared, shared_path = write_table(_shared(_counted(reps, num, den)), "shared")
     met = _meetings(reps, shared, num, den).distinct()
     edges = cut(_edges(met, num, den))
     blocks = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("block"))
-    sets = join_counted(reps, blocks, "id", "inner").groupBy("block", "id").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    # An id that is repeated with several sets keeps one of them.
+    sets = join_counted(reps, blocks, "id", "inner").groupBy("block", "id").agg(F.max_by("n", "sig").alias("n"), F.max_by("tokens", "sig").alias("tokens"))
     links = _block_links(_tasks(sets, num, den, block_tokens), num, den)
     found = connected_components(links)
-    out = member.join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
+    out = join_counted(member, found.withColumnRenamed("node", "class_id"), "class_id", "left")
     out = cut(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id")))
     drop_table(spark, path)
     drop_table(spark, shared_path)

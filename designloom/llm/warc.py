@@ -5,25 +5,32 @@ Writing takes three steps.
 1. A narrow table (key, sizes, digests) decides which record of equal payloads
    is the response: the largest key; the others revisit it. Groups of copies
    are combined before the shuffle.
-2. The narrow table, sorted by key over all partitions, gives running byte
-   totals, and these the first key of each shard. They depend on the data only,
-   not on partitions, so every run writes the same shards.
-3. Records travel once, to their shard's task, are sorted by key and written to
-   gzip members, one per record. A file rolls once its compressed size passes
-   ``roll_bytes``. Headers and digests are made anew. Files are written under a
+2. The narrow table, sorted by key and digest over all partitions, gives running
+   totals of what records will hold (revisits hold headers only), and these the
+   first record of each shard. They depend on the data only, not on partitions,
+   so every run writes the same shards.
+3. Records travel once, one shard to a task, are sorted and written to gzip
+   members, one per record. A file rolls once its compressed size passes
+   ``roll_bytes``; shards are several times that, so compressed size decides the
+   files. Headers and digests are made anew. Files are written under a
    temporary name of the attempt; the driver then renames the files of the
    attempts that succeeded, and writes the manifest last: an archive without a
    manifest is not committed, and a lost executor leaves only temporary files.
 
+Unless told otherwise, a shard holds a ``SHARDS``-th of all bytes, within
+``SHARD_BYTES``; the driver holds an entry for each shard and file.
+
 Defined cases: a null payload counts as empty; null keys sort first, and are
-read back as null; rows that repeat the response's key are all responses; a
-shard without records has no file; an empty table gives an empty archive;
-control characters in a URL are percent-encoded; other columns are ignored.
+read back as null; rows that repeat the response's key are all responses; rows
+of equal key and payload share a shard; a shard without records has no file; an
+empty table gives an empty archive; control characters in a URL are
+percent-encoded; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import json
 import posixpath
@@ -36,11 +43,17 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch_path, slices
+from .common import cut, drop_table, scratch_path, slices
 
+#: Shards that an archive has at least, if they hold enough; fewest and most bytes of a shard; files of a full one if nothing compressed.
+SHARDS, SHARD_BYTES, ROLLS = 64, (16 << 20, 1 << 30), 8
+#: Bytes of a record's headers, about.
+HEADERS = 600
+#: A key that stands before all, for null.
+FIRST = -(1 << 63)
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -98,15 +111,19 @@ def plan(pages: DataFrame, *, key_col: str, payload_col: str, min_bytes: int) ->
     return rows.select("key", "bytes", "sum", alone.alias("is_response"), F.when(~alone, F.col("response")).alias("refers_to"))
 
 
-def shard_starts(sizes: DataFrame, shard_bytes: int) -> list[int]:
-    """First keys of the shards after the first; ``sizes`` has ``key, bytes``.
+def _size() -> Column:
+    return F.when(F.col("is_response"), F.col("bytes")).otherwise(F.lit(0)) + HEADERS
+
+
+def shard_starts(decided: DataFrame, shard_bytes: int) -> list[tuple[int, str]]:
+    """First (key, digest) of the shards after the first, of what ``plan`` gives.
 
     Two passes: totals of sorted partitions, then running totals inside them.
-    Rows of one key stay together. The list has one entry per shard.
+    The list has one entry per shard.
     """
-    spark = sizes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cut(sizes.where("key IS NOT NULL").groupBy("key").agg(F.sum("bytes").alias("bytes")).repartitionByRange(parts, "key").sortWithinPartitions("key"))
+    parts = int(decided.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = decided.groupBy(F.coalesce("key", F.lit(FIRST)).alias("key"), "sum").agg(F.sum(_size()).alias("bytes"))
+    ordered = cut(sizes.repartitionByRange(parts, "key", "sum").sortWithinPartitions("key", "sum"))
     totals = dict(ordered.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("bytes")).collect())
     base, bases = 0, {}
     for part in sorted(totals):
@@ -115,15 +132,14 @@ def shard_starts(sizes: DataFrame, shard_bytes: int) -> list[int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = bases.get(TaskContext.get().partitionId(), 0)
-        for batch in slices(batches):
-            keys = []
-            for key, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if at // shard_bytes != (at + size) // shard_bytes and at:
-                    keys.append(key)
-                at += size
-            yield pa.record_batch([pa.array(keys, pa.int64())], names=["key"])
+        for batch in batches:
+            size = batch.column(2).to_numpy()
+            before = at + np.cumsum(size) - size
+            at += int(size.sum())
+            begins = np.flatnonzero((before // shard_bytes != (before + size) // shard_bytes) & (before > 0))
+            yield batch.take(pa.array(begins)).select(["key", "sum"])
 
-    return sorted({r[0] for r in ordered.mapInArrow(run, "key long").collect()})
+    return sorted(tuple(r) for r in ordered.mapInArrow(run, "key long, sum string").collect())
 
 
 def write(
@@ -134,29 +150,37 @@ def write(
     url_col: str = "url",
     payload_col: str = "html",
     min_bytes: int = 0,
-    shard_bytes: int = 16 << 20,
-    roll_bytes: int = 16 << 20,
+    shard_bytes: int | None = None,
+    roll_bytes: int | None = None,
     level: int = 3,
 ) -> list[dict]:
     """Write and commit the archive at ``path``; returns its manifest (one entry per file)."""
     spark = pages.sparkSession
     decided = cut(plan(pages, key_col=key_col, payload_col=payload_col, min_bytes=min_bytes))
-    starts = shard_starts(decided.select("key", (F.col("bytes") + 512).alias("bytes")), shard_bytes)
+    if shard_bytes is None:
+        least, most = SHARD_BYTES
+        shard_bytes = min(most, max(least, int(decided.agg(F.sum(_size())).first()[0] or 0) // SHARDS))
+    roll_bytes = roll_bytes or max(1, shard_bytes // ROLLS)
+    starts = shard_starts(decided, shard_bytes)
+    keys, sums = np.array([k for k, _ in starts], np.int64), [d for _, d in starts]
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     verdicts = decided.select("key", "sum", "is_response", "refers_to").distinct()
-    bodies = pages.select(F.col(key_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    bodies = pages.select(F.col(key_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("sum"))
 
     @F.pandas_udf("int")
-    def shard_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.array(starts, np.int64), keys.to_numpy(), side="right").astype(np.int32))
-
-    count = len(starts) + 1
-    shard = shard_of(F.coalesce("key", F.lit(-(1 << 63))))
+    def shard_of(key: pd.Series, digest: pd.Series) -> pd.Series:
+        low, high = (np.searchsorted(keys, key.to_numpy(), side=side) for side in ("left", "right"))
+        # Several shards begin with this key.
+        for i in np.flatnonzero(low < high).tolist():
+            low[i] = bisect.bisect_right(sums, digest.iat[i], int(low[i]), int(high[i]))
+        return pd.Series(low.astype(np.int32))
+
+    shard = shard_of(F.coalesce("key", F.lit(FIRST)), "sum")
     sharded, verdicts = bodies.withColumn("shard", shard), verdicts.withColumn("shard", shard)
     # Both sides travel by shard; the verdicts of a shard are narrow and meet its records in the writer.
-    rows = sharded.select("shard", "key", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("boolean").alias("is_response"), F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("sum"))
-    rows = rows.unionByName(verdicts.select("shard", "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "is_response", "refers_to", "sum"))
-    rows = rows.repartition(count, "shard").sortWithinPartitions(F.col("shard"), F.col("key").asc_nulls_first(), "kind", "url", "payload")
+    rows = sharded.select("shard", "key", "sum", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("boolean").alias("is_response"), F.lit(None).cast("long").alias("refers_to"))
+    rows = rows.unionByName(verdicts.select("shard", "key", "sum", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "is_response", "refers_to"))
+    rows = rows.repartitionById(len(starts) + 1, "shard").sortWithinPartitions(F.col("shard"), F.col("key").asc_nulls_first(), "sum", "kind", "url")
     stage = f"{path}/_temporary-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +188,7 @@ def write(
         store.create_dir(root, recursive=True)
         attempt, made = uuid.uuid4().hex[:12], []
         out, name, written, records, current, roll = None, "", 0, 0, None, 0
-        verdict_key, verdict = object(), {}
+        is_response, refers_to = True, None
 
         def close() -> None:
             nonlocal out
@@ -175,10 +199,9 @@ def write(
 
         for batch in slices(batches):
             for row in batch.to_pylist():
-                if row["key"] != verdict_key:
-                    verdict_key, verdict = row["key"], {}
                 if not row["kind"]:
-                    verdict[row["sum"]] = row["is_response"], row["refers_to"]
+                    # It comes before the records of its key and payload.
+                    is_response, refers_to = row["is_response"], row["refers_to"]
                     continue
                 if row["shard"] != current:
                     close()
@@ -190,7 +213,6 @@ def write(
                     name, written, records = f"shard-{current:06d}-{roll:04d}.warc.gz", 0, 0
                     out = store.open_output_stream(posixpath.join(root, f"{name}.{attempt}"), compression=None)
                 data = row["payload"]
-                is_response, refers_to = verdict[hashlib.sha256(data).hexdigest()]
                 member = gzip_member(record(row["key"], row["url"], data, sha1_base32(data), refers_to, is_response), level)
                 out.write(member)
                 written += len(member)
@@ -300,8 +322,13 @@ def read(spark: SparkSession, path: str, *, key_col: str = "page_id") -> DataFra
 
 
 def round_trip(pages: DataFrame, **options: object) -> DataFrame:
-    """Write ``pages`` to a new archive in the shared folder, and read it back."""
+    """Write ``pages`` to a new archive in the shared folder, and read it back: all but the payloads, of which digests are verified.
+
+    The archive is deleted after.
+    """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write(pages, path, **options)
-    return read(spark, path, key_col=str(options.get("key_col", "page_id")))
+    out = cut(read(spark, path, key_col=str(options.get("key_col", "page_id"))).drop("payload"))
+    drop_table(spark, path)
+    return out

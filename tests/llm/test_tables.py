@@ -206,11 +206,27 @@ def test_vectors_of_any_scale_and_repeated_ids(spark):
     assert got == [(-1, 0, None), (0, 1, 0), (0, 1, 0), (0, 3, 0), (1, 3, 0), (2, 3, 0), (3, 3, 0), (4, 1, 4), (5, 1, 4)]
 
 
+def test_forests_leave_what_flat_bitmaps_leave():
+    rng = np.random.default_rng(10)
+    groups = np.repeat(np.arange(60), rng.integers(1, 20, 60))
+    base = rng.integers(0, 1 << 60, (60, 400))
+    sets = [rng.choice(base[g], rng.integers(5, 60), replace=False).astype(np.uint64) << np.uint64(4) for g in groups.tolist()]
+    sizes, bits = np.array([len(x) for x in sets]), np.stack([ngram_join.bitmap(x, 256) for x in sets])
+    count = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    i, j = np.nonzero((groups[:, None] == groups[None, :]) & (np.arange(len(groups))[:, None] < np.arange(len(groups))[None, :]))
+    for num, den in ((90, 100), (60, 100), (10, 100)):
+        level = bits, sizes, sizes, count
+        flat = {(int(a), int(b)) for a, b, ok in zip(i, j, ngram_join.possible_pairs(level, i, j, num, den)) if ok}
+        a, b = ngram_join.forest_pairs(groups, sizes, bits, num, den)
+        assert {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())} == flat and len(a) == len(flat)
+
+
 # Archives.
 
 
 def pages_of(spark):
     rows = [(i, f"http://x/{i}", f"<p>page {i} é</p>" * (i % 40 + 1)) for i in range(300)]
+    rows += [(None, f"n{i % 9}", f"<p>null {i % 30}</p>" * 30) for i in range(60)] + [(3000, "long", "<p>long é</p>" * 200_000)]
     rows += [(1000 + i, None, "<p>copy</p>") for i in range(20)] + [(2000, "u r\nl", None), (2001, "e", ""), (2002, "e", "tiny"), (2003, "e", "tiny"), (None, "n", "null key"), (5, "again", "other"), (5, "again", "other")]
     return rows, spark.createDataFrame([(i, u, h, "x") for i, u, h in rows], "page_id long, url string, html string, shard string")
 
@@ -246,6 +262,8 @@ def test_archives_do_not_depend_on_partitions(spark, tmp_path):
     name.write_bytes(name.read_bytes()[:-40])
     with pytest.raises(Exception, match="truncated|incomplete|Error"):
         warc.read(spark, f"file://{tmp_path}/0").count()
+    # A file rolls once it holds so many compressed bytes; most shards make several.
+    assert sum("-0000." in m["name"] for m in manifests[0]) < len(manifests[0]) - 2
     assert warc.write(pages.limit(0), f"file://{tmp_path}/none") == [] and warc.read(spark, f"file://{tmp_path}/none").count() == 0
 
 
