@@ -4,7 +4,9 @@ A target model (documents labelled good) and a background model (all others) are
 word bigram models with one vocabulary, one smoothing and one set of n-grams;
 they differ in their counts only. Each token's loss difference,
 ``log P_background - log P_target``, is averaged over a document: low scores look
-like the target.
+like the target. A document's own words are left out of the counts that score it,
+or those of its class would fit it for no other reason than that it is in it; so
+what other documents repeat of it is what tells.
 
 The models are whole: every word and every bigram of the corpus counts, at any
 size, and no table of them is ever in one place. Texts become chunks of word
@@ -16,11 +18,17 @@ of all that its texts need. Buckets grow in number with the corpus.
 
 ``P(w) = (c(w) + 1) / (N + V + 1)`` with V the distinct words, and one more for an
 unknown word; ``P(w | v) = (c(v w) + (r(v) + M) P(w)) / (c(v) + M)``, where c(v)
-counts v, r(v) = c(v) less the bigrams that start with v, and M is ``strength``.
+counts v, r(v) = c(v) less the bigrams that start with v, and M is ``strength``. In
+the class of the document, c, r and N are those of all other documents; V is the
+corpus's.
 
 With explicit bounds (``vocabulary`` words, ``max_bigrams`` bigrams) the models are
 cut to whole levels of the most frequent and broadcast, as sorted arrays; other
-words are one unknown word. No query asks for that.
+words are one unknown word, and a document's own words count. No query asks for
+that.
+
+Words are 32-bit hashes: two words of a corpus of V words share one with a chance
+of about V / 2**32 each, and then count as one.
 
 Defined cases: a null or empty text has no tokens, and null scores; labels that
 are null, repeated (the largest counts) or of unknown documents do no harm; a
@@ -40,13 +48,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_table, join_counted, slices, write_table
+from .common import claim_memory, cut, drop_table, join_counted, slices, write_table
 
 STRENGTH = 50.0
 #: Hash values of the start of a text and of an unknown word; words have others.
 START, UNKNOWN = 1, 2
 #: Tokens counted at once in one task, and word hashes remembered by one worker.
-CHUNK, CACHE_WORDS = 2_000_000, 1_000_000
+CHUNK, CACHE_WORDS, LONG_WORD = 2_000_000, 300_000, 64
 #: Tokens of one row of a chunk, and tokens of the corpus for each bucket.
 PIECE, BUCKET_TOKENS = 200_000, 1_500_000
 #: Rows of one Arrow batch of pieces or answers, which are large.
@@ -58,7 +66,7 @@ SPREAD = np.uint64(0x9E3779B97F4A7C15)
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         value = max(xxhash.xxh32_intdigest(word), UNKNOWN + 1)
-        if len(self) < CACHE_WORDS:
+        if len(self) < CACHE_WORDS and len(word) <= LONG_WORD:
             self[word] = value
         return value
 
@@ -251,6 +259,7 @@ def _pieces(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, part, size = TaskContext.get().partitionId() << 32, 0, 0
         held: list[tuple[int | None, np.ndarray, bool]] = []
+        claim_memory("lm_scoring", _WORDS.clear)
 
         def flush() -> pa.RecordBatch:
             words = np.concatenate([w for _, w, _ in held]).astype(np.uint32)
@@ -288,38 +297,53 @@ class _Chunk:
         self.ids = [i for p in pieces for i in p["ids"]]
         self.lengths = np.array([n for p in pieces for n in p["lengths"]], np.int64)
         words = np.concatenate([_unpacked(p["data"], p["n"], np.uint32)[0] for p in pieces]).astype(np.uint64)
-        self.owners = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        flags = np.repeat(np.array([t for p in pieces for t in p["targets"]], bool), self.lengths)
-        #: Tokens that have a left neighbour.
+        self.owners = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+        self.flags = np.array([t for p in pieces for t in p["targets"]], bool)
+        flags = np.repeat(self.flags, self.lengths)
+        #: Tokens that have a left neighbour, and last tokens of texts.
         self.later = np.flatnonzero(self.owners[1:] == self.owners[:-1]) + 1 if len(words) else np.zeros(0, np.int64)
-        last = np.cumsum(self.lengths)[self.lengths > 0] - 1
+        self.last = np.cumsum(self.lengths)[self.lengths > 0] - 1
         shift = np.uint64(32)
         # Each word has a key of the texts it ends, here or elsewhere.
         keys = np.concatenate([words, words[self.later - 1] << shift | words[self.later], np.unique(words) << shift])
         self.keys, place = np.unique(keys, return_inverse=True)
-        self.words, self.grams = np.split(place[: len(words) + len(self.later)], [len(words)])
+        del keys
+        place = place.astype(np.int32)
+        self.words, self.grams = place[: len(words)], place[len(words) : len(words) + len(self.later)]
         # Words are the first keys, in the order of their ends.
         self.ends = place[len(words) + len(self.later) :]
-        classes = np.concatenate([flags, flags[self.later], flags[last]])
-        counted = np.concatenate([self.words, self.grams, self.ends[self.words[last]]])
-        target = np.bincount(counted[classes], minlength=len(self.keys))
-        self.counts = np.stack([target, np.bincount(counted, minlength=len(self.keys)) - target], axis=1)
+        counted = np.concatenate([self.words, self.grams, self.ends[self.words[self.last]]])
+        both = np.bincount(counted, minlength=len(self.keys)).astype(np.uint32)
+        target = np.bincount(counted[np.concatenate([flags, flags[self.later], flags[self.last]])], minlength=len(self.keys)).astype(np.uint32)
+        self.counts = np.stack([target, both - target], axis=1)
         bucket = ((self.keys * SPREAD) >> shift) * np.uint64(buckets) >> shift
         #: Places of the n-grams by bucket and then key, and where buckets begin.
-        self.order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
+        self.order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable").astype(np.int32)
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))])
 
-    def scores(self, others: np.ndarray, n_words: int, totals: np.ndarray, strength: float) -> np.ndarray:
-        """Mean loss of each text by (target, background); ``others`` by bucket and then key."""
-        counts = self.counts.astype(np.float64)
-        counts[self.order] += others
-        count, rest = counts[self.words], counts[self.ends[self.words]]
-        chance = (count + 1) / (totals + n_words + 1)
+    def _own(self, places: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        """How often each n-gram occurs in the text that it stands in."""
+        _, back, many = np.unique(owners.astype(np.int64) * len(self.keys) + places, return_inverse=True, return_counts=True)
+        return many[back]
+
+    def scores(self, others: list[np.ndarray], n_words: int, totals: np.ndarray, strength: float) -> np.ndarray:
+        """Mean loss of each text by (target, background); ``others``, of each class, by bucket and then key."""
+        sums = np.zeros((len(self.lengths), 2))
         left = self.later - 1
-        given = chance.copy()
-        given[self.later] = (counts[self.grams] + (rest[left] + strength) * chance[self.later]) / (count[left] + strength)
-        losses = -np.log(given)
-        sums = np.stack([np.bincount(self.owners, losses[:, k], minlength=len(self.lengths)) for k in range(2)], axis=1)
+        own_words, own_grams = self._own(self.words, self.owners), self._own(self.grams, self.owners[self.later])
+        own_last = self.words == np.repeat(self.words[self.last], self.lengths[self.lengths > 0])
+        for k in range(2):
+            counts = self.counts[:, k].astype(np.float64)
+            counts[self.order] += others[k]
+            # What the text itself adds to its class.
+            mine = self.flags if k == 0 else ~self.flags
+            here = mine[self.owners]
+            count, rest = counts[self.words] - here * own_words, counts[self.ends[self.words]] - (here & own_last)
+            chance = (count + 1) / ((totals[k] + n_words + 1 - mine * self.lengths)[self.owners])
+            given = chance.copy()
+            seen = counts[self.grams] - here[self.later] * own_grams
+            given[self.later] = (seen + (rest[left] + strength) * chance[self.later]) / (count[left] + strength)
+            sums[:, k] = np.bincount(self.owners, -np.log(given), minlength=len(self.lengths))
         return sums / np.maximum(self.lengths, 1)[:, None]
 
 
@@ -354,6 +378,7 @@ def score_whole(docs: DataFrame, *, strength: float = STRENGTH) -> DataFrame:
     buckets = max(1, -(-all_tokens // BUCKET_TOKENS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory("lm_scoring counts", lambda: None)
         for name, chunk in _chunks(batches, buckets):
             for k in range(buckets if len(chunk.keys) else 0):
                 mine = chunk.order[chunk.starts[k] : chunk.starts[k + 1]]
@@ -362,6 +387,8 @@ def score_whole(docs: DataFrame, *, strength: float = STRENGTH) -> DataFrame:
                 yield pa.record_batch([pa.array([v], t) for v, t in ((name, pa.int64()), (k, pa.int32()), (len(mine), pa.int64()), (data, pa.binary()))], names=["chunk", "bucket", "n", "data"])
 
     def answer(table: pa.Table) -> pa.Table:
+        # The words remembered for the pieces are of no use here.
+        claim_memory("lm_scoring counts", lambda: None)
         sizes = table.column("n").to_pylist()
         held = [_unpacked(d, n, np.uint64, np.uint32, np.uint32) for d, n in zip(table.column("data").to_pylist(), sizes, strict=True)]
         keys, place = np.unique(np.concatenate([np.cumsum(h[0]) for h in held]), return_inverse=True)
@@ -376,12 +403,14 @@ def score_whole(docs: DataFrame, *, strength: float = STRENGTH) -> DataFrame:
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "n": table.column("n"), "words": pa.array([words] * len(data), pa.int64()), "data": pa.array(data, pa.binary())})
 
     def finish(table: pa.Table) -> pa.Table:
+        claim_memory("lm_scoring counts", lambda: None)
         rows = table.to_pylist()
         chunk = _Chunk(sorted((r for r in rows if r["bucket"] is None), key=lambda r: r["part"]), buckets)
         answers = sorted((r for r in rows if r["bucket"] is not None), key=lambda r: r["bucket"])
         means = np.zeros((len(chunk.ids), 2))
         if answers:
-            others = np.concatenate([np.stack(_unpacked(r["data"], r["n"], np.int64, np.int64), axis=1) for r in answers])
+            parts = [_unpacked(r["data"], r["n"], np.int64, np.int64) for r in answers]
+            others = [np.concatenate([p[k] for p in parts]) for k in range(2)]
             means = chunk.scores(others, sum(r["words"] for r in answers), totals, strength)
         return pa.table(_scored(pa.array(chunk.ids, pa.int64()), chunk.lengths, means), names=[c.split()[0] for c in SCORES.split(", ")])
 

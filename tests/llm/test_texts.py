@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from designloom.llm import language_id, lm_scoring, packing, secrets_crf, sentencepiece_codec, toxicity
 from designloom.llm.common import letter_runs
@@ -486,9 +487,12 @@ def test_whole_models_equal_brute_force(spark):
     vocab = set(single[True]) | set(single[False])
     assert len(vocab) > 1 << 17 and len(set(pair[True]) | set(pair[False])) > 1 << 20
 
-    def loss(v, w, g):
-        one = (single[g][w] + 1) / (sum_of[g] + len(vocab) + 1)
-        return -math.log(one if v is None else (pair[g][v, w] + (last[g][v] + 50) * one) / (single[g][v] + 50))
+    def losses(words, g, mine):
+        """With the text's own counts left out of those of its class."""
+        own, pairs, ends = (Counter(x) if mine else Counter() for x in (words, zip(words, words[1:]), words[-1:]))
+        for v, w in zip([None, *words], words):
+            one = (single[g][w] - own[w] + 1) / (sum_of[g] - sum(own.values()) + len(vocab) + 1)
+            yield -math.log(one if v is None else (pair[g][v, w] - pairs[v, w] + (last[g][v] - ends[v] + 50) * one) / (single[g][v] - own[v] + 50))
 
     sum_of = {g: sum(single[g].values()) for g in (True, False)}
     got = lm_scoring.cross_entropy_difference(docs, labels).collect()
@@ -499,7 +503,7 @@ def test_whole_models_equal_brute_force(spark):
         if not words:
             assert r.score is None
         else:
-            ce = [sum(loss(v, w, g) for v, w in zip([None, *words], words)) / len(words) for g in (True, False)]
+            ce = [sum(losses(words, g, (r.doc_id in good) == g)) / len(words) for g in (True, False)]
             # 32-bit hashes of two words may be equal.
             assert (r.target_ce, r.background_ce) == pytest.approx(ce, abs=2e-4), r.doc_id
 
@@ -513,8 +517,12 @@ def test_one_rule_beside_a_corpus_of_any_size(spark):
         docs = spark.createDataFrame([(0, " ".join(words)), *rows], "doc_id long, text string")
         labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
         size = len(np.unique(np.concatenate([lm_scoring.tokens(t) for _, t in rows + [(0, " ".join(words))]])))
+        # Its copy counts for it, it does not count itself.
+        docs = docs.union(docs.where("doc_id = 0").withColumn("doc_id", F.lit(10**6).cast("long")))
+        labels = spark.createDataFrame([(0, 1), (10**6, 1)], "doc_id long, quality int")
         one = {w: (n + 1) / (len(words) + size + 1) for w, n in single.items()}
-        chances = [one["p"], *((pair[v, w] + 50 * one[w]) / (single[v] + 50) for v, w in zip(words, words[1:]))]
+        # r() counts ends: the copy ends in its last word.
+        chances = [one["p"], *((pair[v, w] + ((v == words[-1]) + 50) * one[w]) / (single[v] + 50) for v, w in zip(words, words[1:]))]
         got = lm_scoring.cross_entropy_difference(docs, labels).where("doc_id = 0").first()
         assert got.target_ce == pytest.approx(-sum(map(math.log, chances)) / len(words), abs=2e-6), filler
 
