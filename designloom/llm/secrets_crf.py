@@ -52,7 +52,7 @@ KEYWORDS = re.compile(r"(?ai)pass|pwd|secret|token|key|auth|cred|bearer|private|
 #: Tokens before one that its features look at, and tokens around a marked one that are trained on.
 BEFORE, AROUND = 5, 12
 #: Stretches of any text in training, at most about; tokens scored at once; tokens remembered by one worker.
-ORDINARY, BLOCK, CACHE = 2_000, 1 << 16, 1 << 17
+ORDINARY, BLOCK, CACHE = 2_000, 1 << 16, 100_000
 HEXES = frozenset("0123456789abcdefABCDEF")
 O, B, I = 0, 1, 2  # noqa: E741
 
@@ -202,45 +202,61 @@ class Crf:
             tags.append(int(step[tags[-1]]))
         return tags[::-1]
 
-    def _marginals(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        moves, n = self.moves + self._barred(), len(scores)
-        fore, aft = np.empty((n, 3)), np.zeros((n, 3))
-        fore[0] = scores[0]
-        fore[0, I] = -1e9
-        for t in range(1, n):
-            fore[t] = np.logaddexp.reduce(fore[t - 1][:, None] + moves, axis=0) + scores[t]
-        for t in range(n - 2, -1, -1):
-            aft[t] = np.logaddexp.reduce(moves + (scores[t + 1] + aft[t + 1])[None, :], axis=1)
-        total = np.logaddexp.reduce(fore[-1])
-        nodes = np.exp(fore + aft - total)
-        pairs = np.zeros((3, 3))
-        for t in range(n - 1):
-            pairs += np.exp(fore[t][:, None] + moves + (scores[t + 1] + aft[t + 1])[None, :] - total)
-        return nodes, pairs
+    def _marginals(self, scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chances of tags (sequence, token, tag), and sums of those of moves, of padded sequences."""
+        moves = self.moves + self._barred()
+        many, longest = scores.shape[:2]
+        fore, aft = np.empty_like(scores), np.zeros_like(scores)
+        fore[:, 0] = scores[:, 0]
+        fore[:, 0, I] = -1e9
+        for t in range(1, longest):
+            fore[:, t] = np.logaddexp.reduce(fore[:, t - 1, :, None] + moves, axis=1) + scores[:, t]
+        for t in range(longest - 2, -1, -1):
+            ahead = np.logaddexp.reduce(moves + (scores[:, t + 1] + aft[:, t + 1])[:, None, :], axis=2)
+            aft[:, t] = np.where((t < lengths - 1)[:, None], ahead, 0.0)
+        total = np.logaddexp.reduce(fore[np.arange(many), lengths - 1], axis=1)
+        nodes = np.exp(fore + aft - total[:, None, None])
+        inside = np.arange(longest)[None, :] < lengths[:, None]
+        nodes[~inside] = 0
+        way = fore[:, :-1, :, None] + moves + (scores[:, 1:] + aft[:, 1:])[:, :, None, :] - total[:, None, None, None]
+        return nodes, np.exp(way[inside[:, 1:]]).sum(axis=0)
 
     @classmethod
-    def train(cls, data: list[tuple[list[list[str]], list[int]]], *, epochs: int = 6, rate: float = 0.3, decay: float = 1e-4) -> Crf | None:
-        """Maximum likelihood by AdaGrad over sequences of (feature names, tags), in a fixed shuffled order."""
+    def train(cls, data: list[tuple[list[list[str]], list[int]]], *, epochs: int = 12, batch: int = 8, rate: float = 0.3, decay: float = 1e-4) -> Crf | None:
+        """Maximum likelihood by AdaGrad over batches of sequences of (feature names, tags) of like length, in a fixed shuffled order."""
         if not any(t != O for _, tags in data for t in tags):
             return None
         counts = Counter(n for names, _ in data for row in names for n in row)
         index = {n: i for i, n in enumerate(sorted(n for n, c in counts.items() if c >= 3))}
         model = cls(index, np.zeros((len(index), 3)), np.zeros((3, 3)))
         square_w, square_m = np.full(model.weights.shape, 1e-6), np.full((3, 3), 1e-6)
-        coded = [(*model.code(names), tags) for names, tags in data]
+        batches = []
+        by_length = sorted(range(len(data)), key=lambda k: len(data[k][1]))
+        for at in range(0, len(data), batch):
+            mine = [data[k] for k in by_length[at : at + batch]]
+            lengths = np.array([len(tags) for _, tags in mine])
+            coded = [model.code(names) for names, _ in mine]
+            # Cells: tokens of the padded batch; features of each cell.
+            cell = np.concatenate([k * lengths.max() + np.arange(n) for k, n in enumerate(lengths.tolist())])
+            rows = [r for found, _ in coded for r in found]
+            flat, owner = np.array([i for r in rows for i in r], np.int64), np.repeat(cell, [len(r) for r in rows])
+            touched, place = np.unique(flat, return_inverse=True)
+            apart = cell[~np.array([g for _, glued in coded for g in glued], bool)]
+            tags = np.array([t for _, ts in mine for t in ts])
+            follows = np.concatenate([np.arange(1, n) + low for low, n in zip((np.cumsum(lengths) - lengths).tolist(), lengths.tolist(), strict=True)])
+            batches.append((lengths, cell, owner, touched, place, apart, tags, follows))
         order = np.random.default_rng(0)
         for _ in range(epochs):
-            for k in order.permutation(len(coded)):
-                rows, glued, tags = coded[k]
-                nodes, pairs = model._marginals(model.scores(rows, glued))
-                nodes[np.arange(len(tags)), tags] -= 1
-                np.add.at(pairs, (tags[:-1], tags[1:]), -1)
-                flat = np.concatenate([np.array(r, np.int64) for r in rows])
-                slope = np.repeat(nodes, [len(r) for r in rows], axis=0)
-                touched, place = np.unique(flat, return_inverse=True)
-                grad = np.zeros((len(touched), 3))
-                np.add.at(grad, place, slope)
-                grad += decay * model.weights[touched]
+            for b in order.permutation(len(batches)):
+                lengths, cell, owner, touched, place, apart, tags, follows = batches[b]
+                cells, weights = len(lengths) * int(lengths.max()), model.weights[touched]
+                scores = np.stack([np.bincount(owner, weights[place, k], minlength=cells) for k in range(3)], axis=1)
+                scores[apart, I] = -1e9
+                nodes, pairs = model._marginals(scores.reshape(len(lengths), -1, 3), lengths)
+                slope = nodes.reshape(-1, 3)
+                slope[cell, tags] -= 1
+                np.add.at(pairs, (tags[follows - 1], tags[follows]), -1)
+                grad = np.stack([np.bincount(place, slope[owner, k], minlength=len(touched)) for k in range(3)], axis=1) + decay * weights
                 square_w[touched] += grad**2
                 model.weights[touched] -= rate * grad / np.sqrt(square_w[touched])
                 square_m += pairs**2

@@ -208,10 +208,11 @@ def test_viterbi_and_marginals_by_enumeration():
             every[tags] = sum(scores[t, g] for t, g in enumerate(tags)) + sum(moves[a, b] for a, b in zip(tags, tags[1:]))
     assert tuple(model.decode(scores)) == max(every, key=every.get)
     total = sum(math.exp(v) for v in every.values())
-    nodes, _ = model._marginals(scores)
+    nodes, pairs = model._marginals(np.stack([np.pad(scores[:3], ((0, 2), (0, 0))), scores]), np.array([3, 5]))
+    assert nodes[0, 3:].sum() == 0 and nodes[0, :3].sum() == pytest.approx(3) and pairs.sum() == pytest.approx(2 + 4)
     for t in range(5):
         for g in range(3):
-            assert nodes[t, g] == pytest.approx(sum(math.exp(v) for tags, v in every.items() if tags[t] == g) / total, abs=1e-9)
+            assert nodes[1, t, g] == pytest.approx(sum(math.exp(v) for tags, v in every.items() if tags[t] == g) / total, abs=1e-9)
 
 
 def test_crf_adds_what_looks_like_a_secret(spark):
