@@ -10,6 +10,14 @@ columns of ``docs``. Every stage works on all that its predecessor kept.
   that share 80% or more of their five-word shingles stays;
 * secrets: secrets are replaced by a mark in the text, and ``n_chars`` follows;
 * packing: pieces of sequences of 4096 tokens.
+
+Defined cases, for every stage: a null text counts as empty, is never toxic and
+never a near copy, stays null when secrets are masked, and packs as its end id;
+null texts and empty ones are equal texts, of which one row stays; rows without
+an id are never dropped as copies; rows that repeat id and text stay once, rows
+that repeat an id with other texts stay; an empty table gives an empty one (or no
+pieces); ties of length go to the smallest id; other columns, whatever their
+names, pass through. Tables between stages are deleted once they have been read.
 """
 
 from __future__ import annotations
@@ -21,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from designloom.llm import exact_dedup, ngram_join, packing, secrets_crf, toxicity
-from designloom.llm.common import join_counted, write_table
+from designloom.llm.common import drop_table, join_counted, write_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -48,17 +56,20 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near copies the smallest id stays; rows of one id are taken for one document. Rows without an id or words stay."""
     found = ngram_join.near_components(docs, k=5, num=80, den=100)
-    return join_counted(docs, found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti")
+    return join_counted(docs, found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Trained on the table itself; without a labelled secret the patterns alone mask. Null texts keep their ``n_chars``."""
     masked = secrets_crf.redacted(docs, secrets_crf.train(docs))
     return masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack(docs, tokenizer_path=public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+    """Every row is packed, repeated ones too; the order of documents is that of the stored partitions."""
+    return packing.packed_digest(docs, tokenizer_path=public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -75,7 +86,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), ""
     for name, stage in STAGES[:-1]:
-        docs, _ = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs, path = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if read:
+            drop_table(spark, read)
+        read = path
+    # The last stage gives what it has already worked out.
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    drop_table(spark, read)
+    return out
