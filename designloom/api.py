@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from designloom.functions.compile import Env
 from designloom.operators.fit import design_matrix_builders
@@ -37,6 +38,9 @@ class DesignMatrix:
     def __repr__(self) -> str:
         return show(self)
 
+    def _repr_pretty_(self, printer: object, cycle: bool) -> None:
+        printer.text("DesignMatrix(...)" if cycle else show(self))
+
 
 def _env(env: Env | int) -> Env:
     return env if isinstance(env, Env) else Env.capture(env + 2)
@@ -54,8 +58,10 @@ def _model(formula_like: object) -> ModelDesc:
     raise FormulaError(f"can't understand a formula of type {type(formula_like).__name__}")
 
 
-def _data(data: DataFrame | Sequence[DataFrame]) -> DataFrame:
+def _data(data: DataFrame | Sequence[DataFrame] | None) -> DataFrame:
     """A DataFrame, or the union of several (chunks)."""
+    if data is None or not isinstance(data, DataFrame) and not len(data):
+        raise FormulaError("without data there is no number of rows; give a DataFrame")
     return data if isinstance(data, DataFrame) else reduce(DataFrame.unionByName, data)
 
 
@@ -85,42 +91,86 @@ def incr_dbuilders(formula_like: object, data: DataFrame | Sequence[DataFrame],
     return left, right
 
 
-def _passed_through(formula_like: object) -> tuple[DesignMatrix, ...] | None:
-    """Matrices instead of formulas: DataFrames of numbers."""
+def _numbers(df: DataFrame, prefix: str, keep: Sequence[str] = ()) -> tuple[list[str], list[Column]]:
+    """Columns of a DataFrame of numbers; those of an array are named by ``prefix`` and their place."""
+    names, columns = [], []
+    for field in df.schema.fields:
+        if field.name in keep:
+            continue
+        column = F.col("`" + field.name.replace("`", "``") + "`")
+        if isinstance(field.dataType, T.ArrayType):
+            first = df.select(F.size(column)).first()
+            elements = [F.get(column, F.lit(i)).cast("double") for i in range(max(0, first[0] if first else 0))]
+            names += [f"{prefix}{len(names) + i}" for i in range(len(elements))]
+            columns += elements
+        else:
+            names.append(field.name)
+            columns.append(column.cast("double"))
+    return names, columns
+
+
+def _passed_through(formula_like: object) -> DesignMatrix | None:
+    """A matrix instead of a formula: a DataFrame of numbers."""
     if isinstance(formula_like, DesignMatrix):
-        return (formula_like,)
+        return formula_like
     if isinstance(formula_like, DataFrame):
-        columns = [F.col("`" + c.replace("`", "``") + "`").cast("double").alias(c) for c in formula_like.columns]
-        return (DesignMatrix(formula_like.select(*columns), DesignInfo(formula_like.columns)),)
+        names, columns = _numbers(formula_like, "x")
+        return DesignMatrix(formula_like.select(*[c.alias(n) for c, n in zip(columns, names, strict=True)]), DesignInfo(names))
     return None
 
 
+def _passed_pair(pair: tuple, keep: Sequence[str], prefixes: Sequence[str]) -> tuple[DesignMatrix, DesignMatrix]:
+    """Two matrices instead of a formula. Rows of DataFrames have no order: columns ``keep``, which both have, tell which belong together."""
+    if not keep:
+        raise FormulaError("two DataFrames have no common order of rows; name the columns that match them with keep=")
+    sides, infos = [], []
+    for frame, prefix, letter in zip(pair, prefixes, "yx", strict=True):
+        if isinstance(frame, DesignMatrix):
+            mine = [frame.prefix + n for n in frame.design_info.column_names]
+            names, columns, frame = frame.design_info.column_names, [F.col("`" + n.replace("`", "``") + "`") for n in mine], frame.df
+        else:
+            names, columns = _numbers(frame, letter, keep)
+        sides.append(frame.select(*keep, *[c.alias(prefix + n) for c, n in zip(columns, names, strict=True)]))
+        infos.append(DesignInfo(names))
+    both = sides[0].join(sides[1], list(keep))
+    return DesignMatrix(both, infos[0], prefixes[0]), DesignMatrix(both, infos[1], prefixes[1])
+
+
 def dmatrix(
     formula_like: object, data: DataFrame | Sequence[DataFrame] | None = None, env: Env | int = 0, NA_action: str | NAAction = "drop", return_type: str = "matrix", *, keep: Sequence[str] = (), dtype: str = "double"  # noqa: N803
 ) -> DesignMatrix | object:
     """One design matrix. ``return_type``: "matrix" (lazy), or "dataframe" (pandas)."""
     if return_type not in ("matrix", "dataframe"):
         raise FormulaError(f"unrecognized output type {return_type!r}, should be 'matrix' or 'dataframe'")
+    if isinstance(formula_like, tuple) and any(isinstance(x, (DataFrame, DesignMatrix)) for x in formula_like):
+        raise FormulaError("outcome and predictors are given, where predictors alone are asked for")
     found = _passed_through(formula_like)
     if found is None:
         data = _data(data)
         left, right = _designs(formula_like, data, _env(env), NA_action)
         if left.column_names:
             raise FormulaError("encountered outcome variables for a model that does not expect them")
-        found = (DesignMatrix(build_design_matrices([right], data, NA_action, keep=keep, dtype=dtype), right),)
-    return found[0].df.toPandas() if return_type == "dataframe" else found[0]
+        found = DesignMatrix(build_design_matrices([right], data, NA_action, keep=keep, dtype=dtype), right)
+    return found.df.toPandas() if return_type == "dataframe" else found
 
 
 def dmatrices(
-    formula_like: object, data: DataFrame | Sequence[DataFrame], env: Env | int = 0, NA_action: str | NAAction = "drop", return_type: str = "matrix", *,  # noqa: N803
+    formula_like: object, data: DataFrame | Sequence[DataFrame] | None = None, env: Env | int = 0, NA_action: str | NAAction = "drop", return_type: str = "matrix", *,  # noqa: N803
     keep: Sequence[str] = (), prefixes: Sequence[str] = ("y.", "X."), dtype: str = "double",
 ) -> tuple[DesignMatrix, DesignMatrix] | object:
-    """Outcome and predictors, as two views of one DataFrame with prefixed columns, so rows stay aligned."""
-    data = _data(data)
-    left, right = _designs(formula_like, data, _env(env), NA_action)
-    if not left.column_names:
-        raise FormulaError("model is missing required outcome variables")
-    both = build_design_matrices([left, right], data, NA_action, keep=keep, prefixes=prefixes, dtype=dtype)
+    """Outcome and predictors, as two views of one DataFrame with prefixed columns, so rows stay aligned.
+
+    A pair of matrices (DataFrames of numbers) passes through, matched by the columns ``keep``.
+    """
+    if isinstance(formula_like, tuple) and len(formula_like) == 2 and all(isinstance(x, (DataFrame, DesignMatrix)) for x in formula_like):
+        one, two = _passed_pair(formula_like, keep, prefixes)
+        both, left, right = one.df, one.design_info, two.design_info
+    else:
+        data = _data(data)
+        left, right = _designs(formula_like, data, _env(env), NA_action)
+        if not left.column_names:
+            raise FormulaError("model is missing required outcome variables")
+        both = build_design_matrices([left, right], data, NA_action, keep=keep, prefixes=prefixes, dtype=dtype)
     if return_type == "dataframe":
         pandas = both.toPandas()
         n = len(keep) + len(left.column_names)

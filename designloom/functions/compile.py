@@ -3,20 +3,27 @@
 Tier A: arithmetic, comparisons, known NumPy and math functions, built-ins and
 stateful transforms become Column expressions with NumPy's semantics. Tier B:
 functions marked ``column_function`` get Columns. Tier C: any other call is
-evaluated per Arrow batch by a pandas UDF over the columns it names.
+evaluated per Arrow batch by a pandas UDF over the columns it names; what it
+returns (numbers, truth values, text, several columns) is tried out on a few rows
+when fitting, and kept with the factor.
 """
 
 from __future__ import annotations
 
+import __future__
 import ast
 import builtins as _builtins
+import functools
 import math
+import operator
 import warnings
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +33,7 @@ from designloom.plans.errors import FormulaError
 from designloom.plans.lexer import respaced
 
 from . import contrasts, stateful
+from .chunks import PROBE_ROWS, as_array, as_series, chunks, kind_of, spark_type
 from .stateful import Stateful
 
 NAN, INF = float("nan"), float("inf")
@@ -47,6 +55,8 @@ class Value:
     is_float: bool = False
     #: All columns are missing where the first one is.
     together: bool = False
+    #: The one column is an array, whose elements are the columns.
+    array: bool = False
 
     @property
     def one(self) -> Column:
@@ -67,38 +77,67 @@ def stateful_transform(cls: type) -> type:
         return cls
 
     class Chunked(Stateful):
-        """Fitted chunk by chunk on the driver; applied per Arrow batch."""
+        """Fitted chunk by chunk, applied per Arrow batch.
+
+        With a method ``merge(other)`` every task fits its own rows, and only the
+        fitted objects come together; without, the rows pass through the driver,
+        a partition at a time.
+        """
 
         data_args = None
+        many_columns = False
         inner_class = cls
 
         def configure(self, **named: object) -> None:
             self.named, self.inner = named, cls()
 
         def learn(self, args: list[list[Column]]):  # noqa: ANN202
-            flat = [c.alias(f"a{i}") for i, c in enumerate(c for a in args for c in a)]
+            groups, named = _grouped(args), self.named
 
             def feed(df: DataFrame) -> tuple:
-                for batch in df.select(*flat).toArrow().to_batches(10_000):
-                    self.inner.memorize_chunk(*[c.to_numpy(zero_copy_only=False) for c in batch.columns], **self.named)
+                rows = df.select(*[c.alias(f"a{i}") for i, c in enumerate(groups)])
+                if hasattr(cls, "merge"):
+
+                    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                        inner = cls()
+                        for batch in batches:
+                            inner.memorize_chunk(*[as_array(c.to_pylist()) for c in batch.columns], **named)
+                        yield pa.record_batch([pa.array([cloudpickle.dumps(inner)], pa.binary())], names=["state"])
+
+                    first, *others = (cloudpickle.loads(r.state) for r in rows.mapInArrow(partial, "state binary").collect())
+                    for other in others:
+                        first.merge(other)
+                    self.inner = first
+                else:
+                    for part in chunks(rows):
+                        self.inner.memorize_chunk(*part.values(), **named)
                 self.inner.memorize_finish()
+                sample = rows.limit(PROBE_ROWS).collect()
+                out = self.inner.transform(*[as_array(c) for c in zip(*sample, strict=True)], **named) if sample else 0.0
+                self.learned["width"] = kind_of(out)[1]
                 return ()
 
             yield feed
 
         def apply(self, args: list[list[Column]]) -> list[Column]:
-            inner, named = self.inner, self.named
+            inner, named, width = self.inner, self.named, self.learned["width"]
 
-            @F.pandas_udf("double")
+            @F.pandas_udf(spark_type("num", width))
             def run(*series: pd.Series) -> pd.Series:
-                return pd.Series(np.asarray(inner.transform(*[s.to_numpy() for s in series], **named), dtype=float))
+                return as_series(inner.transform(*map(as_array, series), **named), len(series[0]), "num", width)
 
-            return [run(*[c for a in args for c in a])]
+            found = run(*_grouped(args))
+            return [F.get(found, F.lit(i)) for i in range(width)] if width else [found]
 
     Chunked.__name__ = cls.__name__
     return Chunked
 
 
+def _grouped(args: list[list[Column]]) -> list[Column]:
+    """One column for each argument: those of several columns as arrays."""
+    return [a[0] if len(a) == 1 else F.array(*a) for a in args]
+
+
 class C:
     """Marks a categorical value; see ``Compiler``."""
 
@@ -121,11 +160,15 @@ BUILTINS: dict[str, object] = {
 }
 
 
+#: Compiler flags of the features that a module may import from the future.
+_FUTURE = functools.reduce(operator.or_, (getattr(__future__, n).compiler_flag for n in __future__.all_feature_names), 0)
+
+
 class Env:
-    """Namespaces, looked up in order."""
+    """Namespaces, looked up in order, and the compiler flags of the code that they belong to."""
 
-    def __init__(self, *namespaces: Mapping[str, object]) -> None:
-        self.namespaces = namespaces
+    def __init__(self, *namespaces: Mapping[str, object], flags: int = 0) -> None:
+        self.namespaces, self.flags = namespaces, flags & _FUTURE
 
     @staticmethod
     def capture(depth: int = 0) -> Env:
@@ -133,7 +176,7 @@ class Env:
         import sys
 
         frame = sys._getframe(depth + 1)
-        return Env(dict(frame.f_locals), frame.f_globals)
+        return Env(dict(frame.f_locals), frame.f_globals, flags=frame.f_code.co_flags)
 
     def find(self, name: str) -> object:
         for space in (*self.namespaces, BUILTINS, vars(_builtins)):
@@ -141,6 +184,16 @@ class Env:
                 return space[name]
         raise NameError(name)
 
+    def outer(self, *namespaces: Mapping[str, object]) -> Env:
+        """The same, with namespaces that are looked up after all of its own."""
+        return Env(*self.namespaces, *namespaces, flags=self.flags)
+
+    def eval(self, code: str | ast.Expression, inner: Mapping[str, object] | None = None) -> object:
+        """The value of an expression; ``inner`` is looked up first."""
+        tree = ast.parse(code, mode="eval") if isinstance(code, str) else code
+        space = {n.id: (inner or {})[n.id] if n.id in (inner or {}) else self.find(n.id) for n in ast.walk(tree) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)}
+        return eval(compile(tree, "<formula>", "eval", self.flags, dont_inherit=True), {"__builtins__": _builtins}, space)  # noqa: S307
+
     def subset(self, names: set[str]) -> Env:
         found = {}
         for name in names:
@@ -148,7 +201,16 @@ class Env:
                 found[name] = self.find(name)
             except NameError:
                 continue
-        return Env(found)
+        return Env(found, flags=self.flags)
+
+    def __eq__(self, other: object) -> bool:
+        """Whether the namespaces are the same objects, or plain copies of equal ones."""
+        if not isinstance(other, Env) or self.flags != other.flags or len(self.namespaces) != len(other.namespaces):
+            return False
+        return all(a is b or a.keys() == b.keys() and all(a[k] is b[k] for k in a) for a, b in zip(self.namespaces, other.namespaces, strict=True))
+
+    def __hash__(self) -> int:
+        return hash((self.flags, len(self.namespaces)))
 
 
 def quoted(name: str) -> Column:
@@ -208,6 +270,18 @@ _COMPARE: dict[type, Callable[[Column, Column], Column]] = {
 }
 
 
+def factor_key(factor: object) -> str:
+    return f"factor:{factor.name()}"
+
+
+class FactorState(Stateful):
+    """What a factor that memorizes for itself has memorized."""
+
+    def __init__(self, inner: dict) -> None:
+        super().__init__()
+        self.inner = inner
+
+
 class _Unready(Exception):
     """A stateful call inside has not learned yet."""
 
@@ -219,6 +293,10 @@ class Compiler:
     schema: T.StructType
     env: Env
     states: dict[str, Stateful] = field(default_factory=dict)
+    #: What Python calls return, and widths of arrays, by their text.
+    shapes: dict[str, tuple[str, int]] = field(default_factory=dict)
+    #: Gives the first rows of some columns (when fitting).
+    probe: Callable[[list[Column]], list[tuple]] | None = None
 
     def __post_init__(self) -> None:
         self.fields = {f.name: f for f in self.schema.fields}
@@ -232,11 +310,11 @@ class Compiler:
         if isinstance(kind, (T.NumericType,)):
             return Value("num", (c.cast("double") if not isinstance(kind, T.DoubleType) else c,), is_float=isinstance(kind, (T.FloatType, T.DoubleType)))
         if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
-            return Value("num", (c.cast("array<double>"),), multi=True)
+            return Value("num", (c.cast("array<double>"),), multi=True, array=True)
         if type(kind).__name__ == "VectorUDT":
             from pyspark.ml.functions import vector_to_array
 
-            return Value("num", (vector_to_array(c),), multi=True)
+            return Value("num", (vector_to_array(c),), multi=True, array=True)
         if isinstance(kind, (T.ArrayType, T.MapType)):
             raise FormulaError(f"column '{name}' of type {kind.simpleString()} is neither numerical nor categorical")
         # Levels that column metadata declare (as pandas categories do) are authoritative.
@@ -255,13 +333,41 @@ class Compiler:
                 if found.kind == "const":
                     found = self.constant_factor(found.const)
                 return found
-            return factor.compile(self)
+            if hasattr(factor, "compile"):
+                return factor.compile(self)
+            return self.evaluated_by(factor)
         except FormulaError as e:
             e.locate(factor)
             raise
         except (NameError, TypeError, ValueError, KeyError, AttributeError, SyntaxError) as e:
             raise FormulaError(f"Error evaluating factor: {type(e).__name__}: {e}", factor) from e
 
+    def shape(self, key: str, columns: list[Column], tell: Callable[[list[np.ndarray]], tuple[str, int]]) -> tuple[str, int]:
+        """What ``tell`` finds in the first rows of ``columns``, asked once; a plain number without rows."""
+        if key not in self.shapes:
+            rows = self.probe(columns) if self.probe else []
+            self.shapes[key] = tell([as_array(c) for c in zip(*rows, strict=True)]) if rows else ("num", 0)
+        return self.shapes[key]
+
+    def evaluated_by(self, factor: object) -> Value:
+        """A factor that memorizes and evaluates for itself, over chunks of all columns."""
+        if not hasattr(factor, "eval"):
+            raise TypeError(f"a {type(factor).__name__} is no factor")
+        state = getattr(self.states.get(factor_key(factor)), "inner", {})
+        names = list(self.fields)
+        columns = [quoted(n) for n in names]
+
+        def evaluate(arrays: list[np.ndarray]) -> object:
+            return factor.eval(state, dict(zip(names, arrays, strict=True)))
+
+        kind, width = self.shape(factor_key(factor), columns, lambda arrays: kind_of(evaluate(arrays)))
+
+        @F.pandas_udf(spark_type(kind, width))
+        def run(*series: pd.Series) -> pd.Series:
+            return as_series(evaluate([as_array(s) for s in series]), len(series[0]), kind, width)
+
+        return Value(kind, (run(*columns),), multi=width > 0, array=width > 0, is_float=kind == "num")
+
     @staticmethod
     def parse(code: str) -> ast.expr:
         return ast.parse(code, mode="eval").body
@@ -297,8 +403,7 @@ class Compiler:
         return False
 
     def constant(self, node: ast.expr) -> object:
-        names = {n.id for n in ast.walk(node) if isinstance(n, ast.Name)}
-        return eval(compile(ast.Expression(node), "<formula>", "eval"), {}, {n: self.env.find(n) for n in names})  # noqa: S307
+        return self.env.eval(ast.fix_missing_locations(ast.Expression(node)))
 
     # Nodes.
 
@@ -320,14 +425,27 @@ class Compiler:
             return Value("bool", (~self.boolean(self.node(node.operand)),))
         if isinstance(node, ast.Compare):
             return self.compare(node)
-        if isinstance(node, ast.Subscript):
-            base, at = self.node(node.value), self.node(node.slice)
-            if base.multi and at.kind == "const" and isinstance(at.const, int):
-                return Value("num", (F.get(base.columns[0], F.lit(at.const) if at.const >= 0 else F.size(base.columns[0]) + at.const),))
+        if isinstance(node, ast.Subscript) and (found := self.element(node)) is not None:
+            return found
         if isinstance(node, ast.Call):
             return self.call(node)
         return self.fallback(node)
 
+    def element(self, node: ast.Subscript) -> Value | None:
+        """An element, or a slice, of an array column; None if its place is not a constant."""
+        base = self.node(node.value)
+        if not base.array or self.mentions_column(node.slice):
+            return None
+        array, size = base.columns[0], F.size(base.columns[0])
+        at = self.constant(ast.Call(ast.Name("slice", ast.Load()), [x or ast.Constant(None) for x in (node.slice.lower, node.slice.upper, node.slice.step)], []) if isinstance(node.slice, ast.Slice) else node.slice)
+        if isinstance(at, (int, np.integer)):
+            return Value("num", (F.get(array, F.lit(int(at)) if at >= 0 else size + int(at)),), is_float=True)
+        if isinstance(at, slice) and at.step in (None, 1):
+            ends = [F.lit(0) if at.start is None else at.start, size if at.stop is None else at.stop]
+            low, high = (F.greatest(F.lit(0), size + e) if isinstance(e, int) and e < 0 else F.least(F.lit(e) if isinstance(e, int) else e, size) for e in ends)
+            return replace(base, columns=(F.slice(array, low + 1, F.greatest(F.lit(0), high - low)),))
+        return None
+
     def number(self, value: Value) -> Column:
         if value.kind == "const":
             return F.lit(float(value.const))
@@ -347,15 +465,17 @@ class Compiler:
         """``fn`` over numbers, element by element where values have several columns."""
         if not any(v.multi for v in values):
             return Value("num", (fn(*[self.number(v) for v in values]),), is_float=True)
-        widths = {len(v.columns) for v in values if v.multi and len(v.columns) > 1}
-        if widths:
-            (width,) = widths
+        arrays = [v.columns[0] for v in values if v.array]
+        wide = {len(v.columns) for v in values if v.multi and not v.array}
+        if len(wide) > 1 or arrays and wide:
+            raise FormulaError("operands have different numbers of columns")
+        if wide:
+            (width,) = wide
             rows = [v.columns if v.multi else (self.number(v),) * width for v in values]
             return Value("num", tuple(fn(*row) for row in zip(*rows, strict=True)), multi=True)
-        arrays = [v.columns[0] for v in values if v.multi]
         if len(arrays) == 1:
-            return Value("num", (F.transform(arrays[0], lambda x: fn(*[x if v.multi else self.number(v) for v in values])),), multi=True)
-        return Value("num", (F.zip_with(*arrays, fn),), multi=True)
+            return Value("num", (F.transform(arrays[0], lambda x: fn(*[x if v.array else self.number(v) for v in values])),), multi=True, array=True)
+        return Value("num", (F.zip_with(*arrays, fn),), multi=True, array=True)
 
     def compare(self, node: ast.Compare) -> Value:
         values = [self.node(n) for n in (node.left, *node.comparators)]
@@ -455,16 +575,19 @@ class Compiler:
         code = ast.unparse(Lift().visit(ast.parse(ast.unparse(node), mode="eval")))
         known = {n: self.env.find(n) for n in names if n not in columns and n not in BUILTINS}
         inputs = {n: self.column(n) for n in columns} | calls
-        names = list(inputs)
+        names, given = list(inputs), _grouped([list(v.columns) for v in inputs.values()])
         warnings.warn(f"'{code}' is evaluated batch by batch in Python; functions that look beyond a row see their batch only", stacklevel=2)
 
-        @F.pandas_udf("double")
+        def evaluate(arrays: list[np.ndarray]) -> object:
+            return eval(code, {"__builtins__": _builtins, **known}, dict(zip(names, arrays, strict=True)))  # noqa: S307
+
+        kind, width = self.shape(f"call:{code}", given, lambda arrays: kind_of(evaluate(arrays)))
+
+        @F.pandas_udf(spark_type(kind, width))
         def run(*series: pd.Series) -> pd.Series:
-            local = {n: s.to_numpy() for n, s in zip(names, series, strict=True)}
-            found = eval(code, {"__builtins__": _builtins, **known}, local)  # noqa: S307
-            return pd.Series(np.broadcast_to(np.asarray(found, dtype=float), len(series[0])))
+            return as_series(evaluate([as_array(s) for s in series]), len(series[0]), kind, width)
 
-        return Value("num", (run(*[v.columns[0] for v in inputs.values()]),), is_float=True)
+        return Value(kind, (run(*given),), multi=width > 0, array=width > 0, is_float=kind == "num")
 
     # Stateful calls.
 
@@ -478,7 +601,7 @@ class Compiler:
         if hasattr(found, "inner"):
             instance.inner = found.inner
         out = tuple(instance.apply(args))
-        return Value("num", out, multi=len(out) > 1 or cls.many_columns, is_float=True, together=cls.many_columns)
+        return Value("num", out, multi=len(out) > 1 or cls.many_columns or instance.learned.get("width", 0) > 0, is_float=True, together=cls.many_columns)
 
     def stateful_args(self, node: ast.Call, cls: type[Stateful]) -> tuple[list[list[Column]], Stateful]:
         given, named = list(node.args), {k.arg: k.value for k in node.keywords}
@@ -492,14 +615,14 @@ class Compiler:
             value = self.node(a)
             if value.kind == "const":
                 value = self.constant_factor(value.const)
-            if value.multi and len(value.columns) == 1 and not self._is_smooth(a):
-                raise FormulaError("stateful transforms take single columns; index the array")
+            if value.array:
+                # Element by element, as many as the first row has.
+                array = value.columns[0]
+                _, width = self.shape(f"array:{respaced(ast.unparse(a))}", [array], lambda arrays: ("num", arrays[0].shape[1] if arrays[0].ndim == 2 else 0))
+                value = replace(value, columns=tuple(F.get(array, F.lit(i)) for i in range(width)), array=False)
             args.append([self.number(replace(value, columns=(c,), multi=False)) for c in value.columns])
         return args, cls(*[self.constant(a) for a in given[many:]], **{k: self.constant(v) for k, v in named.items()})
 
-    def _is_smooth(self, node: ast.expr) -> bool:
-        return isinstance(node, ast.Call)
-
     def pending(self, factor: object) -> dict[str, tuple[list[list[Column]], Stateful]]:
         """Stateful calls that have not learned, and whose arguments are ready."""
         if not isinstance(factor, EvalFactor):

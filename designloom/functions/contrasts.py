@@ -46,12 +46,52 @@ class ContrastMatrix:
         if self.matrix.ndim != 2 or self.matrix.shape[1] != len(self.column_suffixes):
             raise FormulaError("matrix and column_suffixes don't conform")
 
+    @property
+    def shape(self) -> tuple[int, int]:
+        return self.matrix.shape
+
+    def column(self, at: int) -> tuple[float, dict[float, list[int]]]:
+        """The most common weight of a column, and the rows of each other weight."""
+        rows: dict[float, list[int]] = {}
+        for i, w in enumerate(self.matrix[:, at].tolist()):
+            rows.setdefault(w, []).append(i)
+        common = max(rows, key=lambda w: len(rows[w]))
+        return common, {w: r for w, r in rows.items() if w != common}
+
+    def to_json(self) -> list:
+        return [self.matrix.tolist(), self.column_suffixes]
+
+    @staticmethod
+    def from_json(data: list) -> ContrastMatrix:
+        return OneHot(*data) if len(data) == 3 else ContrastMatrix(*data)
+
     def __eq__(self, other: object) -> bool:
         return isinstance(other, ContrastMatrix) and self.column_suffixes == other.column_suffixes and np.array_equal(self.matrix, other.matrix)
 
     __hash__ = None
 
 
+class OneHot(ContrastMatrix):
+    """A dummy for each of the levels ``chosen`` of ``rows``; the square matrix is only made when asked for."""
+
+    def __init__(self, rows: int, chosen: Sequence[int], column_suffixes: Sequence[str]) -> None:
+        self.rows, self.chosen, self.column_suffixes = rows, list(chosen), list(column_suffixes)
+
+    @property
+    def matrix(self) -> np.ndarray:
+        return np.eye(self.rows)[:, self.chosen]
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return self.rows, len(self.chosen)
+
+    def column(self, at: int) -> tuple[float, dict[float, list[int]]]:
+        return (1.0, {}) if self.rows == 1 else (0.0, {1.0: [self.chosen[at]]})
+
+    def to_json(self) -> list:
+        return [self.rows, self.chosen, self.column_suffixes]
+
+
 def _with_mean(reduced: ContrastMatrix, suffixes: list[str]) -> ContrastMatrix:
     return ContrastMatrix(np.column_stack([np.ones(len(reduced.matrix)), reduced.matrix]), suffixes)
 
@@ -63,12 +103,12 @@ class Treatment:
     reference: object = None
 
     def code_with_intercept(self, levels: Sequence) -> ContrastMatrix:
-        return ContrastMatrix(np.eye(len(levels)), bracketed("", levels))
+        return OneHot(len(levels), range(len(levels)), bracketed("", levels))
 
     def code_without_intercept(self, levels: Sequence) -> ContrastMatrix:
         out = 0 if self.reference is None else level_index(levels, self.reference)
         rest = [i for i in range(len(levels)) if i != out]
-        return ContrastMatrix(np.eye(len(levels))[:, rest], bracketed("T.", [levels[i] for i in rest]))
+        return OneHot(len(levels), rest, bracketed("T.", [levels[i] for i in rest]))
 
 
 @dataclass(frozen=True)
@@ -159,6 +199,6 @@ def coded(contrast: object, levels: Sequence, full: bool) -> ContrastMatrix:
             if matrix.ndim != 2:
                 raise FormulaError("a contrast matrix has two dimensions")
             found = ContrastMatrix(matrix, [f"[custom{i}]" for i in range(matrix.shape[1])])
-    if len(found.matrix) != len(levels):
-        raise FormulaError(f"contrast matrix has wrong number of rows: {len(found.matrix)} for {len(levels)} levels")
+    if found.shape[0] != len(levels):
+        raise FormulaError(f"contrast matrix has wrong number of rows: {found.shape[0]} for {len(levels)} levels")
     return found

@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from designloom.operators.quantiles import quantiles
 from designloom.plans.errors import FormulaError
 
 from .piecewise import Piecewise
@@ -129,16 +130,18 @@ class BSpline(Stateful):
         x = strict(_single(args, "bs"))
         wanted = [F.min(x), F.max(x)] if None in self.bounds else []
         ask_knots = self.knots is None and self.inner
-        if ask_knots:
-            probs = np.linspace(0, 1, self.inner + 2)[1:-1]
-            wanted += [F.max(F.isnan(x)), F.percentile(x, F.array(*(F.lit(float(p)) for p in probs)))]
+        wanted += [F.max(F.isnan(x))] if ask_knots else []
         found = list((yield wanted)) if wanted else []
         low, high = _finite(found[:2], "bs") if None in self.bounds else (None, None)
         low = low if self.bounds[0] is None else float(self.bounds[0])
         high = high if self.bounds[1] is None else float(self.bounds[1])
-        inner = sorted(self.knots if self.knots is not None else _finite(found[-1], "bs") if ask_knots else [])
-        if ask_knots and found[-2]:
-            raise FormulaError("the data of 'bs' hold missing values")
+        inner = self.knots or []
+        if ask_knots:
+            if found[-1]:
+                raise FormulaError("the data of 'bs' hold missing values")
+            (inner,) = yield lambda df: (quantiles(df, x, np.linspace(0, 1, self.inner + 2)[1:-1].tolist()),)
+            inner = _finite(inner or [None], "bs")
+        inner = sorted(inner)
         if low > high:
             raise FormulaError(f"lower_bound > upper_bound ({low!r} > {high!r})")
         if any(k < low for k in inner):
@@ -243,13 +246,9 @@ class CubicSpline(Stateful):
             raise FormulaError(f"lower_bound > upper_bound ({low!r} > {high!r})")
         inner = self.knots
         if inner is None and self.inner:
-            probs = np.linspace(0, 1, self.inner + 2)[1:-1]
-
-            def quantiles(df: DataFrame) -> object:
-                inside = df.select(x.alias("x")).where(F.col("x").between(low, high)).distinct()
-                return inside.agg(F.percentile("x", F.array(*(F.lit(float(p)) for p in probs)))).first()
-
-            (inner,) = yield quantiles
+            inside = F.when(x.between(low, high), x)
+            # An answer of None would read as the start of a round.
+            (inner,) = yield lambda df: (quantiles(df, inside, np.linspace(0, 1, self.inner + 2)[1:-1].tolist(), distinct=True),)
             if inner is None:
                 raise FormulaError(f"no data values between lower_bound (={low!r}) and upper_bound (={high!r}): cannot compute requested {self.inner} inner knot(s)")
             inner = sorted(set(inner))

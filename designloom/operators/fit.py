@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from designloom.functions.compile import Compiler, Env, Value
+from designloom.functions.chunks import PROBE_ROWS, chunks
+from designloom.functions.compile import Compiler, Env, FactorState, Value, factor_key
 from designloom.functions.contrasts import coded
 from designloom.functions.stateful import Stateful
 from designloom.plans.algebra import EvalFactor, Term
@@ -18,12 +19,17 @@ from designloom.plans.errors import FormulaError
 
 from .missing import NAAction, as_action
 
-#: Most levels that a factor may have; levels come to the driver.
-MAX_LEVELS = 10_000
+#: Levels, by a sketch, up to which all factors are looked through in one aggregation; of others each by itself.
+FEW_LEVELS = 5_000
+#: Most levels, as a design has a column for each, and the driver their names.
+MOST_LEVELS = 1_000_000
 
 
 def _learn(df: DataFrame, factors: Sequence, compiler: Compiler) -> None:
     """Fit all stateful calls of all factors; calls of one nesting depth share their aggregations."""
+    for f in factors:
+        if hasattr(f, "memorize_passes_needed") and not hasattr(f, "compile"):
+            compiler.states[factor_key(f)] = FactorState(_memorized(df, f, compiler.env))
     while True:
         waiting: dict[str, tuple] = {}
         for f in factors:
@@ -47,6 +53,16 @@ def _learn(df: DataFrame, factors: Sequence, compiler: Compiler) -> None:
         compiler.states.update({key: instance for key, (_, instance, _) in waiting.items()})
 
 
+def _memorized(df: DataFrame, factor: object, env: Env) -> dict:
+    """The state of a factor that memorizes chunks of all columns, in as many passes as it asks for."""
+    state: dict = {}
+    for which in range(factor.memorize_passes_needed(state, env)):
+        for part in chunks(df):
+            factor.memorize_chunk(state, which, part)
+        factor.memorize_finish(state, which)
+    return state
+
+
 def _advance(steps: object, answer: object, factor: object) -> object:
     """Next request of a coroutine, or None at its end."""
     try:
@@ -73,11 +89,11 @@ def _plain(level: object, value: Value, whole: bool) -> object:
 
 
 def _examine(df: DataFrame, values: dict, compiler: Compiler, action: NAAction) -> dict:
-    """Widths of array factors and levels of categorical ones, by one aggregation at most."""
+    """Widths of array factors and levels of categorical ones, by two aggregations, and a pass for each factor of many levels."""
     asks, slots, out = [], {}, {}
     for f, v in values.items():
         if not v.categorical and v.kind == "num":
-            if v.multi and len(v.columns) == 1 and _is_array(df, v):
+            if v.array:
                 slots[f] = len(asks)
                 asks += [F.min(F.size(v.columns[0])), F.max(F.size(v.columns[0]))]
             else:
@@ -88,37 +104,37 @@ def _examine(df: DataFrame, values: dict, compiler: Compiler, action: NAAction)
             out[f] = (False, True)
         else:
             slots[f] = len(asks)
-            asks += [F.collect_set(v.columns[0]), F.max(v.columns[0].isNull())]
+            asks += [F.approx_count_distinct(v.columns[0]), F.max(v.columns[0].isNull())]
     row = df.agg(*[c.alias(f"a{i}") for i, c in enumerate(asks)]).first() if asks else ()
+    looked = [f for f in slots if values[f].categorical or values[f].kind != "num"]
+    few = [f for f in looked if row[slots[f]] <= FEW_LEVELS]
+    sets = df.agg(*[F.collect_set(values[f].columns[0]).alias(f"a{i}") for i, f in enumerate(few)]).first() if few else ()
+    found = dict(zip(few, sets, strict=True))
+    for f in looked:
+        if f not in found:
+            column = df.select(values[f].columns[0].alias("x")).where("x IS NOT NULL").distinct()
+            found[f] = [r.x for r in column.limit(MOST_LEVELS + 1).collect()]
+            if len(found[f]) > MOST_LEVELS:
+                raise FormulaError(f"factor {f.name()} has more than {MOST_LEVELS} levels", f)
     for f, at in slots.items():
         v = values[f]
-        if not v.categorical and v.kind == "num":
+        if f not in found:
             if row[at] is None or row[at] != row[at + 1]:
                 raise FormulaError(f"arrays of factor {f.name()} must all have one size", f)
             out[f] = int(row[at])
             continue
-        whole = not v.is_float
-        levels = [_plain(x, v, whole) for x in row[at]]
-        if v.is_float:
-            levels = [x for x in levels if not (isinstance(x, float) and math.isnan(x)) or "NaN" not in action.NA_types]
-        if row[at + 1] and "None" not in action.NA_types:
-            levels.append(None)
+        levels = [_plain(x, v, not v.is_float) for x in [*found[f], *([None] * bool(row[at + 1]))]]
+        levels = [x for x in levels if action.is_level(x)]
         if not levels:
             raise FormulaError("No levels found", f)
-        if len(levels) > MAX_LEVELS:
-            raise FormulaError(f"factor {f.name()} has {len(levels)} levels; {MAX_LEVELS} are allowed", f)
         out[f] = tuple(sorted(levels, key=level_key))
     return out
 
 
-def _is_array(df: DataFrame, value: Value) -> bool:
-    return df.select(value.columns[0].alias("x")).schema["x"].dataType.typeName() == "array"
-
-
 def _own_states(factor: object, states: dict[str, Stateful]) -> dict[str, Stateful]:
     """States of the calls in a factor's own code."""
     if not isinstance(factor, EvalFactor):
-        return {}
+        return {k: s for k, s in states.items() if k == factor_key(factor)}
     import ast
 
     from designloom.plans.lexer import respaced
@@ -152,7 +168,7 @@ def _coded_terms(terms: Sequence[Term], infos: dict, contrast: dict) -> dict[Ter
                         except FormulaError as e:
                             e.locate(f)
                             raise
-                        width *= matrices[f].matrix.shape[1]
+                        width *= matrices[f].shape[1]
                     else:
                         width *= infos[f].num_columns
                 subterms.append(SubtermInfo(factors, matrices, width))
@@ -182,7 +198,10 @@ def design_matrix_builders(termlists: Sequence[Sequence[Term]], df: DataFrame, e
     """
     env, action = (env if isinstance(env, Env) else Env.capture(env + 1)), as_action(NA_action)
     factors = list(dict.fromkeys(f for terms in termlists for t in terms for f in t.factors))
-    compiler = Compiler(df.schema, env)
+    for f in factors:
+        if not callable(getattr(f, "name", None)):
+            raise FormulaError(f"a {type(f).__name__} is no factor: it has no name()")
+    compiler = Compiler(df.schema, env, probe=lambda columns: [tuple(r) for r in df.select(*[c.alias(f"a{i}") for i, c in enumerate(columns)]).limit(PROBE_ROWS).collect()])
     _learn(df, factors, compiler)
     values = {f: compiler.factor(f) for f in factors}
     seen = _examine(df, values, compiler, action)
@@ -190,9 +209,9 @@ def design_matrix_builders(termlists: Sequence[Sequence[Term]], df: DataFrame, e
     for f, v in values.items():
         states = _own_states(f, compiler.states)
         if isinstance(seen[f], tuple):
-            infos[f] = FactorInfo(f, "categorical", states, categories=seen[f])
+            infos[f] = FactorInfo(f, "categorical", states, categories=seen[f], shapes=compiler.shapes)
         else:
-            infos[f] = FactorInfo(f, "numerical", states, num_columns=seen[f], multi=v.multi)
+            infos[f] = FactorInfo(f, "numerical", states, num_columns=seen[f], multi=v.multi, shapes=compiler.shapes)
     contrast = {f: v.contrast for f, v in values.items()}
     words = {n for f in factors if isinstance(f, EvalFactor) for n in _identifiers(f.code)}
     out = []

@@ -115,7 +115,7 @@ class Partial:
 
     def free(self) -> Partial:
         if self.one:
-            raise FormulaError("intercept term cannot interact with anything else", self.span)
+            raise FormulaError("the intercept can't take part in an interaction", self.span)
         return self
 
 
@@ -143,15 +143,15 @@ class Algebra:
     def run(self, node: Node) -> object:
         rule = self.rules.get((node.kind, len(node.args)))
         if rule is None:
-            raise FormulaError(f"I don't know how to evaluate this '{node.kind}' operator", node.token)
+            raise FormulaError(f"there is no rule for the operator '{node.kind}' here", node.token)
         return rule(self, node)
 
     def side(self, node: Node) -> Partial:
         found = self.run(node)
         if isinstance(found, ModelDesc):
-            raise FormulaError("~ can only be used once, and only at the top level", node)
+            raise FormulaError("~ may stand once, outside of all parentheses", node)
         if not isinstance(found, Partial):
-            raise FormulaError("custom operator returned an object that I don't know how to handle", node)
+            raise FormulaError("the rule of this operator gave no side of a formula", node)
         return found
 
     def one_sided(self, node: Node) -> ModelDesc:
@@ -198,7 +198,7 @@ class Algebra:
         except ValueError:
             times = 0
         if times < 1:
-            raise FormulaError("'**' requires a positive integer", exponent)
+            raise FormulaError("the power must be a whole number above 0", exponent)
         found = newest = base.terms
         # Beyond one factor of each term nothing new appears.
         for _ in range(min(times, len(base.terms)) - 1):
@@ -209,8 +209,8 @@ class Algebra:
     def negative(self, node: Node) -> Partial:
         inner = node.args[0].kind
         if inner not in ("zero", "one"):
-            raise FormulaError("Unary minus can only be applied to 1 or 0", node)
+            raise FormulaError("only 0 and 1 can have a sign of their own", node)
         return Partial(one=True, span=node.span) if inner == "zero" else Partial(one=False)
 
     def number(self, node: Node) -> Partial:
-        raise FormulaError("numbers besides '0' and '1' are only allowed with **", node)
+        raise FormulaError("no number but 0 and 1 is a term", node)

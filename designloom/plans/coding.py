@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Hashable, Sequence
 from itertools import combinations
 
-#: The planner looks at all subsets of a term's categorical factors.
-MOST_CATEGORICAL = 15
-
 
 def codings(factors: Sequence[Hashable], used: set[frozenset]) -> list[dict[Hashable, bool]]:
     """For each part of a term: factor -> coded in full.
@@ -17,23 +15,32 @@ def codings(factors: Sequence[Hashable], used: set[frozenset]) -> list[dict[Hash
     the rest, a subset and the same subset with one more reduced factor merge
     into one with that factor in full.
     """
-    if len(factors) > MOST_CATEGORICAL:
-        raise ValueError(f"a term may hold {MOST_CATEGORICAL} categorical factors at most")
     subsets = [s for size in range(len(factors) + 1) for s in combinations(factors, size) if frozenset(s) not in used]
     used.update(map(frozenset, subsets))
-    parts = [dict.fromkeys(s, False) for s in subsets]
-
-    def extra(short: dict, long: dict) -> Hashable | None:
-        """The one reduced factor that ``long`` has besides all of ``short``."""
-        if len(long) != len(short) + 1 or any(long.get(f) is not full for f, full in short.items()):
-            return None
-        (factor,) = set(long) - set(short)
-        return None if long[factor] else factor
-
-    while True:
-        merge = next(((i, j, f) for i in range(len(parts)) for j in range(i + 1, len(parts)) if (f := extra(parts[i], parts[j])) is not None), None)
-        if merge is None:
-            return parts
-        i, j, factor = merge
-        parts[j] = parts[j] | {factor: True}
-        del parts[i]
+    # A part is a pair of bit sets: factors that it holds, and those of them in full. Parts never coincide.
+    bits = {f: 1 << k for k, f in enumerate(factors)}
+    parts: dict[tuple[int, int], int] = {(sum(bits[f] for f in s), 0): place for place, s in enumerate(subsets)}
+    waiting: list[tuple] = []
+
+    def note(part: tuple[int, int], *, shorter: bool) -> None:
+        """Queue merges of a part with later ones of one reduced factor more (and with earlier ones of one less)."""
+        held, full = part
+        for bit in bits.values():
+            pairs = [] if held & bit else [(part, (held | bit, full))]
+            if shorter and held & bit and not full & bit:
+                pairs.append(((held & ~bit, full), part))
+            for short, long in pairs:
+                if short in parts and long in parts and parts[short] < parts[long]:
+                    heapq.heappush(waiting, (parts[short], parts[long], short, long, bit))
+
+    for part in list(parts):
+        note(part, shorter=False)
+    # The first part that can merge does so with the first one that it can.
+    while waiting:
+        i, j, short, long, bit = heapq.heappop(waiting)
+        if parts.get(short) == i and parts.get(long) == j:
+            del parts[short], parts[long]
+            merged = long[0], long[1] | bit
+            parts[merged] = j
+            note(merged, shorter=True)
+    return [{f: bool(full & bits[f]) for f in subsets[place]} for (_, full), place in sorted(parts.items(), key=lambda p: p[1])]

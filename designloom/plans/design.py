@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from designloom.functions.compile import Compiler, Env, Value
 from designloom.functions.contrasts import ContrastMatrix
@@ -21,6 +23,10 @@ from .constraint import LinearConstraint, linear_constraint
 from .errors import FormulaError
 
 
+#: Levels that are told apart by CASE; more are looked up in a table.
+CASED = 256
+
+
 @dataclass
 class FactorInfo:
     """A factor, as numbers of ``num_columns`` columns or as ``categories``; ``states`` of its transforms by call text."""
@@ -31,6 +37,8 @@ class FactorInfo:
     num_columns: int | None = None
     categories: tuple | None = None
     multi: bool = False
+    #: What Python calls in the factor return (see ``Compiler``).
+    shapes: dict[str, tuple[str, int]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.kind not in ("numerical", "categorical"):
@@ -84,10 +92,10 @@ class DesignInfo:
                 if f in subterm.contrast_matrices:
                     raise ValueError("a numerical factor has a contrast matrix")
             else:
-                matrix = subterm.contrast_matrices[f].matrix
-                if len(matrix) != len(info.categories):
+                rows, columns = subterm.contrast_matrices[f].shape
+                if rows != len(info.categories):
                     raise ValueError("contrast matrix and categories don't agree")
-                width *= matrix.shape[1]
+                width *= columns
         if width != subterm.num_columns:
             raise ValueError(f"unexpected number of columns in subterm: {subterm.num_columns} for {width}")
 
@@ -107,6 +115,31 @@ class DesignInfo:
             return {n: slice(i, i + 1) for i, n in enumerate(self.column_names)}
         return {t.name(): s for t, s in self.term_slices.items()}
 
+    @property
+    def builder(self) -> DesignInfo:
+        """Old name: a design applies itself."""
+        warnings.warn("DesignInfo.builder is the design itself; use that", DeprecationWarning, stacklevel=2)
+        return self
+
+    @property
+    def design_info(self) -> DesignInfo:
+        """Old name, from when designs were told from their builders."""
+        warnings.warn("this is a DesignInfo already; use it itself", DeprecationWarning, stacklevel=2)
+        return self
+
+    def __repr__(self) -> str:
+        if self.term_codings is None:
+            return f"DesignInfo({self.column_names!r})"
+        coded = {t.name(): [s.num_columns for s in subterms] for t, subterms in self.term_codings.items()}
+        kinds = {f.name(): i.kind for f, i in self.factor_infos.items()}
+        return f"DesignInfo({self.column_names!r}, factors={kinds!r}, columns_of_terms={coded!r})"
+
+    def _repr_pretty_(self, printer: object, cycle: bool) -> None:
+        printer.text("DesignInfo(...)" if cycle else repr(self))
+
+    def __reduce__(self) -> tuple:
+        raise TypeError("designs are written by to_json() and read by from_json(), not pickled")
+
     @property
     def column_name_indexes(self) -> dict[str, int]:
         return {n: i for i, n in enumerate(self.column_names)}
@@ -177,7 +210,7 @@ class DesignInfo:
                     {
                         "factors": [index[f] for f in t.factors],
                         "subterms": [
-                            {"factors": [index[f] for f in s.factors], "columns": s.num_columns, "contrasts": {index[f]: [m.matrix.tolist(), m.column_suffixes] for f, m in s.contrast_matrices.items()}}
+                            {"factors": [index[f] for f in s.factors], "columns": s.num_columns, "contrasts": {index[f]: m.to_json() for f, m in s.contrast_matrices.items()}}
                             for s in subterms
                         ],
                     }
@@ -195,7 +228,7 @@ class DesignInfo:
         factors = [i.factor for i in infos]
         codings = {
             Term(factors[i] for i in t["factors"]): [
-                SubtermInfo(tuple(factors[i] for i in s["factors"]), {factors[int(i)]: ContrastMatrix(*m) for i, m in s["contrasts"].items()}, s["columns"]) for s in t["subterms"]
+                SubtermInfo(tuple(factors[i] for i in s["factors"]), {factors[int(i)]: ContrastMatrix.from_json(m) for i, m in s["contrasts"].items()}, s["columns"]) for s in t["subterms"]
             ]
             for t in data["terms"]
         }
@@ -216,11 +249,14 @@ def _level_from(pair: list) -> object:
 
 def _factor_json(info: FactorInfo) -> dict:
     f = info.factor
+    if not isinstance(f, (EvalFactor, LookupFactor)):
+        raise TypeError(f"a factor of type {type(f).__name__} can't be written as JSON")
     code = {"code": f.code} if isinstance(f, EvalFactor) else {"column": f.column, "categorical": f.force_categorical, "levels": None if f.levels is None else [_level_json(v) for v in f.levels]}
     return code | {
         "kind": info.kind, "num_columns": info.num_columns, "multi": info.multi,
         "categories": None if info.categories is None else [_level_json(c) for c in info.categories],
         "states": {k: s.learned for k, s in info.states.items()},
+        "shapes": info.shapes,
     }
 
 
@@ -234,7 +270,7 @@ def _factor_from(data: dict) -> FactorInfo:
         states[key] = Stateful()
         states[key].learned = learned
     categories = None if data["categories"] is None else tuple(map(_level_from, data["categories"]))
-    return FactorInfo(factor, data["kind"], states, data["num_columns"], categories, data["multi"])
+    return FactorInfo(factor, data["kind"], states, data["num_columns"], categories, data["multi"], {k: tuple(v) for k, v in data["shapes"].items()})
 
 
 # Applying designs.
@@ -248,26 +284,21 @@ def same_level(column: Column, level: object, value: Value) -> Column:
     return column == (F.lit(bytearray(level)) if isinstance(level, bytes) else F.lit(float(level)) if value.kind == "num" else F.lit(level))
 
 
-def _is_array(value: Value, compiler: Compiler) -> bool:
-    """Whether a value of several columns is one array column (smooths are lists of columns)."""
-    return value.multi and len(value.columns) == 1 and not compiler.states
-
-
-def _evaluated(info: FactorInfo, compiler: Compiler, action: NAAction) -> tuple[list[Column], Column | None]:
-    """Columns of a factor (numbers, or the one code of its level), and when it is missing."""
+def _evaluated(info: FactorInfo, compiler: Compiler, action: NAAction) -> tuple[list[Column], Column | None, Value]:
+    """Columns of a factor (numbers; of a categorical one its values), when it is missing, and what it was compiled to."""
     compiler.states = info.states
     value, f = compiler.factor(info.factor), info.factor
     if info.kind == "numerical":
         if value.categorical or value.kind != "num":
             raise FormulaError(f"when evaluating factor {f.name()}, I got non-numerical data where I expected numbers", f)
-        if value.multi and len(value.columns) == 1 and info.num_columns != 1 or _is_array(value, compiler):
+        if value.array:
             array, n = value.columns[0], info.num_columns
             wrong = F.raise_error(F.lit(f"factor {f.name()} has rows of another width than {n}"))
-            return [F.when(array.isNull() | (F.size(array) == n), array).otherwise(wrong.cast("array<double>"))], action.array(array)
+            return [F.when(array.isNull() | (F.size(array) == n), array).otherwise(wrong.cast("array<double>"))], action.array(array), value
         columns = list(value.columns)
         if len(columns) != info.num_columns:
             raise FormulaError(f"when evaluating factor {f.name()}, I got {len(columns)} columns where I expected {info.num_columns}", f)
-        return columns, action.numerical(columns[:1] if value.together else columns)
+        return columns, action.numerical(columns[:1] if value.together else columns), value
     if not value.categorical and value.kind == "num":
         raise FormulaError(f"when evaluating numeric factor {f.name()}, I expected categories", f)
     if value.levels is not None and tuple(value.levels) != tuple(info.categories):
@@ -275,15 +306,30 @@ def _evaluated(info: FactorInfo, compiler: Compiler, action: NAAction) -> tuple[
     is_bool = value.kind == "bool"
     if is_bool != all(isinstance(c, bool) for c in info.categories) and value.kind != "text":
         raise FormulaError(f"factor {f.name()} changed between numbers and true-or-false values", f)
-    column = value.columns[0]
-    missing = action.categorical(column, value.is_float)
+    return list(value.columns), action.categorical(value.columns[0], value.is_float), value
+
+
+def _code(info: FactorInfo, column: Column, value: Value, looked_up: Column | None) -> Column:
+    """The number of a value's level; an error for a value that is none."""
+    categories = info.categories
+    shown = ", ".join(map(repr, categories[:5])) + (", ..." if len(categories) > 5 else "")
+    error = F.raise_error(F.concat(F.lit(f"Error converting data to categorical: factor {info.factor.name()}: observation with value "), F.coalesce(column.cast("string"), F.lit("NULL")), F.lit(f" does not match any of the expected levels (expected: {shown})"))).cast("int")
+    if looked_up is not None:
+        return F.coalesce(looked_up, error)
     code = None
-    for i, level in enumerate(info.categories):
+    for i, level in enumerate(categories):
         test = same_level(column, level, value)
         code = F.when(test, F.lit(i)) if code is None else code.when(test, F.lit(i))
-    shown = ", ".join(map(repr, info.categories[:5])) + (", ..." if len(info.categories) > 5 else "")
-    error = F.raise_error(F.concat(F.lit(f"Error converting data to categorical: factor {f.name()}: observation with value "), F.coalesce(column.cast("string"), F.lit("NULL")), F.lit(f" does not match any of the expected levels (expected: {shown})"))).cast("int")
-    return [error if code is None else code.otherwise(error)], missing
+    return error if code is None else code.otherwise(error)
+
+
+def _with_codes(df: DataFrame, name: str, info: FactorInfo, value: Value) -> DataFrame:
+    """``df`` with the level's number in ``name + "_code"``, by a broadcast table of the levels of ``name``."""
+    kind = df.schema[name].dataType
+    levels = [(i, bytearray(c) if isinstance(c, bytes) else float(c) if value.kind == "num" and c is not None else c) for i, c in enumerate(info.categories)]
+    table = df.sparkSession.createDataFrame(levels, T.StructType([T.StructField(f"{name}_code", T.IntegerType()), T.StructField(f"{name}_level", kind)]))
+    found = df.join(F.broadcast(table), F.col(name).eqNullSafe(F.col(f"{name}_level")), "left")
+    return found.drop(f"{name}_level")
 
 
 def _subterm_columns(subterm: SubtermInfo, values: dict) -> list[Column]:
@@ -293,23 +339,19 @@ def _subterm_columns(subterm: SubtermInfo, values: dict) -> list[Column]:
         if f not in subterm.contrast_matrices:
             parts.append(values[f])
             continue
-        code, matrix = values[f][0], subterm.contrast_matrices[f].matrix
+        code, matrix = values[f][0], subterm.contrast_matrices[f]
         columns: list[Column | None] = []
-        for weights in matrix.T:
-            if (weights == weights[0]).all():
-                columns.append(None if weights[0] == 1 else F.lit(float(weights[0])))
-                continue
+        for at in range(matrix.shape[1]):
             # Levels of equal weight share a branch; the most common weight is the default.
-            counts: dict[float, list[int]] = {}
-            for i, w in enumerate(weights.tolist()):
-                counts.setdefault(w, []).append(i)
-            default = max(counts, key=lambda w: len(counts[w]))
+            common, rows = matrix.column(at)
+            if not rows:
+                columns.append(None if common == 1 else F.lit(float(common)))
+                continue
             found = None
-            for w, codes in counts.items():
-                if w != default:
-                    test = code.isin(codes) if len(codes) > 1 else code == codes[0]
-                    found = F.when(test, F.lit(w)) if found is None else found.when(test, F.lit(w))
-            columns.append(found.otherwise(F.lit(default)))
+            for w, codes in rows.items():
+                test = code.isin(codes) if len(codes) > 1 else code == codes[0]
+                found = F.when(test, F.lit(w)) if found is None else found.when(test, F.lit(w))
+            columns.append(found.otherwise(F.lit(common)))
         parts.append(columns)
     out = []
     for combination in product(*reversed(parts)):
@@ -328,7 +370,8 @@ def build_design_matrices(
 
     All designs keep the same rows. ``prefixes`` (one per design) go before
     column names; ``keep`` passes columns through. No shuffle takes place, and
-    streaming DataFrames work alike.
+    streaming DataFrames work alike. Factors of more than ``CASED`` levels find the
+    number of a level by a join with the broadcast table of levels.
     """
     if dtype not in ("double", "float"):
         raise ValueError("dtype is double or float")
@@ -340,12 +383,17 @@ def build_design_matrices(
         for f, info in design.factor_infos.items():
             infos.setdefault(f, (info, design.env))
     inner, values, missing, guards = [quoted.alias(f"__keep{i}") for i, quoted in enumerate(map(_quoted, keep))], {}, None, []
+    large: list[tuple[str, FactorInfo, Value]] = []
     for number, (f, (info, env)) in enumerate(infos.items()):
-        columns, absent = _evaluated(info, Compiler(df.schema, env), action)
+        columns, absent, value = _evaluated(info, Compiler(df.schema, env, shapes=info.shapes), action)
         names = [f"__f{number}_{i}" for i in range(len(columns))]
+        if info.kind == "categorical" and len(info.categories) > CASED:
+            large.append((names[0], info, value))
+        elif info.kind == "categorical":
+            columns = [_code(info, columns[0], value, None)]
         inner += [c.alias(n) for c, n in zip(columns, names, strict=True)]
         values[f] = [F.col(n) for n in names]
-        if info.kind == "numerical" and len(columns) == 1 and info.num_columns > 1:
+        if info.kind == "numerical" and value.array:
             values[f] = [F.get(F.col(names[0]), F.lit(i)) for i in range(info.num_columns)]
         if absent is not None:
             guards.append((absent, f))
@@ -361,6 +409,9 @@ def build_design_matrices(
             df = df.where(found)
     # A second projection refers to the factors by name, so each is worked out once.
     df = df.select(*inner) if inner else df.select(F.lit(1).alias("__row"))
+    for name, info, value in large:
+        df = _with_codes(df, name, info, value)
+        df = df.withColumn(name, _code(info, F.col(name), value, F.col(f"{name}_code"))).drop(f"{name}_code")
     out = [F.col(f"__keep{i}").alias(name) for i, name in enumerate(keep)]
     for design, prefix in zip(design_infos, prefixes, strict=True):
         columns = [c for subterms in design.term_codings.values() for s in subterms for c in _subterm_columns(s, values)]

@@ -47,12 +47,12 @@ class _Parser:
     def operand(self) -> Node:
         token = self.peek()
         if token is None:
-            raise FormulaError("expected a noun, but instead the expression ended", self.tokens[-1] if self.tokens else None)
+            raise FormulaError("the text ends where a term should follow", self.tokens[-1] if self.tokens else None)
         if token.kind == "(":
             self.take()
             inner = self.expression(None)
             if self.peek() is None:
-                raise FormulaError("Unmatched '('", token)
+                raise FormulaError("this parenthesis is never closed", token)
             return Node(inner.kind, inner.token, Span.cover([token, self.take()]), inner.args)
         if token.kind in self.leaves:
             self.take()
@@ -61,7 +61,7 @@ class _Parser:
             self.take()
             inner = self.expression(self.unary[token.kind].precedence)
             return Node(token.kind, token, Span.cover([token, inner]), (inner,))
-        raise FormulaError(f"expected a noun, not '{token.span.text}'", token)
+        raise FormulaError(f"a term should stand here, not '{token.span.text}'", token)
 
     def expression(self, above: int | None) -> Node:
         """Operators that bind tighter than ``above`` (all, if None); equal ones group to the left."""
@@ -69,7 +69,7 @@ class _Parser:
         while (token := self.peek()) is not None and token.kind != ")":
             operator = self.binary.get(token.kind)
             if operator is None:
-                raise FormulaError(f"expected an operator, not '{token.span.text}'", token)
+                raise FormulaError(f"an operator should stand before '{token.span.text}'", token)
             if above is not None and operator.precedence <= above:
                 break
             self.take()
@@ -82,7 +82,7 @@ def parse(tokens: Iterable[Token], operators: Iterable[Operator], leaves: frozen
     parser = _Parser(tokens, list(operators), leaves)
     tree = parser.expression(None)
     if (extra := parser.peek()) is not None:
-        raise FormulaError("missing '(' or extra ')'", extra)
+        raise FormulaError("this parenthesis closes nothing", extra)
     return tree
 
 
@@ -101,7 +101,7 @@ def parse_formula(code: str, extra_operators: Iterable[Operator] = ()) -> Node:
     """The tree of a formula, whose root is a ``~`` of one or two arguments."""
     extra = list(extra_operators)
     if any(o.precedence < 0 for o in extra):
-        raise ValueError("all operators must have precedence >= 0")
+        raise ValueError("own operators bind no looser than precedence 0")
     operators = [*FORMULA_OPERATORS, *extra]
     tree = parse(formula_tokens(code if code.strip() else "~ 1", {o.symbol for o in operators}), operators, FORMULA_LEAVES)
     return tree if tree.kind == "~" else Node("~", None, tree.span, (tree,))

@@ -44,10 +44,10 @@ def python_lexemes(code: str) -> Iterator[Lexeme]:
     while at < len(code):
         m = _TOKEN.match(code, at)
         if m is None:
-            raise FormulaError("error tokenizing input (maybe an unclosed string?)", Span(code, at, at + 1))
+            raise FormulaError("no Python token begins here (is a string left open?)", Span(code, at, at + 1))
         span = Span(code, *m.span())
         if m.lastgroup == "comment":
-            raise FormulaError("comments are not allowed", span)
+            raise FormulaError("a formula can't hold a comment", span)
         if m.lastgroup != "space":
             yield Lexeme(m.lastgroup, m[0], span)
         at = m.end()
@@ -111,7 +111,7 @@ def formula_tokens(code: str, operators: set[str]) -> Iterator[Token]:
     def leaf() -> Iterator[Token]:
         if held:
             if depth:
-                raise FormulaError("unclosed bracket in embedded Python expression", Span.cover(held))
+                raise FormulaError("a bracket in this expression is left open", Span.cover(held))
             text = spaced(held)
             yield Token(_leaf_kind(text), Span.cover(held), text)
             held.clear()
@@ -126,6 +126,6 @@ def formula_tokens(code: str, operators: set[str]) -> Iterator[Token]:
             continue
         depth += (text in OPENING) - (text in CLOSING)
         if depth < 0:
-            raise FormulaError("unmatched close bracket", lexeme)
+            raise FormulaError("this bracket closes nothing", lexeme)
         held.append(lexeme)
     yield from leaf()

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from designloom.api import dmatrices, dmatrix, incr_dbuilder
 from designloom.functions.compile import Env
-from designloom.functions.contrasts import Poly
 from designloom.operators.fit import design_matrix_builders
 from designloom.plans.algebra import LookupFactor, Term
 from designloom.plans.design import build_design_matrices
@@ -81,7 +80,9 @@ _helmert = [[-1, 1, 0, 0, 0], [-1, -1, 2, 0, 0], [-1, -1, -1, 3, 0], [-1, -1, -1
 formula("q_helmert", "orders", "~ C(o_orderpriority, Helmert)", ["1.0", *(weights("o_orderpriority", PRIORITIES, [float(x) for x in w]) for w in _helmert)])
 _diff = [[-0.8, 0.2, 0.2, 0.2, 0.2], [-0.6, -0.6, 0.4, 0.4, 0.4], [-0.4, -0.4, -0.4, 0.6, 0.6], [-0.2, -0.2, -0.2, -0.2, 0.8]]
 formula("q_diff", "orders", "~ C(o_orderpriority, Diff)", ["1.0", *(weights("o_orderpriority", PRIORITIES, w) for w in _diff)], digits=9)
-formula("q_poly", "orders", "~ C(o_orderpriority, Poly)", ["1.0", *(weights("o_orderpriority", PRIORITIES, w) for w in Poly().code_without_intercept(range(5)).matrix.T.tolist())], digits=9)
+# Orthogonal polynomials over five equal steps, as whole numbers, and the sums of their squares.
+_poly = [([-2, -1, 0, 1, 2], 10), ([2, -1, -2, -1, 2], 14), ([-1, 2, 0, -2, 1], 10), ([1, -4, 6, -4, 1], 70)]
+formula("q_poly", "orders", "~ C(o_orderpriority, Poly)", ["1.0", *(f"({weights('o_orderpriority', PRIORITIES, [float(x) for x in w])}) / sqrt({n})" for w, n in _poly)], digits=9)
 formula("q_custom", "orders", "0 + C(o_orderstatus, [[7, 12], [2, 13], [8, -1]])", [weights("o_orderstatus", ["F", "O", "P"], w) for w in ([7.0, 2.0, 8.0], [12.0, 13.0, -1.0])], expect=["C(o_orderstatus, [[7, 12], [2, 13], [8, -1]])[custom0]", "C(o_orderstatus, [[7, 12], [2, 13], [8, -1]])[custom1]"])
 formula("q_interact_cc", "lineitem", "~ l_returnflag*l_linestatus", ["1.0", fl("N"), fl("R"), st("O"), f"({fl('N')}) * ({st('O')})", f"({fl('R')}) * ({st('O')})"])
 formula(
@@ -157,28 +158,65 @@ def _knots(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("q_bs_quantile", " UNION ALL ".join(f"SELECT {i} AS i, quantile_cont(l_quantity, {(i + 1) / 4}) AS knot FROM lineitem" for i in range(3)), _knots)
 
 
-def _row_sums(text: str, source: str, digits: int = 6) -> Callable[[SparkSession, str], DataFrame]:
-    """Sums of the columns of a basis, row by row."""
+# Cubic splines of three knots in closed form. Natural: only the middle knot bends, by the jump of slopes; cyclic: both knots do, in opposite ways.
+
+
+def natural_cubic(x: str, k0: float, k1: float, k2: float) -> list[str]:
+    h, g = k1 - k0, k2 - k1
+    bend = [3 / (h * (h + g)), -3 * (1 / h + 1 / g) / (h + g), 3 / (g * (h + g))]
+    left = [f"({k1} - {x}) / {h!r}", f"({x} - {k0}) / {h!r}", "0.0"]
+    right = ["0.0", f"({k2} - {x}) / {g!r}", f"({x} - {k1}) / {g!r}"]
+    up, down = f"(pow({x} - {k0}, 3) / {6 * h!r} - {h!r} * ({x} - {k0}) / 6)", f"(pow({k2} - {x}, 3) / {6 * g!r} - {g!r} * ({k2} - {x}) / 6)"
+    return [f"(CASE WHEN {x} <= {k1} THEN {a} + {m!r}::DOUBLE * {up} ELSE {b} + {m!r}::DOUBLE * {down} END)" for a, b, m in zip(left, right, bend, strict=True)]
+
+
+def cyclic_cubic(x: str, k0: float, k1: float, k2: float) -> list[str]:
+    h, g = k1 - k0, k2 - k1
+    bend = 6 * (1 / h + 1 / g) / (h + g)
+    out = []
+    for first, (a, b) in ((1, (f"({k1} - {x}) / {h!r}", f"({x} - {k1}) / {g!r}")), (-1, (f"({x} - {k0}) / {h!r}", f"({k2} - {x}) / {g!r}"))):
+        m = first * bend
+        near, far = f"(pow({k1} - {x}, 3) / {6 * h!r} - {h!r} * ({k1} - {x}) / 6)", f"(pow({x} - {k0}, 3) / {6 * h!r} - {h!r} * ({x} - {k0}) / 6)"
+        near2, far2 = f"(pow({k2} - {x}, 3) / {6 * g!r} - {g!r} * ({k2} - {x}) / 6)", f"(pow({x} - {k1}, 3) / {6 * g!r} - {g!r} * ({x} - {k1}) / 6)"
+        out.append(f"(CASE WHEN {x} <= {k1} THEN {a} - {m!r}::DOUBLE * {near} + {m!r}::DOUBLE * {far} ELSE {b} + {m!r}::DOUBLE * {near2} - {m!r}::DOUBLE * {far2} END)")
+    return out
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        design = dmatrix(text, table(spark, sf_dir, source), ENV)
-        total = sum((F.col("`" + n + "`") for n in design.design_info.column_names), F.lit(0.0))
-        return design.df.select(F.round(total, digits).alias("total"))
 
-    return run
+_CR, _CC = natural_cubic("l_quantity", 0.0, 20.0, 50.0), cyclic_cubic("l_discount", 0.0, 0.04, 0.1)
+formula("q_cr", "lineitem", "0 + cr(l_quantity, knots=[20], lower_bound=0, upper_bound=50)", _CR, digits=9)
+formula("q_cc", "lineitem", "0 + cc(l_discount, knots=[0.04], lower_bound=0, upper_bound=0.1)", _CC, digits=9)
+formula("q_te", "lineitem", "0 + te(cr(l_quantity, knots=[20], lower_bound=0, upper_bound=50), cc(l_discount, knots=[0.04], lower_bound=0, upper_bound=0.1))", [f"{a} * {b}" for a in _CR for b in _CC], digits=11)
 
 
-_register("q_cr_sums", "SELECT 1.0::DOUBLE AS total FROM part", _row_sums("0 + cr(p_retailprice, df=6)", "part"))
-_register("q_cc_sums", "SELECT 1.0::DOUBLE AS total FROM part", _row_sums("0 + cc(p_retailprice, df=6)", "part"))
-_register("q_te_sums", "SELECT 1.0::DOUBLE AS total FROM lineitem", _row_sums("0 + te(cr(l_quantity, df=4), cc(l_discount, df=3))", "lineitem"))
+def _centred_sql() -> str:
+    """The basis less its part along its means: the last columns of the reflection that turns the means into the first axis."""
+    w = ["m0 + sqrt(m0 * m0 + m1 * m1 + m2 * m2)", "m1", "m2"]
+    along = " + ".join(f"b{i} * ({w[i]})" for i in range(3))
+    square = " + ".join(f"pow({x}, 2)" for x in w)
+    basis = ", ".join(f"{c} AS b{i}" for i, c in enumerate(_CR))
+    columns = ", ".join(f"round(b{i} - 2 * ({w[i]}) * ({along}) / ({square}), 9) + 0.0 AS c{i - 1}" for i in (1, 2))
+    return f"WITH b AS (SELECT {basis} FROM lineitem), m AS (SELECT avg(b0) AS m0, avg(b1) AS m1, avg(b2) AS m2 FROM b) SELECT {columns} FROM b, m"
 
 
-def _basis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    design = dmatrix("0 + cr(l_quantity, df=5, constraints='center')", table(spark, sf_dir, "lineitem"), ENV)
-    return design.df.toDF(*plain(design.design_info.column_names))
+def _centred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    design = dmatrix("0 + cr(l_quantity, knots=[20], lower_bound=0, upper_bound=50, constraints='center')", table(spark, sf_dir, "lineitem"), ENV)
+    return design.df.toDF("c0", "c1").select(*[(F.round(c, 9) + 0.0).alias(c) for c in ("c0", "c1")])
 
 
-_register("q_cr_centered", None, _basis)
+_register("q_cr_centered", _centred_sql(), _centred)
+
+
+def bspline_sql(x: str, knots: list[str], last: int, i: int, degree: int) -> str:
+    """Column ``i`` of a B-spline basis by the recursion on its degree; equal names are equal knots, and ``last`` is the last interval that is not empty."""
+    if not degree:
+        end = "<=" if i == last else "<"
+        return "0.0" if knots[i] == knots[i + 1] else f"(CASE WHEN {x} >= {knots[i]} AND {x} {end} {knots[i + 1]} THEN 1.0 ELSE 0.0 END)"
+    parts = []
+    if knots[i] != knots[i + degree]:
+        parts.append(f"({x} - {knots[i]}) / ({knots[i + degree]} - {knots[i]}) * {bspline_sql(x, knots, last, i, degree - 1)}")
+    if knots[i + 1] != knots[i + degree + 1]:
+        parts.append(f"({knots[i + degree + 1]} - {x}) / ({knots[i + degree + 1]} - {knots[i + 1]}) * {bspline_sql(x, knots, last, i + 1, degree - 1)}")
+    return f"({' + '.join(parts) or '0.0'})"
 
 
 def _gram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,4 +253,19 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.df.toDF(*[f"c{i}" for i in range(len(left.df.columns))])
 
 
-_register("q_flagship", None, flagship)
+def _rounded_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = flagship(spark, sf_dir)
+    return found.select(*[(F.round(c, 9) + 0.0).alias(c) for c in found.columns])
+
+
+_knots_of_tax = ["k.lo"] * 4 + ["k.a", "k.b"] + ["k.hi"] * 4
+_flagship = [
+    "l_extendedprice", "1.0", fl("N"), fl("R"), st("O"), f"({fl('N')}) * ({st('O')})", f"({fl('R')}) * ({st('O')})", "l_quantity - k.mean",
+    *(bspline_sql("l_tax", _knots_of_tax, 5, i, 3) for i in range(1, 6)),
+]
+_register(
+    "q_flagship",
+    "WITH k AS (SELECT min(l_tax) AS lo, max(l_tax) AS hi, quantile_cont(l_tax, 1.0 / 3) AS a, quantile_cont(l_tax, 2.0 / 3) AS b, avg(l_quantity) AS mean FROM lineitem) SELECT "
+    + ", ".join(f"round(CAST({c} AS DOUBLE), 9) + 0.0 AS c{i}" for i, c in enumerate(_flagship)) + " FROM lineitem, k",
+    _rounded_flagship,
+)
