@@ -40,18 +40,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.kept(docs, model)
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the longest original stays, then the smallest id; repeated rows of it once. Rows without an id stay."""
-    key = ["doc_id", "text_sha256"]
-    groups = exact_dedup.exact_groups(docs)
-    hashed = docs.withColumn("text_sha256", F.sha2(exact_dedup.normalised(F.col("text")), 256))
+    digest, place = _unused(docs, "text_sha256"), _unused(docs, "place")
+    key = ["doc_id", digest]
+    groups = exact_dedup.exact_groups(docs).withColumnRenamed("text_sha256", digest)
+    hashed = docs.withColumn(digest, F.sha2(exact_dedup.normalised(F.col("text")), 256))
     # An id may stand on several texts: a row is known by both.
     left = join_counted(hashed, groups.where("NOT kept AND doc_id IS NOT NULL").select(*key).distinct(), key, "left_anti")
     twice = groups.where("kept AND doc_id IS NOT NULL").groupBy(*key).count().where("count > 1").select(*key)
     if not twice.limit(1).count():
         return left.select(*docs.columns)
     first = Window.partitionBy(*key).orderBy(F.char_length("text").desc(), "text")
-    again = left.join(twice, key, "left_semi").withColumn("__at", F.row_number().over(first)).where("__at = 1")
+    again = left.join(twice, key, "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
     return left.join(twice, key, "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
