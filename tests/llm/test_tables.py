@@ -311,6 +311,39 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {None, 1, 2, 3}
 
 
+def test_pipeline_on_clashing_names_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    extra = ["class_id", "h", "group_size", "text_sha256", "place", "keep_id", "component_id", "spans", "grade", "id", "kept", "sig", "toxic", "part"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, "a b c", *"xy", 5), (2, "a  b c", *"xy", 6), (3, " ".join(words), *"xy", 0), (4, " ".join(words[:-1]), *"xy", 0), (5, "long " * 60_000, *"xy", 0)]
+    rows = [(*r, *(f"{c}{r[0]}" for c in extra)) for r in rows]
+    for name, data, kept in (("some", rows, {2, 3, 5}), ("none", [], set())):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        docs = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for stage, fn in corpus_pipeline.STAGES[:-1]:
+            docs = fn(spark, docs, str(tmp_path / name))
+            assert docs.schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString(), stage
+        # Other columns pass as they are.
+        assert all(r[c] == f"{c}{r.doc_id}" for r in docs.collect() for c in extra)
+        assert {r.doc_id for r in docs.collect()} == kept
+        assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / name)).collect()} == kept
+
+
+def test_join_of_long_texts_and_other_columns(spark):
+    rng = np.random.default_rng(13)
+    words = [f"w{i}" for i in rng.integers(0, 10**6, 150_000)]
+    other = list(words)
+    for i in rng.integers(0, 150_000, 2000):
+        other[int(i)] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:100_000])), (4, "z" * 500_000), (5, "z" * 500_000 + " end")]
+    docs = spark.createDataFrame([(i, t, "x", 7) for i, t in rows], "doc_id long, text string, block string, side int")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_components(docs, k=3, num=90, den=100, block_tokens=100_000).collect()}
+    assert {i: c for i, (_, c) in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5} and got[4][0] == got[5][0] == 1
+
+
 def test_repeated_ids_keep_their_own_texts(spark, tmp_path):
     import corpus_pipeline
 

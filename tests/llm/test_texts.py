@@ -528,6 +528,25 @@ def test_one_rule_beside_a_corpus_of_any_size(spark):
         assert got.target_ce == pytest.approx(-sum(map(math.log, chances)) / len(words), abs=2e-6), filler
 
 
+def test_scoring_of_long_texts_and_clashing_names(spark):
+    rng = np.random.default_rng(14)
+    long = " ".join(f"w{k}" for k in rng.integers(0, 5000, 400_000))
+    rows = [(1, long), (2, "w1 w2"), (3, "x" * 300_000), (4, "w1 w2")]
+    docs = spark.createDataFrame([(i, t, True, 0, 0.0) for i, t in rows], "doc_id long, text string, target boolean, chunk int, score double")
+    got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).collect()}
+    assert {i: r.n_tokens for i, r in got.items()} == {1: 400_000, 2: 2, 3: 1, 4: 2} and all(math.isfinite(r.score) for r in got.values())
+    assert got[2].score == got[4].score and got[2].background_ce < got[3].background_ce
+
+
+def test_scans_of_empty_tables_and_clashing_names(spark):
+    model = secrets_crf.Crf.train([([["bias", "x"], ["bias"], ["bias", "x"]] * 2, [1, 0, 1] * 2)])
+    docs = spark.createDataFrame([(1, "token = abcdef12", "s", 3), (None, None, "t", 4)], "doc_id long, text string, spans string, id long")
+    assert secrets_crf.scan(docs.limit(0), model).count() == 0 and secrets_crf.redacted(docs.limit(0), model).count() == 0
+    assert sorted((r.doc_id or 0, len(r.spans) > 0) for r in secrets_crf.scan(docs, model).collect()) == [(0, False), (1, True)]
+    masked = {r.doc_id: r for r in secrets_crf.redacted(docs, model).collect()}
+    assert masked[1].spans == "s" and masked[1].id == 3 and "abcdef12" not in masked[1].text and masked[None].text is None
+
+
 def test_crf_decides_on_tokens_of_any_shape(spark):
     rng = np.random.default_rng(5)
     kinds = ["abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"]
