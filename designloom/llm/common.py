@@ -148,7 +148,8 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
     now = cut(pairs.mapInArrow(_forest, "x long, m long, open boolean"))
     for _ in range(max_rounds):
         both = now.select("x", "m").union(now.select(F.col("m").alias("x"), F.col("x").alias("m")))
-        low = both.groupBy("x").agg(F.least("x", F.min("m")).alias("low"))
+        # Stored, so that the join deals both sides anew and a hub's rows can be split.
+        low = cut(both.groupBy("x").agg(F.least("x", F.min("m")).alias("low")))
         met = both.join(low, "x")
         # A star's rows see either end of their edge as the smallest.
         open_ = (F.col("low") != F.col("x")) & (F.col("low") != F.col("m"))

@@ -34,7 +34,7 @@ from .common import BROADCAST_ROWS, claim_memory, cut, drop_table, slices, write
 
 WINDOW = 4096
 #: Bytes that one Python worker spends on parts of texts, and on words, with their ids; an entry's own bytes, and the longest part kept.
-CACHE_BYTES, ENTRY_BYTES, LONG_PART = 96 << 20, 200, 64
+CACHE_BYTES, ENTRY_BYTES, LONG_PART = 64 << 20, 200, 64
 
 
 class WordEncoder(dict):

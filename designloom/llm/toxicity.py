@@ -49,7 +49,7 @@ PREFIXES = (4, 5, 6)
 #: Toxic documents of the sample that a feature must be in to be tested.
 LEAST_DOCS = 3
 #: Word forms that one Python worker remembers, and how long they may be.
-CACHE_WORDS, LONG_FORM = 400_000, 64
+CACHE_WORDS, LONG_FORM = 250_000, 64
 
 
 def word_features(form: str) -> list[str]:
