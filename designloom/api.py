@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from designloom.functions.compile import Env
+from designloom.functions.levels import Names
 from designloom.operators.fit import design_matrix_builders
 from designloom.operators.missing import NAAction
 from designloom.plans.algebra import ModelDesc
@@ -19,17 +19,33 @@ from designloom.plans.design import DesignInfo, build_design_matrices
 from designloom.plans.errors import FormulaError
 
 
-@dataclass
+#: Columns up to which a design is planned before anyone asks for some of them.
+EAGER_COLUMNS = 256
+
+
 class DesignMatrix:
-    """A Spark DataFrame whose columns are those of ``design_info`` (after any kept ones)."""
+    """A Spark DataFrame ``df`` whose columns are those of ``design_info`` (after any kept ones).
+
+    It may be given by a function of the names of wanted columns (None: all). Then
+    ``df`` is made when it is asked for, and ``select`` plans what it selects alone.
+    """
 
-    df: DataFrame
-    design_info: DesignInfo
-    prefix: str = ""
+    def __init__(self, df: DataFrame | Callable[[Sequence[str] | None], DataFrame], design_info: DesignInfo, prefix: str = "", keep: Sequence[str] = ()) -> None:
+        self._made, self.design_info, self.prefix, self.keep = df, design_info, prefix, tuple(keep)
+
+    @property
+    def df(self) -> DataFrame:
+        if not isinstance(self._made, DataFrame):
+            self._made = self._made(None)
+        return self._made
+
+    def select(self, *names: str) -> DataFrame:
+        """Columns of ``df`` by name, kept ones included."""
+        found = self._made if isinstance(self._made, DataFrame) else self._made([n for n in dict.fromkeys(names) if n not in self.keep])
+        return found.select(*(F.col("`" + n.replace("`", "``") + "`") for n in names))
 
     def select_term(self, what: object) -> DataFrame:
-        names = self.design_info.column_names[self.design_info.slice(what)]
-        return self.df.select(*(F.col("`" + (self.prefix + n).replace("`", "``") + "`") for n in names))
+        return self.select(*(self.prefix + n for n in self.design_info.column_names[self.design_info.slice(what)]))
 
     def to_numpy(self) -> np.ndarray:
         found = self.df.toArrow()
@@ -42,6 +58,11 @@ class DesignMatrix:
         printer.text("DesignMatrix(...)" if cycle else show(self))
 
 
+def _made(make: Callable[[Sequence[str] | None], DataFrame], *designs: DesignInfo) -> DataFrame | Callable[[Sequence[str] | None], DataFrame]:
+    """All columns, which shows errors at once; of wide designs only those asked for, and then."""
+    return make if any(isinstance(d.column_names, Names) or len(d.column_names) > EAGER_COLUMNS for d in designs) else make(None)
+
+
 def _env(env: Env | int) -> Env:
     return env if isinstance(env, Env) else Env.capture(env + 2)
 
@@ -150,7 +171,7 @@ def dmatrix(
         left, right = _designs(formula_like, data, _env(env), NA_action)
         if left.column_names:
             raise FormulaError("encountered outcome variables for a model that does not expect them")
-        found = DesignMatrix(build_design_matrices([right], data, NA_action, keep=keep, dtype=dtype), right)
+        found = DesignMatrix(_made(lambda columns: build_design_matrices([right], data, NA_action, keep=keep, dtype=dtype, columns=columns), right), right, keep=keep)
     return found.df.toPandas() if return_type == "dataframe" else found
 
 
@@ -170,12 +191,12 @@ def dmatrices(
         left, right = _designs(formula_like, data, _env(env), NA_action)
         if not left.column_names:
             raise FormulaError("model is missing required outcome variables")
-        both = build_design_matrices([left, right], data, NA_action, keep=keep, prefixes=prefixes, dtype=dtype)
+        both = _made(lambda columns: build_design_matrices([left, right], data, NA_action, keep=keep, prefixes=prefixes, dtype=dtype, columns=columns), left, right)
     if return_type == "dataframe":
-        pandas = both.toPandas()
+        pandas = (both if isinstance(both, DataFrame) else both(None)).toPandas()
         n = len(keep) + len(left.column_names)
         return pandas.iloc[:, len(keep) : n].set_axis(left.column_names, axis=1), pandas.iloc[:, n:].set_axis(right.column_names, axis=1)
-    return DesignMatrix(both, left, prefixes[0]), DesignMatrix(both, right, prefixes[1])
+    return DesignMatrix(both, left, prefixes[0], keep), DesignMatrix(both, right, prefixes[1], keep)
 
 
 def formatted(column: Sequence[float], precision: int = 5) -> list[str]:

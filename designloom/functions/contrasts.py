@@ -9,17 +9,7 @@ import numpy as np
 
 from designloom.plans.errors import FormulaError
 
-
-def level_text(level: object) -> str:
-    """A level as part of a column name: text as it is, anything else as Python writes it."""
-    if isinstance(level, str):
-        return level
-    if isinstance(level, (bytes, bytearray)):
-        try:
-            return bytes(level).decode()
-        except UnicodeDecodeError:
-            return repr(bytes(level))
-    return repr(level)
+from .levels import LevelNames, Levels, level_text
 
 
 def bracketed(prefix: str, levels: Sequence) -> list[str]:
@@ -28,7 +18,7 @@ def bracketed(prefix: str, levels: Sequence) -> list[str]:
 
 def level_index(levels: Sequence, wanted: object) -> int:
     """Position of a level given by value, or failing that by (negative) index."""
-    levels = list(levels)
+    levels = levels if isinstance(levels, Levels) else list(levels)
     if wanted in levels:
         return levels.index(wanted)
     if isinstance(wanted, int) and not isinstance(wanted, bool):
@@ -92,6 +82,27 @@ class OneHot(ContrastMatrix):
         return [self.rows, self.chosen, self.column_suffixes]
 
 
+class OneHotOfTable(OneHot):
+    """The same for levels in a table, all of them or all but one; ``column_suffixes`` are there, too."""
+
+    def __init__(self, rows: int, column_suffixes: LevelNames) -> None:
+        self.rows, self.column_suffixes = rows, column_suffixes
+
+    @property
+    def chosen(self) -> list[int]:
+        return [i for i in range(self.rows) if i != self.column_suffixes.without]
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return self.rows, len(self.column_suffixes)
+
+    def column(self, at: int) -> tuple[float, dict[float, list[int]]]:
+        return (1.0, {}) if self.rows == 1 else (0.0, {1.0: [self.column_suffixes.level(at)]})
+
+    def to_json(self) -> list:
+        return [self.rows, self.chosen, list(self.column_suffixes)]
+
+
 def _with_mean(reduced: ContrastMatrix, suffixes: list[str]) -> ContrastMatrix:
     return ContrastMatrix(np.column_stack([np.ones(len(reduced.matrix)), reduced.matrix]), suffixes)
 
@@ -103,10 +114,14 @@ class Treatment:
     reference: object = None
 
     def code_with_intercept(self, levels: Sequence) -> ContrastMatrix:
+        if isinstance(levels, Levels):
+            return OneHotOfTable(len(levels), LevelNames("[", levels))
         return OneHot(len(levels), range(len(levels)), bracketed("", levels))
 
     def code_without_intercept(self, levels: Sequence) -> ContrastMatrix:
         out = 0 if self.reference is None else level_index(levels, self.reference)
+        if isinstance(levels, Levels):
+            return OneHotOfTable(len(levels), LevelNames("[T.", levels, out))
         rest = [i for i in range(len(levels)) if i != out]
         return OneHot(len(levels), rest, bracketed("T.", [levels[i] for i in rest]))
 
@@ -192,6 +207,9 @@ def coded(contrast: object, levels: Sequence, full: bool) -> ContrastMatrix:
     else:
         if not hasattr(contrast, "code_with_intercept") and callable(contrast) or isinstance(contrast, type):
             contrast = contrast()
+        if isinstance(levels, Levels) and not isinstance(contrast, Treatment):
+            # The matrix has a row for each level, so these are few enough for a list.
+            levels = tuple(levels)
         if hasattr(contrast, "code_with_intercept"):
             found = contrast.code_with_intercept(levels) if full else contrast.code_without_intercept(levels)
         else:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from designloom.functions.chunks import PROBE_ROWS, chunks
 from designloom.functions.compile import Compiler, Env, FactorState, Value, factor_key
 from designloom.functions.contrasts import coded
+from designloom.functions.levels import LevelNames, Levels, Names, plain
 from designloom.functions.stateful import Stateful
 from designloom.plans.algebra import EvalFactor, Term
 from designloom.plans.coding import codings
@@ -19,10 +19,8 @@ from designloom.plans.errors import FormulaError
 
 from .missing import NAAction, as_action
 
-#: Levels, by a sketch, up to which all factors are looked through in one aggregation; of others each by itself.
+#: Levels, by a sketch, up to which all factors are looked through in one aggregation; those of others stay in tables.
 FEW_LEVELS = 5_000
-#: Most levels, as a design has a column for each, and the driver their names.
-MOST_LEVELS = 1_000_000
 
 
 def _learn(df: DataFrame, factors: Sequence, compiler: Compiler) -> None:
@@ -80,16 +78,8 @@ def level_key(level: object) -> tuple:
     return (0, "", level) if number else (1, type(level).__name__, level if level is not None else "")
 
 
-def _plain(level: object, value: Value, whole: bool) -> object:
-    if isinstance(level, bytearray):
-        return bytes(level)
-    if value.kind == "num" and whole and level is not None and not math.isnan(level):
-        return int(level)
-    return level
-
-
 def _examine(df: DataFrame, values: dict, compiler: Compiler, action: NAAction) -> dict:
-    """Widths of array factors and levels of categorical ones, by two aggregations, and a pass for each factor of many levels."""
+    """Widths of array factors and levels of categorical ones, by two aggregations, and a sort for each factor of many levels."""
     asks, slots, out = [], {}, {}
     for f, v in values.items():
         if not v.categorical and v.kind == "num":
@@ -110,20 +100,21 @@ def _examine(df: DataFrame, values: dict, compiler: Compiler, action: NAAction)
     few = [f for f in looked if row[slots[f]] <= FEW_LEVELS]
     sets = df.agg(*[F.collect_set(values[f].columns[0]).alias(f"a{i}") for i, f in enumerate(few)]).first() if few else ()
     found = dict(zip(few, sets, strict=True))
-    for f in looked:
-        if f not in found:
-            column = df.select(values[f].columns[0].alias("x")).where("x IS NOT NULL").distinct()
-            found[f] = [r.x for r in column.limit(MOST_LEVELS + 1).collect()]
-            if len(found[f]) > MOST_LEVELS:
-                raise FormulaError(f"factor {f.name()} has more than {MOST_LEVELS} levels", f)
     for f, at in slots.items():
         v = values[f]
+        whole = v.kind == "num" and not v.is_float
+        if f in looked and f not in found:
+            missing, own = action.categorical(F.col("level"), v.is_float), action.redefines("is_categorical_NA")
+            out[f] = Levels.found(v.columns[0], df, number=v.kind == "num", whole=whole, is_level=action.is_level if own else None, missing=missing)
+            if not len(out[f]):
+                raise FormulaError("No levels found", f)
+            continue
         if f not in found:
             if row[at] is None or row[at] != row[at + 1]:
                 raise FormulaError(f"arrays of factor {f.name()} must all have one size", f)
             out[f] = int(row[at])
             continue
-        levels = [_plain(x, v, not v.is_float) for x in [*found[f], *([None] * bool(row[at + 1]))]]
+        levels = [plain(x, whole) for x in [*found[f], *([None] * bool(row[at + 1]))]]
         levels = [x for x in levels if action.is_level(x)]
         if not levels:
             raise FormulaError("No levels found", f)
@@ -176,18 +167,21 @@ def _coded_terms(terms: Sequence[Term], infos: dict, contrast: dict) -> dict[Ter
     return out
 
 
-def _names(subterm: SubtermInfo, infos: dict) -> list[str]:
-    found = [""]
-    if not subterm.factors:
-        return ["Intercept"]
-    for f in subterm.factors:
-        info = infos[f]
-        if f in subterm.contrast_matrices:
-            own = [f.name() + s for s in subterm.contrast_matrices[f].column_suffixes]
-        else:
-            own = [f"{f.name()}[{i}]" for i in range(info.num_columns)] if info.multi else [f.name()]
-        found = [f"{old}:{new}" if old else new for new in own for old in found]
-    return found
+def _names(subterms: Sequence[SubtermInfo], infos: dict) -> Names | list[str]:
+    """Names of columns; a list, unless levels are in tables."""
+    parts = []
+    for s in subterms:
+        part = []
+        for f in s.factors:
+            info = infos[f]
+            if f in s.contrast_matrices:
+                suffixes = s.contrast_matrices[f].column_suffixes
+                part.append(suffixes.after(f.name()) if isinstance(suffixes, LevelNames) else [f.name() + x for x in suffixes])
+            else:
+                part.append([f"{f.name()}[{i}]" for i in range(info.num_columns)] if info.multi else [f.name()])
+        parts.append(part or [["Intercept"]])
+    found = Names(parts)
+    return found if any(isinstance(own, LevelNames) for part in parts for own in part) else list(found)
 
 
 def design_matrix_builders(termlists: Sequence[Sequence[Term]], df: DataFrame, env: Env | int = 0, NA_action: str | NAAction = "drop") -> list[DesignInfo]:  # noqa: N803
@@ -208,7 +202,7 @@ def design_matrix_builders(termlists: Sequence[Sequence[Term]], df: DataFrame, e
     infos = {}
     for f, v in values.items():
         states = _own_states(f, compiler.states)
-        if isinstance(seen[f], tuple):
+        if isinstance(seen[f], (tuple, Levels)):
             infos[f] = FactorInfo(f, "categorical", states, categories=seen[f], shapes=compiler.shapes)
         else:
             infos[f] = FactorInfo(f, "numerical", states, num_columns=seen[f], multi=v.multi, shapes=compiler.shapes)
@@ -217,7 +211,7 @@ def design_matrix_builders(termlists: Sequence[Sequence[Term]], df: DataFrame, e
     out = []
     for terms in termlists:
         codes = _coded_terms(list(dict.fromkeys(terms)), infos, contrast)
-        names = [n for subterms in codes.values() for s in subterms for n in _names(s, infos)]
+        names = _names([s for subterms in codes.values() for s in subterms], infos)
         out.append(DesignInfo(names, {f: infos[f] for t in codes for f in t.factors}, codes, env.subset(words)))
     return out
 

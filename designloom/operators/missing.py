@@ -45,12 +45,12 @@ class NAAction:
             return "None" in self.NA_types
         return "NaN" in self.NA_types and isinstance(value, float) and math.isnan(value)
 
-    def _redefines(self, name: str) -> bool:
+    def redefines(self, name: str) -> bool:
         return getattr(type(self), name) is not getattr(NAAction, name)
 
     def numerical(self, columns: Sequence[Column]) -> Column | None:
         """Rows where any of ``columns`` is missing; None if none can be."""
-        if self._redefines("is_numerical_NA"):
+        if self.redefines("is_numerical_NA"):
             return self._asked(F.array(*columns) if len(columns) > 1 else columns[0])
         if "NaN" not in self.NA_types:
             return None
@@ -69,12 +69,12 @@ class NAAction:
 
     def array(self, column: Column) -> Column | None:
         """The same for the elements of an array column."""
-        if self._redefines("is_numerical_NA"):
+        if self.redefines("is_numerical_NA"):
             return self._asked(column)
         return column.isNull() | F.exists(column, lambda x: x.isNull() | F.isnan(x)) if "NaN" in self.NA_types else None
 
     def categorical(self, column: Column, is_float: bool) -> Column | None:
-        if self._redefines("is_categorical_NA"):
+        if self.redefines("is_categorical_NA"):
 
             @F.pandas_udf("boolean")
             def missing(series: pd.Series) -> pd.Series:

@@ -254,7 +254,7 @@ def _many_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _looked_up_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Factors of so many levels that these are looked up in a table."""
     design = dmatrix("0 + C(l_suppkey) + C(l_partkey):l_tax", table(spark, sf_dir, "lineitem"), Env(), keep=["l_orderkey"])
-    return design.df.select("l_orderkey", F.col("`C(l_suppkey)[7]`").alias("c0"), F.col("`C(l_partkey)[1001]:l_tax`").alias("c1"))
+    return design.select("l_orderkey", "C(l_suppkey)[7]", "C(l_partkey)[1001]:l_tax").toDF("l_orderkey", "c0", "c1")
 
 
 class _FirstAgainstRest:
