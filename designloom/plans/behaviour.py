@@ -246,8 +246,7 @@ def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
 @frame("q_many_levels", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, 'C(o_orderkey)[' || o_orderkey || ']' AS column_name FROM (SELECT DISTINCT o_orderkey FROM orders)")
 def _many_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A column for each order."""
-    names = incr_dbuilder("0 + C(o_orderkey)", table(spark, sf_dir, "orders"), Env()).column_names
-    return spark.createDataFrame(list(enumerate(names)), "i long, column_name string")
+    return incr_dbuilder("0 + C(o_orderkey)", table(spark, sf_dir, "orders"), Env()).names_table(spark)
 
 
 @frame("q_looked_up_levels", "SELECT l_orderkey, CASE WHEN l_suppkey = 7 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c0, CASE WHEN l_partkey = 1001 THEN l_tax ELSE 0.0::DOUBLE END AS c1 FROM lineitem")

@@ -39,6 +39,7 @@ def test_tables_say_what_lists_say(spark, mixed, monkeypatch, text, action):
     info = found.design_info
     assert isinstance(info.column_names, Names) and list(info.column_names) == names and len(info.column_names) == len(names)
     assert info.column_names == names and [info.column_names[i] for i in (0, -1)] == [names[0], names[-1]]
+    assert [tuple(r) for r in info.names_table(spark).orderBy("i").collect()] == list(enumerate(names))
     assert [info.column_names.index(n) for n in names[::-9]] == [*range(len(names))][::-9]
     assert "no such name" not in info.column_names and "C(k)[07]" not in info.column_names
     assert info.term_name_slices == listed.design_info.term_name_slices
@@ -63,6 +64,15 @@ def test_many_columns_are_planned_when_asked_for(spark):
         design.select("C(id)[20000]")
 
 
+def test_more_than_a_million_levels(spark):
+    """These were refused."""
+    n = 1_000_100
+    names = dl.incr_dbuilder("0 + C(id)", spark.range(0, n, 1, 7), dl.Env()).names_table(spark)
+    assert names.count() == n
+    assert names.where("column_name <> concat('C(id)[', i, ']')").count() == 0
+    assert names.agg(F.count_distinct("i"), F.min("i"), F.max("i")).first()[:] == (n, 0, n - 1)
+
+
 def test_looked_up_levels_equal_their_sql(spark):
     """The query has no columns to look up in the smallest tables."""
     at = "/root/testdata/sf0.01"
