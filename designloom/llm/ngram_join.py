@@ -604,7 +604,8 @@ def near_components(
     blocks = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("block"))
     # An id that is repeated with several sets keeps one of them.
     sets = join_counted(reps, blocks, "id", "inner").groupBy("block", "id").agg(F.max_by("n", "sig").alias("n"), F.max_by("tokens", "sig").alias("tokens"))
-    links = _block_links(_tasks(sets, num, den, block_tokens), num, den)
+    # Stored, so that no task needs two Python workers: an executor keeps all that it once had.
+    links = cut(_block_links(_tasks(sets, num, den, block_tokens), num, den))
     found = connected_components(links)
     out = join_counted(member, found.withColumnRenamed("node", "class_id"), "class_id", "left")
     out = cut(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id")))

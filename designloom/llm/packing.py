@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, claim_memory, cut, drop_table, slices, write_table
 
 WINDOW = 4096
-#: Bytes that one Python worker spends on parts of texts, and on words, with their ids; an entry's own bytes, and the longest part kept.
+#: Bytes that one Python worker spends on parts of texts with their ids (half as many on words that are no such part); an entry's own bytes, and the longest part kept.
 CACHE_BYTES, ENTRY_BYTES, LONG_PART = 64 << 20, 200, 64
 
 
@@ -71,7 +71,7 @@ class WordEncoder(dict):
         )
         self.split = regex.compile(steps[0]["pattern"]["Regex"]).findall if self.by_part else None
         self.words: dict[str, bytes] = {}
-        self.part_room = self.word_room = CACHE_BYTES
+        self.part_room, self.word_room = CACHE_BYTES, CACHE_BYTES // 2
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -79,12 +79,14 @@ class WordEncoder(dict):
 
     def __missing__(self, part: str) -> bytes:
         # Below U+0100 nothing composes, and lower case is the same everywhere.
+        keep = self.part_room > 0 and len(part) <= LONG_PART
         if part.isascii() or max(part) < "\u0100":
             low = part.lower()
-            found = self.word(low) if low.isalpha() else b"".join(map(self.word, self.split(low)))
+            # A part that is a word is kept once.
+            found = self.word(low, not keep or low != part) if low.isalpha() else b"".join(map(self.word, self.split(low)))
         else:
             found = self.whole(part)
-        if self.part_room > 0 and len(part) <= LONG_PART:
+        if keep:
             self.part_room -= ENTRY_BYTES + len(part) + len(found)
             self[part] = found
         return found
@@ -92,18 +94,18 @@ class WordEncoder(dict):
     def forget(self) -> None:
         self.clear()
         self.words.clear()
-        self.part_room = self.word_room = CACHE_BYTES
+        self.part_room, self.word_room = CACHE_BYTES, CACHE_BYTES // 2
 
-    def word(self, word: str) -> bytes:
+    def word(self, word: str, keep: bool = True) -> bytes:
         found = self.words.get(word)
-        if found is None:
+        if found is None and (found := self.get(word)) is None:
             if word.isascii() and word.isprintable():
                 # The model alone: its alphabet maps these bytes to themselves.
                 ids = [t.id for t in self.model.tokenize(word)]
                 found = struct.pack(f"<{len(ids)}I", *ids)
             else:
                 found = self.whole(word)
-            if self.word_room > 0 and len(word) <= LONG_PART:
+            if keep and self.word_room > 0 and len(word) <= LONG_PART:
                 self.word_room -= ENTRY_BYTES + len(word) + len(found)
                 self.words[word] = found
         return found
@@ -171,7 +173,8 @@ def _cut_into_pieces(stored: DataFrame, window: int, id_col: str) -> DataFrame:
     for part, n in totals:
         bases.append((part, base))
         base += n
-    offsets = spark.createDataFrame(bases, "part int, base long")
+    # As Arrow: a list would start Python workers of another kind, which stay beside the others.
+    offsets = spark.createDataFrame(pa.table({"part": pa.array([b[0] for b in bases], pa.int32()), "base": pa.array([b[1] for b in bases], pa.int64())}))
     if len(bases) <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
     rows = stored.join(offsets, "part").select("id", "ids", "n", (F.col("base") + F.col("start")).alias("at"))

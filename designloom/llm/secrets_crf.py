@@ -290,7 +290,7 @@ class _Scanner(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.weights: dict[tuple[str, ...], np.ndarray] = {}
+        self.weights: dict[tuple[int, ...], np.ndarray] = {}
         #: Own scores, those of the token after it, those of the token before it; length with white space, white space, keyword.
         self.known, self.sizes = np.zeros((1024, 3, 3)), np.zeros((1024, 3), np.int64)
 
@@ -304,9 +304,11 @@ class _Scanner(dict):
         return at
 
     def _weight(self, *names: str) -> np.ndarray:
-        found = self.weights.get(names)
+        # Kept by their numbers, which take a fraction of the room of names.
+        ids = tuple(self.model.index[n] for n in names if n in self.model.index)
+        found = self.weights.get(ids)
         if found is None:
-            found = self.weights[names] = self.model.weight(list(names))
+            found = self.weights[ids] = sum((self.model.weights[i] for i in ids), np.zeros(3))
         return found
 
     def spans(self, text: str) -> list[tuple[int, int]]:

@@ -9,10 +9,11 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from designloom.llm import common, embedding_lsh, exact_dedup, ngram_join, queries, warc
+from designloom.llm import common, embedding_lsh, exact_dedup, ngram_join, packing, queries, warc
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -302,6 +303,31 @@ def test_pipeline_equals_brute_force(spark):
         assert current.columns == docs.columns and current.schema == docs.schema, name
 
 
+def test_stages_need_one_python_worker_a_task(spark, monkeypatch):
+    """Workers stay in an executor with what they remember: chained Python stages, or those of RDDs, would double them."""
+    plans = []
+
+    def seen(edges, **options):
+        plans.append(edges._jdf.queryExecution().toString())
+        return common.connected_components(edges, **options)
+
+    monkeypatch.setattr(ngram_join, "connected_components", seen)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-1])), (3, "other words only")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.near_components(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert len(plans) == 2 and not any("InArrow" in p for p in plans)
+    pieces = packing.pack(docs, tokenizer_path=public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    assert "ExistingRDD" not in pieces._jdf.queryExecution().toString()
+    assert {r.doc_id for r in pieces.collect()} == {1, 2, 3}
+
+
+def test_words_that_are_parts_are_kept_once():
+    encode = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ("some words, Some (words) and words", "(and) And and", "and"):
+        assert encode(text) == encode.whole(text)
+    assert not set(encode.words) & {"some", "and"} and {"some", "and", "words"} <= set(encode)
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     import corpus_pipeline
 
